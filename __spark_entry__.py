@@ -377,7 +377,7 @@ def q_tune_logistic(spark, d):
 
 def q_flagship(spark, d):
     run = PC.question_classifier(_corpus(spark, d), "main", k=LDA_K, lda_iter=LDA_ITER,
-                                 min_df=LDA_MIN_DF, w2v_partitions=4, drop_value=None)
+                                 min_df=LDA_MIN_DF, w2v_partitions=4)
     return _model_check(run.predictions, "qid")
 
 
