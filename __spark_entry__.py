@@ -41,7 +41,7 @@ FLAGSHIP_SF = "/root/testdata/sf0.001"
 
 
 def _docs(spark, d):
-    return TB.table(spark, d, "documents").select("doc_id", "text")
+    return TB.table(spark, d, "documents", ["doc_id", "text"])
 
 
 def _corpus(spark, d):
@@ -126,7 +126,7 @@ def q_as_labelled(spark, d):
 
 
 def q_non_empty(spark, d):
-    conv = TB.table(spark, d, "conversations")
+    conv = TB.table(spark, d, "conversations", ["conv_id", "turn", "text"])
     return FI.non_empty(conv.select("conv_id", "turn", T.ascii_only("text").alias("text")), "text") \
         .select("conv_id", "turn")
 
@@ -277,7 +277,9 @@ def q_remove_stop_words(spark, d):
 
 
 def q_term_counts(spark, d):
-    tok, cv, counted, _ = _tfidf_parts(spark, d)
+    tok = _main_tokens(spark, d)
+    cv = FE.fit_term_counts(tok, "filtered", "rawFeatures")
+    counted = cv.transform(tok)
     return FE.vector_long_form(counted, "rawFeatures", "qid", FE.vocabulary_table(cv), "tf") \
         .withColumn("tf", F.col("tf").cast("long"))
 

@@ -1,0 +1,65 @@
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from textflow import streaming as S
+from textflow.operators.vocab import build_vocab
+from textflow.plans.cleaning import clean_corpus
+from textflow.sources import corpus as SC
+from textflow.sources import tables as TB
+
+
+def scratch():
+    return tempfile.mkdtemp(prefix="textflow-test-", dir="/tmp")
+
+
+def test_stream_clean_and_vocab_equal_batch(spark):
+    src = os.path.join(scratch(), "in")
+    TB.corpus(spark, SF001).repartition(3).write.parquet(src)
+    batch = spark.read.parquet(src)
+    stream = S.read_text_stream(spark, src, batch.schema, max_files_per_trigger=1)
+    q = S.start(S.clean_stream(stream, "main"), None, os.path.join(scratch(), "ck1"),
+                fmt="memory", query_name="clean_out")
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.table("clean_out").collect()))
+    assert got == sorted(map(tuple, clean_corpus(batch, "main").collect()))
+    q = S.start(S.vocab_stream(stream), None, os.path.join(scratch(), "ck2"), mode="complete",
+                fmt="memory", query_name="vocab_out")
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.table("vocab_out").collect()))
+    assert got == sorted(map(tuple, build_vocab(batch).collect()))
+
+
+def test_csv_corpus_and_feature_roundtrip(spark):
+    d = scratch()
+    rows = [("q1", 'He said "hi", then\nleft', 0), ("q2", "R&D?", 1)]
+    with open(os.path.join(d, "train.csv"), "w") as fh:
+        fh.write("qid,question_text,target\n")
+        for q, t, y in rows:
+            fh.write(q + ',"' + t.replace('"', '""') + '",' + str(y) + "\n")
+    got = SC.read_corpus(spark, os.path.join(d, "train.csv")).orderBy("qid").collect()
+    assert [tuple(r) for r in got] == rows
+    assert SC.rename_positional(SC.read_corpus(spark, os.path.join(d, "train.csv")), "a", "b", "c").columns == \
+        ["a", "b", "c"]
+
+    ft = spark.createDataFrame([(1, [0.5, 0.25]), (0, [1.0, 2.0])], "target int, topics array<double>")
+    SC.write_features(ft, os.path.join(d, "feat_csv"), fmt="csv", text_vectors=True)
+    back = SC.read_features(spark, os.path.join(d, "feat_csv", "*.csv"), "topics", "target")
+    assert sorted((r.target, r.topics) for r in back.collect()) == [(0, "[1.0, 2.0]"), (1, "[0.5, 0.25]")]
+    SC.write_features(ft, os.path.join(d, "feat_pq"))
+    back = SC.read_features(spark, os.path.join(d, "feat_pq"), "topics", "target", fmt="parquet")
+    assert sorted((r.target, r.topics) for r in back.collect()) == [(0, [1.0, 2.0]), (1, [0.5, 0.25])]
+    lab = SC.as_labelled(back, "target", "topics")
+    assert lab.columns == ["label", "features"]
+
+
+def test_lexicon_text_format(spark):
+    d = scratch()
+    with open(os.path.join(d, "lex.txt"), "w") as fh:
+        fh.write("cat 0.1 0.2\ndog 0.3 0.4\ncat 0.1 0.2\n")
+    lex = SC.read_lexicon(spark, os.path.join(d, "lex.txt"), fmt="text")
+    rows = sorted((r.word, [round(x, 3) for x in r.vector]) for r in lex.collect())
+    assert rows == [("cat", [0.1, 0.2]), ("dog", [0.3, 0.4])]
+    assert F is not None

@@ -1,0 +1,62 @@
+import hashlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from conftest import SF01
+from textflow.operators import sampling as SA
+from textflow.operators import vocab as VO
+from textflow.sources import tables as TB
+
+
+def test_vocab_coverage_oov(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c  a\td"), (3, None)], "id int, text string")
+    lex = spark.createDataFrame([("a",), ("d",)], "word string")
+    vocab = VO.build_vocab(docs, "text")
+    assert dict((r.word, r.n) for r in vocab.collect()) == {"a": 3, "b": 1, "c": 1, "d": 1}
+    cov = VO.coverage(vocab, lex).first()
+    assert cov.vocab_ratio == 0.5 and cov.text_ratio == round(4 / 6, 6)
+    assert [(r.word, r.n) for r in VO.oov_by_count(vocab, lex).collect()] == [("b", 1), ("c", 1)]
+    assert [r.word for r in VO.top_words(vocab, 1).collect()] == ["a"]
+    assert sorted(r.word for r in VO.known_words(vocab, lex).collect()) == ["a", "d"]
+
+
+def test_vocab_join_adds_no_exchange_of_its_own(spark):
+    vocab = VO.build_vocab(TB.table(spark, SF01, "documents"), "text")
+    plan = VO.unknown_words(vocab, TB.lexicon(spark, SF01))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "SortMergeJoin" in plan
+    assert "BatchEvalPython" not in plan
+
+
+def _hash_split_py(key, seed, bound="99999999"):
+    return 0 if hashlib.md5(f"{key}:{seed}".encode()).hexdigest()[:8] < bound else 1
+
+
+def test_hash_split_is_layout_independent(spark):
+    df = spark.range(0, 2000).select(F.col("id").cast("string").alias("qid"))
+    a = SA.with_split(df, (0.6, 0.4), "qid", 24).collect()
+    b = SA.with_split(df.repartition(7), (0.6, 0.4), "qid", 24).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert all(r.split == _hash_split_py(r.qid, 24) for r in a)
+    train, test = SA.hash_split(df, (0.6, 0.4), "qid", 24)
+    assert train.count() + test.count() == 2000
+    assert train.join(test, "qid").count() == 0
+    assert 0.55 < train.count() / 2000 < 0.65
+
+
+def test_balanced_sample_exact_under_skew(spark):
+    # one class holds ~97 % of the rows; the result must equal a brute-force
+    # "first n in hash order" per class
+    rows = [(str(i), 0 if i % 37 else 1) for i in range(6000)]
+    df = spark.createDataFrame(rows, "qid string, target int")
+    got = SA.balanced_sample(df, "target", 60, "qid")
+    got = [(r.qid, r.target) for r in got.collect()]
+    want = []
+    for cls in (0, 1):
+        keys = sorted((hashlib.md5(q.encode()).hexdigest()[:16], q) for q, t in rows if t == cls)
+        want += [(q, cls) for _, q in keys[:60]]
+    assert got == sorted(want)
+    assert Counter(t for _, t in got) == {0: 60, 1: 60}
+    # a class smaller than n is kept whole
+    small = SA.balanced_sample(df, "target", 5000, "qid")
+    assert small.where("target = 1").count() == sum(1 for _, t in rows if t == 1)

@@ -57,17 +57,30 @@ def pad_slots(c, slot, n_slots: int = 2, width: int | None = None) -> Column:
     return F.concat(before, x.cast("array<float>"), after)
 
 
-def vector_entries(c) -> Column:
-    """Non-zero entries of an ML vector as ``array<struct<index int, value double>>``.
+def vector_struct(c) -> Column:
+    """An ML vector as its struct ``(type, size, indices, values)``."""
+    return F.from_json(F.to_json(F.struct(_col(c).alias("v"))), f"v struct<{VECTOR_STRUCT}>")["v"]
 
-    Sparse vectors keep their stored entries; dense vectors give every
-    position. Built from the vector's struct form, so it stays JVM-side and
-    never densifies a sparse vector.
-    """
-    s = F.from_json(F.to_json(F.struct(_col(c).alias("v"))), f"v struct<{VECTOR_STRUCT}>")["v"]
+
+def struct_entries(s) -> Column:
+    """Entries ``array<struct<index, value>>`` of a vector struct (see
+    ``vector_struct``): stored entries of a sparse vector, every position of
+    a dense one."""
+    s = _col(s)
     idx = F.when(s["type"] == 0, s["indices"]).otherwise(
         F.sequence(F.lit(0), F.greatest(F.size(s["values"]) - 1, F.lit(0))))
     return F.filter(
         F.arrays_zip(idx.alias("index"), s["values"].alias("value")),
         lambda e: e["index"].isNotNull() & e["value"].isNotNull(),
     )
+
+
+def vector_entries(c) -> Column:
+    """Non-zero entries of an ML vector as ``array<struct<index int, value double>>``.
+
+    Built from the vector's struct form, so it stays JVM-side and never
+    densifies a sparse vector. Inside a generator (``explode``) project
+    ``vector_struct`` first and apply ``struct_entries`` to that column, so
+    the struct is built once per row.
+    """
+    return struct_entries(vector_struct(c))

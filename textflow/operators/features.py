@@ -9,13 +9,15 @@ whose size is bounded by ``vocab_size``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, IDF,
                                 IDFModel, StopWordsRemover, Tokenizer,
                                 VectorAssembler, Word2Vec, Word2VecModel)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import vector_entries
+from ..functions.arrays import struct_entries, vector_struct
 
 # Default vocabulary cap of CountVectorizer (2^18 terms).
 DEFAULT_VOCAB_SIZE = 1 << 18
@@ -72,14 +74,15 @@ def vocabulary_table(model: CountVectorizerModel) -> DataFrame:
     vocab = model.vocabulary
     if len(vocab) > model.getVocabSize():
         raise ValueError("vocabulary larger than its bound")
-    rows = list(enumerate(vocab))
-    return spark.createDataFrame(rows, "index int, term string")
+    pdf = pd.DataFrame({"index": np.arange(len(vocab), dtype="int32"), "term": list(vocab)})
+    return spark.createDataFrame(pdf, "index int, term string")
 
 
 def vector_long_form(df: DataFrame, vector_col: str, id_col: str, vocab: DataFrame,
                      value_name: str = "value", digits: int | None = None) -> DataFrame:
     """``(id, term, value)`` for every stored entry of a sparse vector."""
-    e = df.select(F.col(id_col), F.explode(vector_entries(vector_col)).alias("e"))
+    s = df.select(F.col(id_col), vector_struct(vector_col).alias("_v"))
+    e = s.select(F.col(id_col), F.explode(struct_entries("_v")).alias("e"))
     e = e.select(id_col, F.col("e.index").alias("index"), F.col("e.value").alias(value_name))
     out = e.join(F.broadcast(vocab), "index").select(id_col, "term", value_name)
     if digits is not None:
@@ -90,10 +93,10 @@ def vector_long_form(df: DataFrame, vector_col: str, id_col: str, vocab: DataFra
 def idf_table(cv_model: CountVectorizerModel, idf_model: IDFModel, digits: int | None = 6) -> DataFrame:
     """``(term, doc_freq, idf)`` from the fitted models."""
     spark = SparkSession.getActiveSession()
-    idf = idf_model.idf.toArray().tolist()
-    dfreq = list(idf_model.docFreq)
-    rows = [(t, int(dfreq[i]), float(idf[i])) for i, t in enumerate(cv_model.vocabulary)]
-    out = spark.createDataFrame(rows, "term string, doc_freq bigint, idf double")
+    pdf = pd.DataFrame({"term": list(cv_model.vocabulary),
+                        "doc_freq": np.asarray(idf_model.docFreq, dtype="int64"),
+                        "idf": idf_model.idf.toArray()})
+    out = spark.createDataFrame(pdf, "term string, doc_freq bigint, idf double")
     if digits is not None:
         out = out.withColumn("idf", F.round("idf", digits))
     return out

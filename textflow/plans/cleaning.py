@@ -56,12 +56,15 @@ def vocab_by_step(df: DataFrame, col: str = "question_text",
     ``(step int, name string, word string, n bigint)``. Each row carries its
     text at every step; words are exploded with the step number and counted
     with one two-phase aggregate."""
-    variants, x = [], F.col(col)
-    for i, name in enumerate(steps):
-        if name != "raw":
-            x = STEPS[name](x)
-        variants.append(F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), x.alias("t")))
-    s = df.select(F.explode(F.array(*variants)).alias("s"))
+    # each step's text is a column computed from the previous one, so every
+    # step runs once per row (Catalyst keeps the projections apart because
+    # each text is used twice); then one explode tags the texts by step
+    wide = df.select(F.col(col).alias("_t0"))
+    for i, name in enumerate(steps[1:], 1):
+        wide = wide.withColumn(f"_t{i}", STEPS[name](F.col(f"_t{i - 1}")))
+    variants = [F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), F.col(f"_t{i}").alias("t"))
+                for i, name in enumerate(steps)]
+    s = wide.select(F.explode(F.array(*variants)).alias("s"))
     words = s.select("s.step", "s.name", F.explode(words_of(F.col("s.t"))).alias("word"))
     return words.groupBy("step", "name", "word").agg(F.count(F.lit(1)).alias("n"))
 

@@ -43,6 +43,22 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType = CORPUS,
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def spread(df: DataFrame, key: str | None = None, per_core: int = 2) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has
+    cores (one small file, one row group) before CPU-heavy text work.
+
+    Hash-partitions by ``key`` when given (deterministic under task retries,
+    and a later join or aggregation on that key can reuse it), else
+    round-robin. When the input already has enough partitions -- any large
+    input -- the plan is returned unchanged, so nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    n = cores * per_core
+    return df.repartition(n, key) if key else df.repartition(n)
+
+
 def rename_positional(df: DataFrame, *names: str) -> DataFrame:
     """Rename every column by position (``toDF``)."""
     if len(names) != len(df.columns):

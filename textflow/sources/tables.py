@@ -13,11 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpus import lexicon_from_text
+from .corpus import lexicon_from_text, spread
 
+# Text-heavy tables and their keys: spread when the scan is too narrow.
+_TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
+    """Scan one table (only ``columns`` when given). Text tables are
+    spread over the cores when the file yields fewer splits than cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    if name in _TEXT_KEYS:
+        df = spread(df, _TEXT_KEYS[name])
+    return df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +37,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     file-size estimate is under the broadcast threshold, else both sides
     are shuffled on ``doc_id``; only the three needed columns are read.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return docs.join(labels, "doc_id").select(
         F.col("doc_id").cast("string").alias("qid"),
