@@ -31,6 +31,7 @@ from textflow.operators import vocab as VO
 from textflow.plans import classifier as PC
 from textflow.plans import cleaning as PL
 from textflow.sources import corpus as SC
+from textflow.session import lineage_cut
 from textflow.sources import tables as TB
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
@@ -78,11 +79,7 @@ def _main_tokens(spark, d):
 
 
 def _tfidf_parts(spark, d):
-    tok = _main_tokens(spark, d)
-    cv = FE.fit_term_counts(tok, "filtered", "rawFeatures")
-    counted = cv.transform(tok)
-    idf = FE.fit_idf(counted, "rawFeatures", "features")
-    return tok, cv, counted, idf
+    return PC.tfidf_features(_main_tokens(spark, d))
 
 
 # Small but real settings for the model keys (function defaults stay the
@@ -91,11 +88,8 @@ LDA_K, LDA_ITER, LDA_MIN_DF = 5, 10, 2.0
 
 
 def _lda_input(spark, d):
-    tok = _main_tokens(spark, d)
-    cv = FE.fit_term_counts(tok, "filtered", "rawFeatures", min_df=LDA_MIN_DF)
-    counted = cv.transform(tok)
-    idf = FE.fit_idf(counted, "rawFeatures", "features")
-    return cv, idf.transform(counted)
+    cv, _, feats = PC.tfidf_features(_main_tokens(spark, d), min_df=LDA_MIN_DF)
+    return cv, feats
 
 
 def _feature_vectors(spark, d, drop_value=9):
@@ -262,6 +256,11 @@ def q_pad_slots(spark, d):
     return _long(emb, ["vec_id"], padded)
 
 
+def q_to_vector(spark, d):
+    emb = TB.table(spark, d, "embeddings")
+    return _long(emb, ["vec_id"], A.vector_items(A.to_vector("embedding"), "float32"))
+
+
 def q_feature_arrays(spark, d):
     fv = _feature_vectors(spark, d)
     return _long(fv, ["vec_id", "label"], A.vector_items("features"))
@@ -277,7 +276,7 @@ def q_remove_stop_words(spark, d):
 
 
 def q_term_counts(spark, d):
-    tok = _main_tokens(spark, d)
+    tok = lineage_cut(_main_tokens(spark, d))
     cv = FE.fit_term_counts(tok, "filtered", "rawFeatures")
     counted = cv.transform(tok)
     return FE.vector_long_form(counted, "rawFeatures", "qid", FE.vocabulary_table(cv), "tf") \
@@ -285,14 +284,13 @@ def q_term_counts(spark, d):
 
 
 def q_idf(spark, d):
-    _, cv, _, idf = _tfidf_parts(spark, d)
+    cv, idf, _ = _tfidf_parts(spark, d)
     return FE.idf_table(cv, idf)
 
 
 def q_tf_idf(spark, d):
-    _, cv, counted, idf = _tfidf_parts(spark, d)
-    return FE.vector_long_form(idf.transform(counted), "features", "qid",
-                               FE.vocabulary_table(cv), "tfidf", digits=6)
+    cv, _, feats = _tfidf_parts(spark, d)
+    return FE.vector_long_form(feats, "features", "qid", FE.vocabulary_table(cv), "tfidf", digits=6)
 
 
 def q_word_vector_vocab(spark, d):
@@ -338,6 +336,18 @@ def q_topic_terms(spark, d):
                         (F.col("weight") > 0).alias("positive"))
 
 
+def q_topics_explore(spark, d):
+    """One LDA over all documents after the exploration cleaning, on tokens
+    without stop-word removal."""
+    docs = PL.clean_corpus(_docs(spark, d), "explore", "text")
+    tok = FE.tokenize(docs, "text", "words")
+    _, _, feats = PC.tfidf_features(tok, "words", min_df=LDA_MIN_DF)
+    mixed = TO.topic_mixture(TO.fit_topics(feats, k=LDA_K, max_iter=LDA_ITER), feats)
+    arr = A.vector_items("topicDistribution", "float64")
+    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+    return mixed.select("doc_id", F.size(arr).cast("long").alias("k"), F.round(total, 3).alias("total"))
+
+
 def q_topics_by_class(spark, d):
     _, feats = _lda_input(spark, d)
     _, out = TO.topics_by_class(feats, "target", (0, 1), k=LDA_K, max_iter=LDA_ITER)
@@ -594,6 +604,8 @@ def _oracles() -> dict[str, str]:
             "CASE WHEN label % 2 = 0 THEN list_concat(embedding[1:20], list_transform(range(20), "
             "lambda i: 0::FLOAT)) ELSE list_concat(list_transform(range(20), lambda i: 0::FLOAT), "
             "embedding[1:20]) END"),
+        "to_vector": _long_sql("SELECT vec_id, embedding FROM embeddings", ["vec_id"], "embedding"),
+        "topics_explore": _topics_explore_sql(),
         "feature_arrays": _long_sql(
             f"SELECT vec_id, target AS label, a FROM (SELECT vec_id, target, "
             f"{_take_1_18(_lenient('topics'))} AS a FROM ({_FEATURE_TEXT})) WHERE len(a) = 18 AND {_no_nine('a')}",
@@ -634,6 +646,18 @@ def _oracles() -> dict[str, str]:
     return o
 
 
+def _topics_explore_sql():
+    clean = _mask(_punct_b("text"))
+    src = f"SELECT doc_id, {clean} AS t FROM documents"
+    return (f"WITH c AS ({_misspell_sql(src, 'doc_id', 'text')}), "
+            f"toks AS (SELECT doc_id, {_tokenize('text')} AS f FROM c), "
+            f"dfq AS (SELECT term FROM (SELECT DISTINCT doc_id, unnest(f) AS term FROM toks) "
+            f"GROUP BY term HAVING count(*) >= 2) "
+            f"SELECT doc_id, {LDA_K}::BIGINT AS k, CASE WHEN EXISTS (SELECT 1 FROM "
+            f"(SELECT unnest(f) AS term) u JOIN dfq ON u.term = dfq.term) "
+            f"THEN 1.0 ELSE 0.0 END::DOUBLE AS total FROM toks")
+
+
 def _model_sql(train_share, drop_value):
     bound = format(min(int(train_share[0] * 16 ** 8), 16 ** 8 - 1), "08x")
     return (f"SELECT vec_id, true AS valid FROM (SELECT vec_id, {_take_1_18(_lenient('topics'))} AS a "
@@ -660,9 +684,11 @@ def _coverage_by_step_sql(steps, misspelled_src):
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Flagship on sf0.001: which frequent words does the lexicon lack
-    after cleaning? (clean -> vocabulary -> anti join -> sort)."""
-    return q_oov_by_count(spark, FLAGSHIP_SF)
+    """Flagship on sf0.001: the whole question classifier with the original
+    settings (main cleaning, Word2Vec 100 wide / minCount 2, term counts,
+    TF-IDF, LDA k=8 x 100 iterations, forest of 10 trees, 60/40 split with
+    seed 24): predictions ``(qid, prediction, label)`` on the test part."""
+    return PC.question_classifier(TB.corpus(spark, FLAGSHIP_SF)).predictions
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

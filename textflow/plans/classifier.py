@@ -36,6 +36,20 @@ def question_features(corpus: DataFrame, preset: str = "main", key: str = "qid",
     return tokens.select(key, "filtered", target)
 
 
+def tfidf_features(tokens: DataFrame, input_col: str = "filtered", vocab_size: int = 1 << 18,
+                   min_df: float = 1.0, cut: bool = True):
+    """Fit term counts and IDF on a token table and add both vectors
+    (``rawFeatures``, ``features``). The tokens are cut from their lineage
+    once (``cut``), so the two fits and the transform read them instead of
+    re-running the cleaning. Returns ``(count_model, idf_model, table)``."""
+    if cut:
+        tokens = lineage_cut(tokens)
+    cv_model = fit_term_counts(tokens, input_col, "rawFeatures", vocab_size=vocab_size, min_df=min_df)
+    counted = cv_model.transform(tokens)
+    idf_model = fit_idf(counted, "rawFeatures", "features")
+    return cv_model, idf_model, idf_model.transform(counted)
+
+
 def question_classifier(corpus: DataFrame, preset: str = "main", key: str = "qid",
                         target: str = "target", w2v_size: int = 100, min_count: int = 2,
                         w2v_partitions: int = 1, vocab_size: int = 1 << 18, min_df: float = 1.0,
@@ -107,5 +121,5 @@ def classify_features(df: DataFrame, kind: str = "random_forest", key: str = "ve
     return ClassifierRun(pred, {"classifier": model}, data)
 
 
-__all__ = ["ClassifierRun", "question_features", "question_classifier", "load_feature_arrays",
+__all__ = ["ClassifierRun", "question_features", "tfidf_features", "question_classifier", "load_feature_arrays",
            "classify_features", "as_labelled"]

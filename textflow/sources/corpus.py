@@ -52,8 +52,11 @@ def spread(df: DataFrame, key: str | None = None, per_core: int = 2) -> DataFram
     round-robin. When the input already has enough partitions -- any large
     input -- the plan is returned unchanged, so nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # no RDD view (e.g. a Connect session): leave the plan as is
         return df
     n = cores * per_core
     return df.repartition(n, key) if key else df.repartition(n)
