@@ -295,7 +295,7 @@ def q_tf_idf(spark, d):
 
 def q_word_vector_vocab(spark, d):
     model, _ = FE.word_vectors(_main_tokens(spark, d), "filtered", "wordvectors", size=20,
-                               min_count=2, partitions=4)
+                               min_count=2)
     return FE.word_vector_vocab(model)
 
 
@@ -304,13 +304,13 @@ def q_word_vector_vocab(spark, d):
 
 def q_word_vectors(spark, d):
     _, out = FE.word_vectors(_main_tokens(spark, d), "filtered", "wordvectors", size=100,
-                             min_count=2, partitions=4)
+                             min_count=2)
     return out.select("qid", F.size(A.vector_items("wordvectors")).cast("long").alias("width"))
 
 
 def q_assemble(spark, d):
     tok = _main_tokens(spark, d)
-    _, w = FE.word_vectors(tok, "filtered", "wordvectors", size=20, min_count=2, partitions=4)
+    _, w = FE.word_vectors(tok, "filtered", "wordvectors", size=20, min_count=2)
     cv = FE.fit_term_counts(w, "filtered", "rawFeatures")
     out = FE.assemble(cv.transform(w), ["wordvectors", "rawFeatures"], "features")
     return out.select("qid", (F.size(A.vector_items("features")) - F.lit(len(cv.vocabulary)))
@@ -389,7 +389,7 @@ def q_tune_logistic(spark, d):
 
 def q_flagship(spark, d):
     run = PC.question_classifier(_corpus(spark, d), "main", k=LDA_K, lda_iter=LDA_ITER,
-                                 min_df=LDA_MIN_DF, w2v_partitions=4)
+                                 min_df=LDA_MIN_DF)
     return _model_check(run.predictions, "qid")
 
 

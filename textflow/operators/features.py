@@ -104,10 +104,19 @@ def idf_table(cv_model: CountVectorizerModel, idf_model: IDFModel, digits: int |
 
 def word_vectors(df: DataFrame, input_col: str = "filtered", output_col: str = "wordvectors",
                  size: int = 100, min_count: int = 2, seed: int = 42,
-                 partitions: int = 1, max_iter: int = 1, window: int = 5) -> tuple[Word2VecModel, DataFrame]:
+                 partitions: int | None = None, max_iter: int = 1,
+                 window: int = 5) -> tuple[Word2VecModel, DataFrame]:
     """Word2Vec (skip-gram); a document is the mean of its words' vectors.
-    ``partitions`` > 1 trains faster on many cores with slightly different
-    vectors."""
+
+    ``partitions`` defaults to one per core: each partition trains on its
+    share and the updates are merged, so the work spreads over the cluster
+    (vectors differ slightly from a one-partition fit, which trains the
+    whole corpus in a single task; pass ``partitions=1`` for that). Every
+    task holds the full model (vocabulary x size floats), so bound the
+    vocabulary with ``min_count`` on large corpora.
+    """
+    if partitions is None:
+        partitions = df.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=size, minCount=min_count, inputCol=input_col, outputCol=output_col,
                    seed=seed, numPartitions=partitions, maxIter=max_iter, windowSize=window)
     model = w2v.fit(df)

@@ -3,6 +3,7 @@ classifiers."""
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,18 @@ from ..sources.corpus import as_labelled
 from .cleaning import clean_corpus
 
 
+class _Clock:
+    def __init__(self, sink):
+        self.sink = sink
+
+    def __call__(self, name, fn):
+        t = time.perf_counter()
+        out = fn()
+        if self.sink is not None:
+            self.sink[name] = time.perf_counter() - t
+        return out
+
+
 @dataclass
 class ClassifierRun:
     predictions: DataFrame           # key, prediction, label
@@ -52,10 +65,11 @@ def tfidf_features(tokens: DataFrame, input_col: str = "filtered", vocab_size: i
 
 def question_classifier(corpus: DataFrame, preset: str = "main", key: str = "qid",
                         target: str = "target", w2v_size: int = 100, min_count: int = 2,
-                        w2v_partitions: int = 1, vocab_size: int = 1 << 18, min_df: float = 1.0,
+                        w2v_partitions: int | None = None, vocab_size: int = 1 << 18, min_df: float = 1.0,
                         k: int = 8, lda_iter: int = 100, kind: str = "random_forest",
                         weights=(0.6, 0.4), seed: int = 24, fit_on: str = "all",
-                        drop_value: float | None = 9, **model_params) -> ClassifierRun:
+                        drop_value: float | None = 9, timings: dict | None = None,
+                        **model_params) -> ClassifierRun:
     """Clean -> tokens -> word vectors + TF-IDF -> LDA mixture -> assembled
     features -> hash split -> classifier -> predictions on the test part.
 
@@ -63,17 +77,22 @@ def question_classifier(corpus: DataFrame, preset: str = "main", key: str = "qid
     pipeline does, so test rows shape the features); ``"train"`` fits them
     on the training part only. The mixture filters keep the original
     semantics: exactly ``k`` items and no item equal to ``drop_value``.
+    ``timings`` (a dict) receives the seconds of each step.
     """
+    clock = _Clock(timings)
     tokens = with_split(question_features(corpus, preset, key, target=target), weights, key, seed, "part")
-    tokens = lineage_cut(tokens)                       # read by four fits
+    tokens = clock("tokens", lambda: lineage_cut(tokens))      # read by four fits
     fit_rows = tokens if fit_on == "all" else tokens.where(F.col("part") == 0)
 
-    w2v_model, _ = word_vectors(fit_rows, "filtered", "wordvectors", size=w2v_size,
-                                min_count=min_count, seed=seed, partitions=w2v_partitions)
-    cv_model = fit_term_counts(fit_rows, "filtered", "rawFeatures", vocab_size=vocab_size, min_df=min_df)
+    w2v_model, _ = clock("word2vec", lambda: word_vectors(
+        fit_rows, "filtered", "wordvectors", size=w2v_size, min_count=min_count, seed=seed,
+        partitions=w2v_partitions))
+    cv_model = clock("term_counts", lambda: fit_term_counts(
+        fit_rows, "filtered", "rawFeatures", vocab_size=vocab_size, min_df=min_df))
     counted = cv_model.transform(fit_rows)
-    idf_model = fit_idf(counted, "rawFeatures", "features")
-    lda_model = fit_topics(idf_model.transform(counted), k=k, max_iter=lda_iter, seed=seed)
+    idf_model = clock("idf", lambda: fit_idf(counted, "rawFeatures", "features"))
+    lda_model = clock("lda", lambda: fit_topics(idf_model.transform(counted), k=k, max_iter=lda_iter,
+                                                seed=seed))
 
     feats = idf_model.transform(cv_model.transform(w2v_model.transform(tokens)))
     feats = lda_model.transform(feats)
@@ -85,9 +104,10 @@ def question_classifier(corpus: DataFrame, preset: str = "main", key: str = "qid
         feats = without_value(feats, "topics", drop_value)
     feats = feats.withColumn("topics", to_vector("topics"))
     feats = assemble(feats, ["wordvectors", "topics"], "features").select(key, "part", "label", "features")
-    feats = lineage_cut(feats)                         # read by every tree level and the scoring
+    feats = clock("features", lambda: lineage_cut(feats))   # read by every tree level and the scoring
 
-    model = train(feats.where(F.col("part") == 0), kind, "features", "label", seed, **model_params)
+    model = clock("classifier", lambda: train(feats.where(F.col("part") == 0), kind, "features", "label",
+                                              seed, **model_params))
     pred = predict(model, feats.where(F.col("part") == 1)).select(key, "prediction", "label")
     return ClassifierRun(pred, {"word2vec": w2v_model, "count": cv_model, "idf": idf_model,
                                 "lda": lda_model, "classifier": model}, feats)
