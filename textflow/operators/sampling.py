@@ -92,15 +92,31 @@ def split_key(key: str, seed) -> "F.Column":
 
 
 def with_split(df: DataFrame, weights=(0.6, 0.4), key: str = "qid", seed: int = 24,
-               name: str = "split") -> DataFrame:
-    """Add the part number (0, 1, ...) each row falls in."""
-    u = split_key(key, seed)
+               name: str = "split", method: str = "hash") -> DataFrame:
+    """Add the part number (0, 1, ...) each row falls in.
+
+    ``method="hash"`` (default) uses the MD5 of ``key`` and ``seed``;
+    ``"random"`` uses ``rand(seed)`` like ``randomSplit``, whose outcome
+    depends on how the input is partitioned.
+    """
+    if method == "random":
+        u, bounds = F.rand(seed), [float(b) for b in _cumulative(weights)]
+    else:
+        u, bounds = split_key(key, seed), _split_bounds(weights)
     part = F.lit(len(weights) - 1)
-    for i, b in reversed(list(enumerate(_split_bounds(weights)))):
+    for i, b in reversed(list(enumerate(bounds))):
         part = F.when(u < F.lit(b), F.lit(i)).otherwise(part)
     return df.withColumn(name, part.cast("int"))
 
 
+def _cumulative(weights):
+    total, acc, out = float(sum(weights)), 0.0, []
+    for w in weights[:-1]:
+        acc += w / total
+        out.append(acc)
+    return out
+
+
 def hash_split(df: DataFrame, weights=(0.6, 0.4), key: str = "qid", seed: int = 24) -> list[DataFrame]:
     """Split like ``randomSplit`` but by key hash: part ``i`` holds rows whose
     hash falls in the ``i``-th slice of ``[0, 1)``. Each part is a filter
