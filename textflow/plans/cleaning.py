@@ -50,23 +50,51 @@ def clean_corpus(df: DataFrame, preset: str = "main", col: str = "question_text"
     return df.withColumn(col, clean_text(col, steps))
 
 
+# Steps that act inside words: they never turn whitespace into a word
+# character or delete whitespace, and their patterns hold no whitespace. For
+# such steps, cleaning a text and splitting it gives the same words as
+# splitting first and cleaning each word. The ASCII step is not one of them
+# (it deletes non-ASCII spaces, which joins words).
+WORD_LOCAL = frozenset({"trim", "punct_a", "punct_b", "numbers", "misspellings"})
+
+
 def vocab_by_step(df: DataFrame, col: str = "question_text",
                   steps=("raw", "punct_b", "numbers", "misspellings")) -> DataFrame:
-    """Word counts after each cumulative cleaning step, in one scan:
-    ``(step int, name string, word string, n bigint)``. Each row carries its
-    text at every step; words are exploded with the step number and counted
-    with one two-phase aggregate."""
+    """Word counts after each cumulative cleaning step:
+    ``(step int, name string, word string, n bigint)``.
+
+    When every step acts inside words (``WORD_LOCAL``), the text is scanned
+    and counted once; each step then cleans and re-splits the distinct
+    words, weighted by their counts, so the cleaning runs over the
+    vocabulary instead of over every token. Otherwise each row carries its
+    text at every step and the words are counted with one aggregate.
+    """
+    names = F.element_at(F.array(*[F.lit(n) for n in steps]), F.col("step") + 1)
+    if all(s in WORD_LOCAL for s in steps[1:]):
+        raw = build_vocab(df, col)
+        parts = []
+        for i in range(len(steps)):
+            if i == 0:
+                parts.append(raw.select(F.lit(0).alias("step"), "word", "n"))
+            else:
+                cleaned = clean_text(F.col("word"), steps[1:i + 1])
+                parts.append(raw.select(F.lit(i).alias("step"), F.explode(words_of(cleaned)).alias("word"), "n"))
+        allsteps = parts[0]
+        for p in parts[1:]:
+            allsteps = allsteps.unionByName(p)
+        counted = allsteps.groupBy("step", "word").agg(F.sum("n").alias("n"))
+        return counted.select("step", names.alias("name"), "word", "n")
     # each step's text is a column computed from the previous one, so every
     # step runs once per row (Catalyst keeps the projections apart because
     # each text is used twice); then one explode tags the texts by step
     wide = df.select(F.col(col).alias("_t0"))
     for i, name in enumerate(steps[1:], 1):
         wide = wide.withColumn(f"_t{i}", STEPS[name](F.col(f"_t{i - 1}")))
-    variants = [F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), F.col(f"_t{i}").alias("t"))
-                for i, name in enumerate(steps)]
+    variants = [F.struct(F.lit(i).alias("step"), F.col(f"_t{i}").alias("t")) for i in range(len(steps))]
     s = wide.select(F.explode(F.array(*variants)).alias("s"))
-    words = s.select("s.step", "s.name", F.explode(words_of(F.col("s.t"))).alias("word"))
-    return words.groupBy("step", "name", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = s.select("s.step", F.explode(words_of(F.col("s.t"))).alias("word"))
+    counted = words.groupBy("step", "word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("step", names.alias("name"), "word", "n")
 
 
 def coverage_by_step(df: DataFrame, lexicon: DataFrame, col: str = "question_text",
