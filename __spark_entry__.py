@@ -182,6 +182,10 @@ def q_evaluate(spark, d):
     return pred.agg(F.lit(round(value, 6)).alias("accuracy"))
 
 
+def q_report(spark, d):
+    return ME.report(_labels_pred(spark, d))
+
+
 def q_rmse(spark, d):
     return ME.rmse(_labels_pred(spark, d))
 
@@ -570,6 +574,11 @@ def _oracles() -> dict[str, str]:
         "evaluate": (f"SELECT round(avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) "
                      f"AS accuracy FROM ({lab_pred})"),
         "rmse": f"SELECT round(sqrt(avg((prediction - label) ^ 2)), 6) AS rmse FROM ({lab_pred})",
+        "report": (f"SELECT round(avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy, "
+                   f"count(*) AS rows, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::BIGINT AS positives, "
+                   f"round(greatest(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END), "
+                   f"count(*) - sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)) / count(*), 6) AS majority_share "
+                   f"FROM ({lab_pred})"),
         "union_classes": (f"WITH {_CORPUS} SELECT qid, target FROM corpus WHERE target = 0 "
                           f"UNION ALL SELECT qid, target FROM corpus WHERE target = 1"),
         "balanced_sample": (f"WITH {_CORPUS} SELECT qid, target FROM (SELECT qid, target, row_number() "

@@ -48,3 +48,39 @@ def test_has_length_and_non_empty(spark):
     assert FI.has_length(df, "a", 2).count() == 1
     t = spark.createDataFrame([("",), (None,), (" ",), ("a",)], "t string")
     assert sorted(r.t for r in FI.non_empty(t, "t").collect()) == [" ", "a"]
+
+
+def test_slice_skips_the_bracket_pieces(spark):
+    # quirk: items 1..18 of a 20-item text vector are exactly the pieces
+    # without brackets, so nothing is NULL after the slice
+    text = "[" + ", ".join(str(i) for i in range(20)) + "]"
+    got = one(spark, A.take_items(A.parse_vector("x"), 1, 19), text)
+    assert got == [float(i) for i in range(1, 19)]
+
+
+def test_parse_and_take_match_python(spark):
+    from hypothesis import given, settings, HealthCheck
+    from hypothesis import strategies as st
+
+    def py_parse(s):
+        out = []
+        for p in s.split(","):
+            try:
+                out.append(float(p))
+            except ValueError:
+                out.append(None)
+        return out
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.lists(st.integers(-100, 100), min_size=1, max_size=25), min_size=5, max_size=20))
+    def check(vectors):
+        texts = ["[" + ", ".join(map(str, v)) + "]" for v in vectors]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+        rows = df.select("i", A.parse_vector("x").alias("p"),
+                         A.take_items(A.parse_vector("x"), 1, 19).alias("t")).collect()
+        for r in sorted(rows, key=lambda r: r.i):
+            want = py_parse(texts[r.i])
+            assert r.p == want
+            assert r.t == [want[j] if j < len(want) else None for j in range(1, 19)]
+
+    check()

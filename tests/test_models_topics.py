@@ -72,3 +72,10 @@ def test_topics(spark):
     sweep = TO.topic_sweep(feats, "target", (0, 1), ks=(2, 3), max_iter=5, parallelism=2).collect()
     assert sorted((r.label, r.k) for r in sweep) == [(0, 2), (0, 3), (1, 2), (1, 3)]
     assert all(r.log_likelihood < 0 and r.seconds > 0 for r in sweep)
+
+
+def test_report_reads_accuracy_against_balance(spark):
+    pred = spark.createDataFrame([(0.0, 0), (0.0, 0), (0.0, 1), (1.0, 1), (0.0, 0)],
+                                 "prediction double, label int")
+    r = ME.report(pred).first()
+    assert (r.accuracy, r.rows, r.positives, r.majority_share) == (0.8, 5, 2, 0.6)

@@ -60,3 +60,16 @@ def test_balanced_sample_exact_under_skew(spark):
     # a class smaller than n is kept whole
     small = SA.balanced_sample(df, "target", 5000, "qid")
     assert small.where("target = 1").count() == sum(1 for _, t in rows if t == 1)
+
+
+def test_coverage_by_step_routes_agree(spark):
+    # the vocabulary route (word-local steps) must equal cleaning the text
+    from textflow.plans import cleaning as PL
+    docs = spark.createDataFrame(
+        [(1, "R&D colours 12345 wwiisnt a/b"), (2, "x-y “q” 99 don't  z"), (3, "")],
+        "id int, text string")
+    steps = ("raw", "punct_b", "numbers", "misspellings")
+    fast = PL.vocab_by_step(docs, "text", steps)
+    # force the text route by adding a step that is not word-local at the end
+    slow = PL.vocab_by_step(docs, "text", steps + ("ascii",)).where("step < 4")
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))

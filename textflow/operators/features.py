@@ -66,11 +66,15 @@ def tf_idf(df: DataFrame, input_col: str = "rawFeatures", output_col: str = "fea
     return model, model.transform(df)
 
 
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 def vocabulary_table(model: CountVectorizerModel) -> DataFrame:
     """``(index int, term string)`` of a fitted vocabulary. The vocabulary
     already lives on the driver inside the model and is bounded by its
     ``vocabSize``, so the table is safe to broadcast."""
-    spark = SparkSession.getActiveSession()
+    spark = _session()
     vocab = model.vocabulary
     if len(vocab) > model.getVocabSize():
         raise ValueError("vocabulary larger than its bound")
@@ -92,7 +96,7 @@ def vector_long_form(df: DataFrame, vector_col: str, id_col: str, vocab: DataFra
 
 def idf_table(cv_model: CountVectorizerModel, idf_model: IDFModel, digits: int | None = 6) -> DataFrame:
     """``(term, doc_freq, idf)`` from the fitted models."""
-    spark = SparkSession.getActiveSession()
+    spark = _session()
     pdf = pd.DataFrame({"term": list(cv_model.vocabulary),
                         "doc_freq": np.asarray(idf_model.docFreq, dtype="int64"),
                         "idf": idf_model.idf.toArray()})

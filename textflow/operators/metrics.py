@@ -34,3 +34,17 @@ def rmse(pred: DataFrame, prediction: str = "prediction", label: str = "label",
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows per class, to read an accuracy against the majority share."""
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def report(pred: DataFrame, prediction: str = "prediction", label: str = "label",
+           digits: int = 6) -> DataFrame:
+    """One row: ``accuracy``, ``rows``, ``positives`` and ``majority_share``
+    (the accuracy of always answering the larger class), so an accuracy can
+    be read against the class balance. One aggregate pass."""
+    y = F.col(label).cast("double")
+    hit = (F.col(prediction).cast("double") == y).cast("double")
+    agg = pred.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("rows"),
+                   F.sum((y == 1).cast("long")).alias("positives"))
+    share = F.greatest(F.col("positives"), F.col("rows") - F.col("positives")) / F.col("rows")
+    return agg.select(F.round("accuracy", digits).alias("accuracy"), "rows", "positives",
+                      F.round(share, digits).alias("majority_share"))

@@ -98,6 +98,6 @@ def tune(df: DataFrame, est, grid, train_ratio: float = 0.8, metric: str = "rmse
     for i, (pm, s) in enumerate(zip(grid, scores)):
         desc = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
         rows.append((i, desc, float(s), i == best))
-    spark = SparkSession.getActiveSession()
+    spark = (SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
     table = spark.createDataFrame(rows, "setting int, params string, score double, best boolean")
     return model, table

@@ -8,7 +8,7 @@ under two layouts).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Hex digits of the MD5 used to order rows in a sample (64 bits).
@@ -25,7 +25,8 @@ def union_classes(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def order_hash(key: str, seed=None) -> DataFrame:
+def order_hash(key: str, seed=None) -> Column:
+    """First 16 hex digits of ``md5(key)`` (or of ``key:seed``)."""
     s = F.col(key).cast("string")
     if seed is not None:
         s = F.concat(s, F.lit(f":{seed}"))
@@ -86,7 +87,7 @@ def _split_bounds(weights) -> list[str]:
     return bounds
 
 
-def split_key(key: str, seed) -> "F.Column":
+def split_key(key: str, seed) -> Column:
     """First 8 hex digits of ``md5(key || ':' || seed)``."""
     return F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, _SPLIT_HEX)
 
