@@ -63,3 +63,16 @@ def test_lexicon_text_format(spark):
     rows = sorted((r.word, [round(x, 3) for x in r.vector]) for r in lex.collect())
     assert rows == [("cat", [0.1, 0.2]), ("dog", [0.3, 0.4])]
     assert F is not None
+
+
+def test_export_class_topics_and_classify_back(spark):
+    from textflow.plans import classify_features, export_class_topic_features
+    d = scratch()
+    back = export_class_topic_features(TB.corpus(spark, SF001), os.path.join(d, "export"), fmt="csv",
+                                       text_vectors=True, k=3, max_iter=3, w2v_size=8, min_df=2.0)
+    rows = back.collect()
+    assert rows and all(r.topic.startswith("[") and len(r.topic.split(",")) == 6 for r in rows)
+    # the feature-file classifier reads the exported text vectors
+    ft = back.select("qid", F.col("target").cast("int").alias("target"), F.col("topic").alias("topics"))
+    run = classify_features(ft, "logistic", key="qid", drop_value=None, start=0, stop=6, strict=True)
+    assert run.predictions.count() >= 0

@@ -2,7 +2,9 @@
 
 from .cleaning import PRESETS, clean_corpus, coverage_by_step, vocab_by_step
 from .classifier import (ClassifierRun, classify_features, load_feature_arrays,
-                         question_classifier, question_features)
+                         question_classifier, question_features, tfidf_features)
+from .export import class_topic_features, export_class_topic_features
 
 __all__ = ["PRESETS", "clean_corpus", "coverage_by_step", "vocab_by_step", "ClassifierRun",
-           "classify_features", "load_feature_arrays", "question_classifier", "question_features"]
+           "classify_features", "load_feature_arrays", "question_classifier", "question_features",
+           "tfidf_features", "class_topic_features", "export_class_topic_features"]

@@ -131,10 +131,12 @@ def load_feature_arrays(df: DataFrame, vector_col: str = "topics", label_col: st
 def classify_features(df: DataFrame, kind: str = "random_forest", key: str = "vec_id",
                       weights=(0.7, 0.3), seed: int = 24, vector_col: str = "topics",
                       label_col: str = "target", drop_value: float | None = 9,
+                      start: int = 1, stop: int = 19, strict: bool = False,
                       **model_params) -> ClassifierRun:
     """The feature-file classifiers: arrays -> split -> fit -> predictions
     on the held-out part (label kept in the row)."""
-    data = load_feature_arrays(df, vector_col, label_col, drop_value=drop_value, keep=(key,))
+    data = load_feature_arrays(df, vector_col, label_col, start, stop, drop_value=drop_value,
+                               strict=strict, keep=(key,))
     data = lineage_cut(with_split(data, weights, key, seed, "part"))
     model = train(data.where(F.col("part") == 0), kind, "features", "label", seed, **model_params)
     pred = predict(model, data.where(F.col("part") == 1)).select(key, "prediction", "label")
