@@ -106,11 +106,15 @@ def clean_punct(c, rule: str = "a") -> Column:
 
 
 def mask_numbers(c) -> Column:
-    """Replace digit runs: five or more -> ``#####``, then groups of 4, 3, 2."""
+    """Replace digit runs: five or more -> ``#####``, then groups of 4, 3, 2.
+
+    Text without two adjacent digits is returned as is (one scan instead of
+    four)."""
     x = _col(c)
+    masked = x
     for pattern, mask in DIGIT_MASKS:
-        x = F.regexp_replace(x, pattern, mask)
-    return x
+        masked = F.regexp_replace(masked, pattern, mask)
+    return F.when(x.rlike("[0-9]{2}"), masked).otherwise(x)
 
 
 def misspelling_pattern(table=MISSPELLINGS) -> str:
@@ -139,7 +143,8 @@ def fix_misspellings(c, table=MISSPELLINGS) -> Column:
         pieces, hits,
         lambda piece, hit: F.concat(piece, F.coalesce(F.try_element_at(mapping, hit), F.lit(""))),
     )
-    return F.array_join(joined, "")
+    # text with no key at all (most of it) skips the split / extract / join
+    return F.when(x.rlike(pattern), F.array_join(joined, "")).otherwise(x)
 
 
 def words_of(c) -> Column:

@@ -43,11 +43,20 @@ def clean_text(c, steps) -> "F.Column":
 
 
 def clean_corpus(df: DataFrame, preset: str = "main", col: str = "question_text") -> DataFrame:
-    """Clean the text column with one of the preset chains."""
+    """Clean the text column with one of the preset chains.
+
+    Each step is its own projection of the previous step's column. Steps
+    that test their input before rewriting it (digits, misspellings) read
+    it twice, so Catalyst keeps those projections apart and every step runs
+    once per row; the rest fuse into one codegen stage.
+    """
     steps = PRESETS[preset] if isinstance(preset, str) else tuple(preset)
     if "non_empty" in steps:
         df = non_empty(df, col)
-    return df.withColumn(col, clean_text(col, steps))
+    for step in steps:
+        if step != "non_empty":
+            df = df.withColumn(col, STEPS[step](F.col(col)))
+    return df
 
 
 # Steps that act inside words: they never turn whitespace into a word
@@ -71,29 +80,22 @@ def vocab_by_step(df: DataFrame, col: str = "question_text",
     """
     names = F.element_at(F.array(*[F.lit(n) for n in steps]), F.col("step") + 1)
     if all(s in WORD_LOCAL for s in steps[1:]):
-        raw = build_vocab(df, col)
-        parts = []
-        for i in range(len(steps)):
-            if i == 0:
-                parts.append(raw.select(F.lit(0).alias("step"), "word", "n"))
-            else:
-                cleaned = clean_text(F.col("word"), steps[1:i + 1])
-                parts.append(raw.select(F.lit(i).alias("step"), F.explode(words_of(cleaned)).alias("word"), "n"))
-        allsteps = parts[0]
-        for p in parts[1:]:
-            allsteps = allsteps.unionByName(p)
-        counted = allsteps.groupBy("step", "word").agg(F.sum("n").alias("n"))
-        return counted.select("step", names.alias("name"), "word", "n")
-    # each step's text is a column computed from the previous one, so every
-    # step runs once per row (Catalyst keeps the projections apart because
-    # each text is used twice); then one explode tags the texts by step
-    wide = df.select(F.col(col).alias("_t0"))
+        # count the text once, then clean the distinct words: step i is
+        # computed from step i-1 in one projection over the vocabulary
+        src, col = build_vocab(df, col).withColumnRenamed("word", "_w"), "_w"
+    else:
+        src = df
+    wide = src.select(F.col(col).alias("_t0"), *(["n"] if src is not df else []))
     for i, name in enumerate(steps[1:], 1):
         wide = wide.withColumn(f"_t{i}", STEPS[name](F.col(f"_t{i - 1}")))
     variants = [F.struct(F.lit(i).alias("step"), F.col(f"_t{i}").alias("t")) for i in range(len(steps))]
-    s = wide.select(F.explode(F.array(*variants)).alias("s"))
-    words = s.select("s.step", F.explode(words_of(F.col("s.t"))).alias("word"))
-    counted = words.groupBy("step", "word").agg(F.count(F.lit(1)).alias("n"))
+    s = wide.select(F.explode(F.array(*variants)).alias("s"), *(["n"] if src is not df else []))
+    words = s.select("s.step", F.explode(words_of(F.col("s.t"))).alias("word"),
+                     *(["n"] if src is not df else []))
+    if src is not df:
+        counted = words.groupBy("step", "word").agg(F.sum("n").alias("n"))
+    else:
+        counted = words.groupBy("step", "word").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("step", names.alias("name"), "word", "n")
 
 
