@@ -1,13 +1,13 @@
-"""The cleaning chains, as one projection (plus a filter) over the text.
+"""The cleaning chains: a filter plus one projection per step.
 
-Every step is a native expression, so a whole chain compiles into one
-whole-stage-codegen stage after the scan; the non-empty filter is a plain
-predicate that Catalyst pushes below the projection.
+Every step is a native expression, so a chain compiles into whole-stage
+codegen right after the scan; the non-empty filter is a plain predicate that
+Catalyst pushes into the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (ascii_only, clean_punct, fix_misspellings,
@@ -33,8 +33,10 @@ PRESETS = {
 }
 
 
-def clean_text(c, steps) -> "F.Column":
-    """Apply the expression steps of a chain (the row filter excluded)."""
+def clean_text(c, steps) -> Column:
+    """The steps of a chain as one nested expression (the row filter
+    excluded). ``clean_corpus`` applies the steps one projection at a time
+    instead, so a step that reads its input twice never recomputes it."""
     x = F.col(c) if isinstance(c, str) else c
     for s in steps:
         if s != "non_empty":
@@ -79,23 +81,23 @@ def vocab_by_step(df: DataFrame, col: str = "question_text",
     text at every step and the words are counted with one aggregate.
     """
     names = F.element_at(F.array(*[F.lit(n) for n in steps]), F.col("step") + 1)
-    if all(s in WORD_LOCAL for s in steps[1:]):
-        # count the text once, then clean the distinct words: step i is
-        # computed from step i-1 in one projection over the vocabulary
-        src, col = build_vocab(df, col).withColumnRenamed("word", "_w"), "_w"
+    by_vocab = all(s in WORD_LOCAL for s in steps[1:])
+    if by_vocab:
+        # count the text once, then clean the distinct words
+        src, col, weight = build_vocab(df, col).withColumnRenamed("word", "_w"), "_w", ["n"]
     else:
-        src = df
-    wide = src.select(F.col(col).alias("_t0"), *(["n"] if src is not df else []))
+        src, weight = df, []
+    # step i is computed from step i-1, one projection each (Catalyst keeps
+    # them apart because each text is read twice), then one explode tags
+    # the texts by step
+    wide = src.select(F.col(col).alias("_t0"), *weight)
     for i, name in enumerate(steps[1:], 1):
         wide = wide.withColumn(f"_t{i}", STEPS[name](F.col(f"_t{i - 1}")))
     variants = [F.struct(F.lit(i).alias("step"), F.col(f"_t{i}").alias("t")) for i in range(len(steps))]
-    s = wide.select(F.explode(F.array(*variants)).alias("s"), *(["n"] if src is not df else []))
-    words = s.select("s.step", F.explode(words_of(F.col("s.t"))).alias("word"),
-                     *(["n"] if src is not df else []))
-    if src is not df:
-        counted = words.groupBy("step", "word").agg(F.sum("n").alias("n"))
-    else:
-        counted = words.groupBy("step", "word").agg(F.count(F.lit(1)).alias("n"))
+    tagged = wide.select(F.explode(F.array(*variants)).alias("s"), *weight)
+    words = tagged.select("s.step", F.explode(words_of(F.col("s.t"))).alias("word"), *weight)
+    n = F.sum("n") if by_vocab else F.count(F.lit(1))
+    counted = words.groupBy("step", "word").agg(n.alias("n"))
     return counted.select("step", names.alias("name"), "word", "n")
 
 
