@@ -369,6 +369,15 @@ def q_topic_sweep(spark, d):
     return sweep.select("label", "k", ok.alias("ok"))
 
 
+def q_topic_tuning(spark, d):
+    from textflow.plans.export import topic_tuning
+    sweep = topic_tuning(_corpus(spark, d), n=50, ks=(3, 4), max_iter=LDA_ITER, min_df=LDA_MIN_DF,
+                         parallelism=2)
+    ok = F.isnan("log_likelihood").__invert__() & (F.col("log_likelihood") < 0) \
+        & F.isnan("log_perplexity").__invert__()
+    return sweep.select("label", "k", ok.alias("ok"))
+
+
 def _classifier_key(kind, weights, drop_value=9, **params):
     def q(spark, d):
         run = PC.classify_features(TB.feature_text(spark, d), kind, "vec_id", weights, 24,
@@ -643,6 +652,8 @@ def _oracles() -> dict[str, str]:
                             f"target = 1 AS first_half_zero FROM toks"),
         "topic_sweep": "SELECT l::INTEGER AS label, k::INTEGER AS k, true AS ok FROM range(2) a(l), "
                        "(VALUES (3), (4)) b(k)",
+        "topic_tuning": "SELECT l::INTEGER AS label, k::INTEGER AS k, true AS ok FROM range(2) a(l), "
+                        "(VALUES (3), (4)) b(k)",
         "random_forest": _model_sql((0.6,), 9),
         "perceptron": _model_sql((0.75,), 0),
         "linear_svm": _model_sql((0.7,), 9),

@@ -22,3 +22,11 @@ def test_flagship_pipeline_small(spark):
     rows = run.predictions.collect()
     assert rows and all(r.prediction in (0.0, 1.0) for r in rows)
     assert run.features.schema["features"].metadata["ml_attr"]["num_attrs"] == 10 + 3
+
+
+def test_classifier_run_report(spark):
+    from textflow.plans.classifier import classify_features
+    from textflow.sources.tables import feature_text
+    run = classify_features(feature_text(spark, SF001), "logistic")
+    r = run.report().first()
+    assert r.rows == run.predictions.count() and 0.5 <= r.majority_share <= 1.0

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from conftest import SF001
 from scripts.check_oracle import TABLES, rows_of
 
-SLOW = {"topic_sweep", "tune_logistic", "flagship", "topics_by_class", "perceptron"}
+SLOW = {"topic_sweep", "topic_tuning", "tune_logistic", "flagship", "topics_by_class", "perceptron"}
 
 
 @pytest.fixture(scope="module")

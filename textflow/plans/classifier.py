@@ -14,6 +14,7 @@ from ..functions.text import to_label
 from ..operators.features import (assemble, fit_idf, fit_term_counts,
                                   remove_stop_words, tokenize, word_vectors)
 from ..operators.filters import has_length, without_value
+from ..operators.metrics import report
 from ..operators.models import predict, train
 from ..operators.sampling import with_split
 from ..operators.topics import fit_topics
@@ -40,6 +41,10 @@ class ClassifierRun:
     models: dict = field(default_factory=dict)
     features: DataFrame | None = None
 
+    def report(self) -> DataFrame:
+        """Accuracy on the held-out part next to its class balance."""
+        return report(self.predictions)
+
 
 def question_features(corpus: DataFrame, preset: str = "main", key: str = "qid",
                       text: str = "question_text", target: str = "target") -> DataFrame:

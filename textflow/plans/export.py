@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.features import word_vectors
-from ..operators.topics import topics_by_class
+from ..operators.sampling import balanced_sample
+from ..operators.topics import topic_sweep, topics_by_class
 from ..session import lineage_cut
 from ..sources.corpus import write_features
 from .classifier import question_features, tfidf_features
@@ -50,3 +51,17 @@ def export_class_topic_features(corpus: DataFrame, path: str, fmt: str = "parque
     if fmt == "csv":
         return spark.read.option("header", True).csv(path)
     return spark.read.format(fmt).load(path)
+
+
+def topic_tuning(corpus: DataFrame, n: int = 10000, ks=range(7, 20), max_iter: int = 50,
+                 classes=(1, 0), key: str = "qid", target: str = "target",
+                 vocab_size: int = 1 << 18, min_df: float = 1.0, seed: int = 24,
+                 parallelism: int = 1) -> DataFrame:
+    """The topic-count sweep as a whole: ``n`` questions per class (hash
+    order), the ``tuning`` cleaning chain, tokens without stop words, TF-IDF
+    fitted on the sample, then one LDA per class and ``k`` scored by
+    log-likelihood and log-perplexity (``topic_sweep``)."""
+    sample = balanced_sample(corpus, target, n, key)
+    tokens = question_features(sample, "tuning", key, target=target)
+    _, _, feats = tfidf_features(tokens, "filtered", vocab_size, min_df)
+    return topic_sweep(feats, target, sorted(classes), ks, max_iter, seed, parallelism=parallelism)
