@@ -470,9 +470,6 @@ def _misspell_sql(source, id_col, text_col):
 
 _PROBE_SQL = "'" + MISSPELLING_PROBE.replace("'", "''") + "'"
 
-_STOP_WORDS_SQL = None
-
-
 def _stop_words_sql():
     from textflow.operators.stopwords import ENGLISH_STOP_WORDS
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + ")"
