@@ -48,6 +48,9 @@ def test_csv_corpus_and_feature_roundtrip(spark):
     SC.write_features(ft, os.path.join(d, "feat_csv"), fmt="csv", text_vectors=True)
     back = SC.read_features(spark, os.path.join(d, "feat_csv", "*.csv"), "topics", "target")
     assert sorted((r.target, r.topics) for r in back.collect()) == [(0, "[1.0, 2.0]"), (1, "[0.5, 0.25]")]
+    legacy = SC.read_features(spark, os.path.join(d, "feat_csv", "*"), "topics", "target",
+                              fmt="com.databricks.spark.csv")
+    assert sorted(map(tuple, legacy.collect())) == sorted(map(tuple, back.collect()))
     SC.write_features(ft, os.path.join(d, "feat_pq"))
     back = SC.read_features(spark, os.path.join(d, "feat_pq"), "topics", "target", fmt="parquet")
     assert sorted((r.target, r.topics) for r in back.collect()) == [(0, [1.0, 2.0]), (1, [0.5, 0.25])]

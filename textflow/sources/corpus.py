@@ -79,11 +79,13 @@ def read_features(spark: SparkSession, path: str, vector_col: str = "topics",
     """Read an exported feature table by path or glob.
 
     CSV keeps vectors as text (parse them with ``parse_vector``); Parquet
-    keeps real arrays. Extra columns (such as an unnamed index written by a
-    pandas export) are dropped by the projection.
+    keeps real arrays. Any format name Spark knows is accepted, including
+    the old external CSV name ``com.databricks.spark.csv``, which Spark
+    maps to its built-in CSV source. Extra columns (such as an unnamed
+    index written by a pandas export) are dropped by the projection.
     """
-    if fmt == "csv":
-        df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    if fmt in ("csv", "com.databricks.spark.csv"):
+        df = spark.read.format(fmt).option("header", True).option("inferSchema", False).load(path)
         return df.select(F.col(label_col).cast("int").alias(label_col), F.col(vector_col))
     return spark.read.format(fmt).load(path).select(label_col, vector_col)
 
