@@ -73,3 +73,33 @@ def test_coverage_by_step_routes_agree(spark):
     # force the text route by adding a step that is not word-local at the end
     slow = PL.vocab_by_step(docs, "text", steps + ("ascii",)).where("step < 4")
     assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+
+
+def test_balanced_sample_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.integers(0, 3), min_size=1, max_size=400), st.integers(1, 120))
+    def check(classes, n):
+        rows = [(f"k{i}", c) for i, c in enumerate(classes)]
+        df = spark.createDataFrame(rows, "qid string, target int")
+        got = sorted((r.qid, r.target) for r in SA.balanced_sample(df, "target", n, "qid").collect())
+        want = []
+        for cls in set(classes):
+            keys = sorted((hashlib.md5(q.encode()).hexdigest()[:16], q) for q, t in rows if t == cls)
+            want += [(q, cls) for _, q in keys[:n]]
+        assert got == sorted(want)
+
+    check()
+
+
+def test_three_way_split_is_a_partition(spark):
+    df = spark.range(0, 3000).select(F.col("id").cast("string").alias("qid"))
+    parts = SA.hash_split(df, (0.5, 0.3, 0.2), "qid", 7)
+    ids = [set(r.qid for r in p.collect()) for p in parts]
+    assert sum(map(len, ids)) == 3000 and len(set().union(*ids)) == 3000
+    for got, w in zip(ids, (0.5, 0.3, 0.2)):
+        assert abs(len(got) / 3000 - w) < 0.04
+    tagged = SA.with_split(df.repartition(5), (0.5, 0.3, 0.2), "qid", 7, "part").collect()
+    assert all(r.qid in ids[r.part] for r in tagged)
