@@ -60,7 +60,11 @@ def topic_tuning(corpus: DataFrame, n: int = 10000, ks=range(7, 20), max_iter: i
     """The topic-count sweep as a whole: ``n`` questions per class (hash
     order), the ``tuning`` cleaning chain, tokens without stop words, TF-IDF
     fitted on the sample, then one LDA per class and ``k`` scored by
-    log-likelihood and log-perplexity (``topic_sweep``)."""
+    log-likelihood and log-perplexity (``topic_sweep``).
+
+    Only the sample pass touches the whole corpus (one scan with a partial
+    aggregate); every fit and score works on at most ``n`` rows per class,
+    so the sweep's cost does not grow with the corpus."""
     sample = balanced_sample(corpus, target, n, key)
     tokens = question_features(sample, "tuning", key, target=target)
     _, _, feats = tfidf_features(tokens, "filtered", vocab_size, min_df)
