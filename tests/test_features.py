@@ -52,3 +52,22 @@ def test_word_vectors_width_and_vocab(spark):
     assert all(r.v.size == 8 for r in out.collect())
     a = FE.assemble(out.withColumn("n", F.lit(1.0)), ["v", "n"], "features")
     assert a.first().features.size == 9
+
+
+def test_tokenizer_and_words_match_python_rules(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from textflow.functions.text import words_of
+    alphabet = "abcXYZéÉ01 \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 　,.'"
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.text(alphabet, max_size=20), min_size=10, max_size=30))
+    def check(values):
+        df = spark.createDataFrame(list(enumerate(values)), "i int, t string")
+        toks = FE.tokenize(df, "t", "w").select("i", "w", words_of(F.col("t")).alias("s")).collect()
+        for r in toks:
+            assert r.w == R.tokens(values[r.i])
+            assert r.s == values[r.i].split()
+
+    check()
