@@ -38,3 +38,29 @@ def test_corpus_scan_is_pruned_and_filtered(spark):
 def test_cleaning_is_one_projection(spark):
     p = plan(E.queries()["clean_corpus"](spark, SF001))
     assert p.count("Exchange") <= 2      # the spread of the narrow scan (+ a broadcast)
+
+
+def test_lexicon_join_reuses_the_aggregate_partitioning(spark):
+    # with broadcasts off, the anti join must be a sort-merge join whose two
+    # inputs are the hash exchanges of the two aggregates (none added for it)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        from textflow.operators import vocab as VO
+        from textflow.sources import tables as TB
+        vocab = VO.build_vocab(TB.table(spark, SF001, "documents", ["doc_id", "text"]), "text")
+        p = plan(VO.unknown_words(vocab, TB.lexicon(spark, SF001)))
+        assert "SortMergeJoin" in p
+        assert p.count("Exchange hashpartitioning(word") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_sparse_long_form_shuffles_nothing(spark):
+    from textflow.operators import features as FE
+    df = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["c"])], "id int, f array<string>")
+    cv, counted = FE.term_counts(df, "f", "tf")
+    p = plan(FE.vector_long_form(counted, "tf", "id", FE.vocabulary_table(cv), "tf"))
+    assert "Exchange hashpartitioning" not in p and "Exchange rangepartitioning" not in p
+    assert "BroadcastHashJoin" in p
