@@ -64,3 +64,19 @@ def test_sparse_long_form_shuffles_nothing(spark):
     p = plan(FE.vector_long_form(counted, "tf", "id", FE.vocabulary_table(cv), "tf"))
     assert "Exchange hashpartitioning" not in p and "Exchange rangepartitioning" not in p
     assert "BroadcastHashJoin" in p
+
+
+def test_vocabulary_combines_map_side(spark):
+    p = plan(E.queries()["build_vocab"](spark, SF001))
+    assert "partial_count" in p            # hot words collapse before the shuffle
+
+
+def test_split_is_map_only(spark):
+    from textflow.operators import sampling as SA
+    df = spark.range(100).selectExpr("cast(id as string) AS qid")
+    assert "Exchange" not in plan(SA.with_split(df, (0.6, 0.4), "qid", 24))
+
+
+def test_coverage_by_step_scans_the_text_once(spark):
+    p = plan(E.queries()["coverage_by_step"](spark, SF001))
+    assert p.count("documents.parquet") == 1 and p.count("benchmark.parquet") == 1
