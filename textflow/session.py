@@ -47,7 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str
     cluster). Only when that is unset *and* ``allow_local`` is given (tests,
     local bench) a fresh scratch folder is created under ``/tmp``.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext in this session (e.g. Connect): no checkpoints
+        return None
     current = sc.getCheckpointDir()
     if current:
         return current
