@@ -103,3 +103,11 @@ def test_three_way_split_is_a_partition(spark):
         assert abs(len(got) / 3000 - w) < 0.04
     tagged = SA.with_split(df.repartition(5), (0.5, 0.3, 0.2), "qid", 7, "part").collect()
     assert all(r.qid in ids[r.part] for r in tagged)
+
+
+def test_union_by_name_or_position(spark):
+    a = spark.createDataFrame([("1", 0)], "qid string, target int")
+    b = spark.createDataFrame([(1, "2")], "target int, qid string")
+    assert sorted(map(tuple, SA.union_classes(a, b).collect())) == [("1", 0), ("2", 1)]
+    c = spark.createDataFrame([("3", 1)], "qid string, target int")
+    assert SA.union_classes(a, c, by_name=False).count() == 2

@@ -17,11 +17,12 @@ _ORDER_HEX = 16
 _SPLIT_HEX = 8
 
 
-def union_classes(*parts: DataFrame) -> DataFrame:
-    """Stack per-class tables (by column name, duplicates kept)."""
+def union_classes(*parts: DataFrame, by_name: bool = True) -> DataFrame:
+    """Stack per-class tables, duplicates kept: by column name (default),
+    or by position (``by_name=False``, plain ``union``)."""
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p) if by_name else out.union(p)
     return out
 
 
