@@ -708,10 +708,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return PC.question_classifier(TB.corpus(spark, FLAGSHIP_SF)).predictions
 
 
+def _llm_queries() -> tuple[dict, dict]:
+    """Queries and oracles of ``textflow.llm`` and of the corpus pipeline; none
+    where these folders aren't there."""
+    try:
+        import corpus_pipeline
+        from textflow.llm import registry
+    except ModuleNotFoundError as e:
+        if e.name not in ("corpus_pipeline", "textflow.llm"):
+            raise
+        return {}, {}
+    oracles = dict(registry.oracle_sql())
+    if corpus_pipeline.ORACLE_SQL:
+        oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return registry.queries() | {"pipeline": corpus_pipeline.run}, oracles
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     g = globals()
-    return {name[2:]: fn for name, fn in g.items() if name.startswith("q_") and callable(fn)}
+    own = {name[2:]: fn for name, fn in g.items() if name.startswith("q_") and callable(fn)}
+    return own | _llm_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracles()
+    return _oracles() | _llm_queries()[1]
