@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, simhash
+from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, simhash, url_filter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -26,6 +26,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", "n_blocks", "n_partners", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages", "page_id", "url", "html")
+    rules = url_filter.rule_table(spark, url_filter.RULES)
+    return url_filter.filter_urls(pages.select("page_id", "url"), url_filter.page_edges(pages), rules).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.fit(docs.where(~held_out()))
@@ -57,6 +64,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents", "doc_id", "text"), *vocabulary(spark))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     hits = decontaminate.with_hits(docs, _table(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id", "hits")
@@ -71,4 +82,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": url_filter.oracle_sql(), "op8_license_scan": license_scan.oracle_sql()}
