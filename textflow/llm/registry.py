@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, simhash, url_filter
+from . import byte_bpe, decontaminate, exact_topk, language_id, license_scan, line_dedup, simhash, suffix_dedup, url_filter
 
+#: Queries of op10 and their results.
+QUERY_EVERY, TOP = 50, 5
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -26,6 +28,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", "n_blocks", "n_partners", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages", "page_id", "url", "html")
     rules = url_filter.rule_table(spark, url_filter.RULES)
@@ -77,9 +87,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.size("hits.words") > 0).alias("contaminated"))
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return exact_topk.search(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), TOP)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle_sql(), "op8_license_scan": license_scan.oracle_sql()}
+    return {"op10_exact_topk": exact_topk.oracle_sql(QUERY_EVERY, TOP), "op4_url_filter": url_filter.oracle_sql(), "op8_license_scan": license_scan.oracle_sql()}
