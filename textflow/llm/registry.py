@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_topk, language_id, license_scan, line_dedup, simhash, suffix_dedup, url_filter
+from . import byte_bpe, decontaminate, exact_topk, language_id, license_scan, line_dedup, quotes, simhash, suffix_dedup, url_filter
 
 #: Queries of op10 and their results.
 QUERY_EVERY, TOP = 50, 5
@@ -28,6 +28,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", "n_blocks", "n_partners", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")).select(
+        "conv_id", "turn", "role", "n_quoted", "n_linked", "reply_to", "thread", "clean_text")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
