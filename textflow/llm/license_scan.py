@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 GRAM = 3
 #: Diagonals of one template at most this far apart are one span.
 NEIGHBOURS = 3
-#: Share of a notice's words that makes a label.
+#: Share of a notice's words that makes a label; notices must differ by more than the rest.
 COVERAGE = 0.8
 #: Templates are broadcast; the table may have no more grams than this.
 MAX_GRAMS = 1 << 18
@@ -41,8 +41,8 @@ PHRASES = {
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance": "apache-2",
-    "this work is licensed under a creative commons attribution noncommercial": "cc-by-nc",
-    "this work is licensed under a creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu": "gpl",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
