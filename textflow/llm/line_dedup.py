@@ -137,8 +137,9 @@ def removals(docs: DataFrame) -> DataFrame:
                     F.when(F.size("solid") > 0, F.array(F.struct(F.col("whole").alias("h"), F.lit(True).alias("is_whole"))))
                     .otherwise(F.array()))
     lines = docs.select(ROW, ORDER, F.inline(keys))
-    owners = (lines.groupBy("h", "is_whole").agg(F.count("*").alias("df"), F.min(ORDER).alias("first"))
-              .where("df > 1").select("h", "is_whole", "df", F.col("first.row").alias("owner")))
+    # written, so that the join below gets plain exchanges, of which Spark can split a common line's
+    owners = cut(lines.groupBy("h", "is_whole").agg(F.count("*").alias("df"), F.min(ORDER).alias("first"))
+                 .where("df > 1").select("h", "is_whole", "df", F.col("first.row").alias("owner")))
     proof = F.when(F.col("is_whole") | (F.col("df") <= RARE), 2).otherwise(1)
     pairs = (lines.join(owners, ["h", "is_whole"]).where(F.col(ROW) != F.col("owner"))
              .groupBy(ROW, "owner").agg(F.sum(proof).alias("proof")).where("proof >= 2").select(ROW, "owner"))
