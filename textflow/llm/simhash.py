@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, fp: str = "fp", doc_id: str = "doc_id", bit
     found = components(links(folded, "fp", bits))
     rooted = (folded.join(found.withColumnRenamed("node", "fp"), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     return rooted.join(smallest, "root").select("fp", "component_id")
 
 

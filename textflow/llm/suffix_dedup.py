@@ -286,7 +286,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFram
     alone = binned.unionByName(dealt).where(F.size("runs") > 0).join(folded.where("n = 1").select("key", "context"), ["key", "context"], "left_semi")
     copied = folded.where("n > 1").select(
         "key", "context", F.array(F.struct(F.lit(0).alias("first"), (F.col("one.last") - F.col("one.first")).alias("last"))).alias("runs"))
-    places = found.join(alone.unionByName(copied), ["key", "context"])
+    places = found.join(cut(alone.unionByName(copied)), ["key", "context"])  # a common context's places can be split
     moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), (r["last"] + F.col("first")).alias("last")))
     return places.groupBy(ROW).agg(F.flatten(F.collect_list(moved)).alias("runs"))
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .license_scan import LOWER, UPPER
+from .shared import cut
 
 # The rules of the contract.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -92,7 +93,7 @@ def filter_urls(pages: DataFrame, edges: DataFrame, rules: DataFrame, url: str =
         ends.select(node(F.col("url")).alias("node"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path")))
     own = judged(seen.where("node is not null").distinct(), rules)
     named = own.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    blocked = named.where("own = 'block'").select("root").distinct().withColumn("hit", F.lit(True))
+    blocked = cut(named.where("own = 'block'").select("root").distinct().withColumn("hit", F.lit(True)))
     final = named.join(blocked, "root", "left").select(
         F.col("node").alias("__node"), F.col("path").alias("__path"), F.col("rule").alias("__rule"),
         F.coalesce("own", F.when(F.col("hit"), F.lit("block")), F.lit("allow")).alias("__verdict"),
