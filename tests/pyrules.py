@@ -1,10 +1,20 @@
 """The cleaning rules restated as plain Python, for comparison on random
-strings. Written from the rule descriptions, one line per rule."""
+strings. Written from the rule descriptions with literals of its own, so that a
+wrong table in the library shows."""
 
 import re
 
-from textflow.functions.text import (DIGIT_MASKS, MISSPELLINGS,
-                                     REMOVED_MARKS_RULE_A, REMOVED_MARKS_RULE_B)
+# Characters that rules A and B delete, spelled out here.
+DELETED_BY_A = set("?!.,\"#$%'()*+:;<=>@[\\]^_`{|}~")
+DELETED_BY_B = set("?!.,\"#$%'()*+-/:;<=>@[\\]^_`{|}~\u201c\u201d\u2019")
+# Misspellings and what they become.
+CORRECTED = {
+    "colour": "color", "centre": "center", "didnt": "did not", "doesnt": "does not", "isnt": "is not",
+    "shouldnt": "should not", "favourite": "favorite", "travelling": "traveling", "counselling": "counseling",
+    "theatre": "theater", "cancelled": "canceled", "labour": "labor", "organisation": "organization",
+    "wwii": "world war 2", "citicise": "criticize", "instagram": "social medium", "whatsapp": "social medium",
+    "snapchat": "social medium",
+}
 
 
 def trim(x):
@@ -16,22 +26,31 @@ def ascii_only(x):
 
 
 def punct(x, rule):
-    x = "".join(" " if ch in "/-'" else ch for ch in x)
-    x = x.replace("&", " punct " if rule == "a" else " & ")
-    gone = REMOVED_MARKS_RULE_A if rule == "a" else REMOVED_MARKS_RULE_B
-    return "".join(ch for ch in x if ch not in gone)
+    out = []
+    for ch in x:
+        if ch in "/-'":
+            out.append(" ")
+        elif ch == "&":
+            out.append(" punct " if rule == "a" else " & ")
+        elif ch not in (DELETED_BY_A if rule == "a" else DELETED_BY_B):
+            out.append(ch)
+    return "".join(out)
 
 
 def mask(x):
-    for pattern, m in DIGIT_MASKS:
-        x = re.sub(pattern, m, x)
-    return x
+    """Every run of ASCII digits by its length: five or more become five marks, a single digit stays."""
+    return "".join("#" * min(len(run), 5) if len(run) > 1 and run[0] in "0123456789" else run
+                   for run in re.findall("[0-9]+|[^0-9]+", x))
 
 
 def misspell(x):
-    table = dict(MISSPELLINGS)
-    rx = re.compile("|".join(k for k, _ in MISSPELLINGS))
-    return rx.sub(lambda m: table[m.group(0)], x)
+    """From left to right; what has been put in isn't looked at again."""
+    out, i = [], 0
+    while i < len(x):
+        found = next((w for w in CORRECTED if x.startswith(w, i)), None)
+        out.append(CORRECTED[found] if found else x[i])
+        i += len(found) if found else 1
+    return "".join(out)
 
 
 def words(x):

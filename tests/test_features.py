@@ -1,6 +1,11 @@
 import math
+import os
+import subprocess
+import sys
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
@@ -26,34 +31,75 @@ def test_contractions_survive_stop_words(spark):
     assert FE.remove_stop_words(df, "w", "f").first().f == ["ll", "cat", ""]
 
 
-def test_term_counts_and_tfidf_long_form(spark):
-    docs = [["a", "b", "a"], ["b", "c"], ["a"]]
-    df = spark.createDataFrame(list(enumerate(docs)), "id int, f array<string>")
-    cv, counted = FE.term_counts(df, "f", "tf")
-    vocab = FE.vocabulary_table(cv)
-    got = {(r.id, r.term): r.tf for r in FE.vector_long_form(counted, "tf", "id", vocab, "tf").collect()}
-    want = {(i, t): float(n) for i, d in enumerate(docs) for t, n in Counter(d).items()}
+DOCS = [["a", "b", "a"], ["b", "c"], ["a"], []]
+
+
+def numbered(spark, docs):
+    return spark.createDataFrame(list(enumerate(docs)), "id int, f array<string>")
+
+
+def test_term_counts_and_tfidf_rows(spark):
+    df = numbered(spark, DOCS)
+    got = {(r.id, r.term): r.tf for r in FE.term_count_rows(df, "id", "f").collect()}
+    want = {(i, t): n for i, d in enumerate(DOCS) for t, n in Counter(d).items()}
     assert got == want
-    idf_model, weighted = FE.tf_idf(counted, "tf", "w")
-    idf = {r.term: r.idf for r in FE.idf_table(cv, idf_model).collect()}
-    m = len(docs)
-    for term in "abc":
-        d = sum(term in doc for doc in docs)
-        assert idf[term] == round(math.log((m + 1) / (d + 1)), 6)
-    long = FE.vector_long_form(weighted, "w", "id", vocab, "w", digits=6).collect()
-    assert {(r.id, r.term): r.w for r in long}[(0, "a")] == round(2 * math.log(4 / 3), 6)
-
-
-def test_word_vectors_width_and_vocab(spark):
-    docs = [["x", "y", "z"], ["x", "y"], ["y", "q"]]
-    df = spark.createDataFrame(list(enumerate(docs)), "id int, f array<string>")
-    model, out = FE.word_vectors(df, "f", "v", size=8, min_count=2)
-    assert sorted(r.word for r in FE.word_vector_vocab(model).collect()) == ["x", "y"]
-    assert all(r.v.size == 8 for r in out.collect())
+    idf = {t: math.log((len(DOCS) + 1) / (sum(t in d for d in DOCS) + 1)) for t in "abc"}
+    assert {r.term: round(r.idf, 9) for r in FE.idf_rows(df, "f").collect()} == {t: round(x, 9) for t, x in idf.items()}
+    rows = {(r.id, r.term): round(r.tfidf, 9) for r in FE.tf_idf_rows(df, "id", "f").collect()}
+    assert rows == {(i, t): round(n * idf[t], 9) for (i, t), n in want.items()}
+    # the vectors that models read hold the same numbers
+    cv, counted = FE.term_counts(df, "f", "tf")
+    _, weighted = FE.tf_idf(counted, "tf", "w")
+    long = FE.vector_long_form(weighted, "w", "id", FE.vocabulary_table(cv, df), "w").collect()
+    assert {(r.id, r.term): round(r.w, 9) for r in long} == rows
+    assert {r.word: r.n for r in FE.counted_words(df, "f", 2).collect()} == {"a": 3, "b": 2}
+
+
+def test_vocabulary_order_and_bound(spark):
+    df = numbered(spark, [["b", "a", "c", "c"], ["é", "B", "a"], ["a", "b"]])
+    assert FE.fit_term_counts(df, "f").vocabulary == ["a", "b", "c", "B", "é"]
+    assert FE.fit_term_counts(df, "f", min_df=2).vocabulary == ["a", "b"]
+    assert FE.fit_term_counts(df, "f", min_df=0.9).vocabulary == ["a"]
+    with pytest.raises(ValueError):
+        FE.fit_term_counts(df, "f", vocab_size=4)
+
+
+def test_word_vectors_are_means(spark):
+    df = numbered(spark, [["x", "y", "z"], ["x", "y"], ["y", "q"]])
+    model, out = FE.word_vectors(df, "id", "f", "v", size=8, min_count=2)
+    words = {r.word: r.vector.toArray() for r in model.getVectors().collect()}
+    assert sorted(words) == ["x", "y"]
+    for r in out.collect():
+        want = sum(words[w] for w in r.f if w in words) / len(r.f)
+        assert np.allclose(r.v.toArray(), want, atol=1e-6)
     a = FE.assemble(out.withColumn("n", F.lit(1.0)), ["v", "n"], "features")
     assert a.first().features.size == 9
 
 
+# What a fit gives, run in a session with another number of cores.
+FIT = """
+import sys
+from textflow.session import local_session
+from textflow.operators import features as FE, topics as TO
+spark = local_session(sys.argv[1])
+docs = [[f"w{(i * 7 + j * j) % 11}" for j in range(i % 5 + 3)] for i in range(60)]
+df = spark.createDataFrame(list(enumerate(docs)), "id int, f array<string>").repartition(int(sys.argv[1]) + 1)
+model, _ = FE.word_vectors(df, "id", "f", "v", size=4, partitions=1)
+cv, counted = FE.term_counts(df, "f", "tf")
+_, feats = FE.tf_idf(counted, "tf", "features")
+lda = TO.fit_topics(feats, "id", k=3, max_iter=5)
+print("FIT", [(r.word, [round(float(x), 4) for x in r.vector]) for r in model.getVectors().orderBy("word").collect()],
+      [round(float(x), 4) for x in lda.topicsMatrix().toArray().ravel()])
+"""
+
+
+def test_fits_do_not_follow_the_number_of_cores():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = [subprocess.run([sys.executable, "-c", FIT, cores], cwd=root, env={**os.environ, "PYTHONPATH": root}, check=True,
+                          capture_output=True, text=True).stdout.partition("FIT")[2] for cores in ("2", "8")]
+    assert out[0] and out[0] == out[1]
+
+
 def test_tokenizer_and_words_match_python_rules(spark):
     from hypothesis import HealthCheck, given, settings
     from hypothesis import strategies as st

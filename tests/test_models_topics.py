@@ -55,21 +55,26 @@ def test_topics(spark):
     df = spark.createDataFrame([(i, i % 2, d) for i, d in enumerate(docs)], "id int, target int, f array<string>")
     cv, counted = FE.term_counts(df, "f", "raw", min_df=2.0)
     _, feats = FE.tf_idf(counted, "raw", "features")
-    m = TO.fit_topics(feats, k=3, max_iter=10)
+    m = TO.fit_topics(feats, "id", k=3, max_iter=10)
     mixed = TO.topic_mixture(m, feats).collect()
     for r in mixed:
         total = sum(r.topicDistribution.toArray())
         assert abs(total - (0.0 if r.f == ["zzz"] else 1.0)) < 1e-6
-    terms = TO.topic_terms(m, FE.vocabulary_table(cv), 2).collect()
+    terms = TO.topic_terms(m, FE.vocabulary_table(cv, feats), 2).collect()
     assert len(terms) == 6 and all(r.term in cv.vocabulary for r in terms)
-    words = TO.topic_words(TO.topic_terms(m, FE.vocabulary_table(cv), 2)).collect()
+    words = TO.topic_words(TO.topic_terms(m, FE.vocabulary_table(cv, feats), 2)).collect()
     assert all(len(r.topics_words) == 2 for r in words)
-    _, by_class = TO.topics_by_class(feats, "target", (0, 1), k=3, max_iter=5)
+    _, by_class = TO.topics_by_class(feats, "id", "target", (0, 1), k=3, max_iter=5)
     for r in by_class.collect():
         assert len(r.topic) == 6
         zero_half = r.topic[3:] if r.target == 0 else r.topic[:3]
         assert all(x == 0 for x in zero_half)
-    sweep = TO.topic_sweep(feats, "target", (0, 1), ks=(2, 3), max_iter=5, parallelism=2).collect()
+    sweep = TO.topic_sweep(feats, "id", "target", (0, 1), ks=(2, 3), max_iter=5, parallelism=2).collect()
+    part = feats.where("target = 1").cache()
+    lone = TO.fit_topics(part, "id", k=2, max_iter=5)
+    row = next(r for r in sweep if (r.label, r.k) == (1, 2))
+    assert abs(row.log_perplexity - lone.logPerplexity(part)) < 1e-6 * abs(row.log_perplexity) + 0.05
+    assert abs(row.log_perplexity + row.log_likelihood / row.weight) < 1e-9
     assert sorted((r.label, r.k) for r in sweep) == [(0, 2), (0, 3), (1, 2), (1, 3)]
     assert all(r.log_likelihood < 0 and r.seconds > 0 for r in sweep)
 

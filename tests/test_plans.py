@@ -13,7 +13,8 @@ PLAIN = ["scan_corpus", "rename_positional", "as_labelled", "non_empty", "of_cla
          "hash_split", "trim_text", "ascii_only", "clean_punct_a", "clean_punct_b", "mask_numbers",
          "fix_misspellings", "clean_corpus", "clean_corpus_main", "clean_corpus_notebook",
          "clean_corpus_explore", "to_label", "parse_vector", "parse_vector_strict", "take_items",
-         "pad_slots", "to_vector", "feature_arrays", "tokenize", "remove_stop_words"]
+         "pad_slots", "to_vector", "feature_arrays", "tokenize", "remove_stop_words", "term_counts", "idf",
+         "tf_idf", "word_vector_vocab", "explore_vector_vocab"]
 
 
 def plan(df):
@@ -37,7 +38,7 @@ def test_corpus_scan_is_pruned_and_filtered(spark):
 
 def test_cleaning_is_one_projection(spark):
     p = plan(E.queries()["clean_corpus"](spark, SF001))
-    assert p.count("Exchange") <= 2      # the spread of the narrow scan (+ a broadcast)
+    assert p.count("Exchange") <= 1      # a broadcast
 
 
 def test_lexicon_join_reuses_the_aggregate_partitioning(spark):
@@ -57,13 +58,9 @@ def test_lexicon_join_reuses_the_aggregate_partitioning(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_sparse_long_form_shuffles_nothing(spark):
-    from textflow.operators import features as FE
-    df = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["c"])], "id int, f array<string>")
-    cv, counted = FE.term_counts(df, "f", "tf")
-    p = plan(FE.vector_long_form(counted, "tf", "id", FE.vocabulary_table(cv), "tf"))
-    assert "Exchange hashpartitioning" not in p and "Exchange rangepartitioning" not in p
-    assert "BroadcastHashJoin" in p
+def test_term_rows_hold_no_vocabulary_on_the_driver(spark):
+    p = plan(E.queries()["tf_idf"](spark, SF001))
+    assert "partial_count" in p and "LocalTableScan" not in p and "ExistingRDD" not in p
 
 
 def test_vocabulary_combines_map_side(spark):

@@ -8,7 +8,6 @@ Layout
                sampling, features, topics, models, metrics).
 ``sources``    readers / writers and the mapping of the test tables.
 ``plans``      whole pipelines composed from the operators.
-``streaming``  the stateless cleaning chain on a streaming source.
 """
 
 __version__ = "0.1.0"

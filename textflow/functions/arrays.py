@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from .text import _col
 
-# Struct layout of Spark ML's vector type (sparse: type 0, dense: type 1).
-VECTOR_STRUCT = "type tinyint, size int, indices array<int>, values array<double>"
-
 
 def parse_vector(c, strict: bool = False, element_type: str = "float") -> Column:
     """Parse vector text such as ``[0.1, 0.2, 0.3]`` into an array.
@@ -59,7 +56,7 @@ def pad_slots(c, slot, n_slots: int = 2, width: int | None = None) -> Column:
 
 def vector_struct(c) -> Column:
     """An ML vector as its struct ``(type, size, indices, values)``."""
-    return F.from_json(F.to_json(F.struct(_col(c).alias("v"))), f"v struct<{VECTOR_STRUCT}>")["v"]
+    return F.unwrap_udt(_col(c))
 
 
 def struct_entries(s) -> Column:
@@ -75,6 +72,12 @@ def struct_entries(s) -> Column:
     )
 
 
+def vector_size(c) -> Column:
+    """Width of an ML vector, without making a sparse one dense."""
+    s = vector_struct(c)
+    return F.when(s["type"] == 0, s["size"]).otherwise(F.size(s["values"]))
+
+
 def vector_entries(c) -> Column:
     """Non-zero entries of an ML vector as ``array<struct<index int, value double>>``.
 

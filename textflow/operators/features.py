@@ -1,26 +1,29 @@
 """Feature operators: tokens, stop words, term counts, TF-IDF, word vectors.
 
-Fits are Spark ML estimators (distributed counting; only the fitted
-vocabulary, bounded by ``vocab_size``, reaches the driver). The long forms
-``(id, term, value)`` turn sparse vectors into rows JVM-side, without
-densifying, and look terms up through a broadcast of the fitted vocabulary,
-whose size is bounded by ``vocab_size``.
+Counts are relational: ``term_count_rows``, ``idf_rows``, ``tf_idf_rows`` and
+``counted_words`` are group-bys and joins over exploded tokens, without a
+vocabulary limit and without a table on the driver. The ML vectors exist as
+input of fitted models only; their vocabulary is held by the driver and by
+every task, so ``vocab_size`` bounds it, and a corpus with more terms is an
+error, never cut short.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, IDF,
-                                IDFModel, StopWordsRemover, Tokenizer,
-                                VectorAssembler, Word2Vec, Word2VecModel)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import (CountVectorizerModel, IDF, IDFModel,
+                                StopWordsRemover, Tokenizer, VectorAssembler,
+                                Word2Vec, Word2VecModel)
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import struct_entries, vector_struct
+from ..session import lineage_cut, release
 
-# Default vocabulary cap of CountVectorizer (2^18 terms).
-DEFAULT_VOCAB_SIZE = 1 << 18
+# Most terms of a vocabulary that a model may hold.
+DEFAULT_VOCAB_SIZE = 1 << 22
+# Partitions that Word2Vec trains on, unless given.
+W2V_PARTITIONS = 8
 
 
 def tokenize(df: DataFrame, input_col: str = "question_text", output_col: str = "words") -> DataFrame:
@@ -38,13 +41,62 @@ def remove_stop_words(df: DataFrame, input_col: str = "words", output_col: str =
     return r.transform(df)
 
 
+# --- relational long forms ---
+
+
+def term_count_rows(tokens: DataFrame, id_col: str, col: str = "filtered") -> DataFrame:
+    """``(id, term, tf bigint)``: occurrences of each term in each document."""
+    return (tokens.select(id_col, F.explode(col).alias("term"))
+            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def doc_freq_rows(tokens: DataFrame, col: str = "filtered") -> DataFrame:
+    """``(term, doc_freq bigint)``: documents that hold each term."""
+    return tokens.select(F.explode(F.array_distinct(col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+
+
+def idf_rows(tokens: DataFrame, col: str = "filtered", min_df: int = 1) -> DataFrame:
+    """``(term, doc_freq bigint, idf double)`` with ``idf = ln((m + 1) /
+    (doc_freq + 1))`` over ``m`` documents (one count reaches the driver)."""
+    m = tokens.count()
+    return doc_freq_rows(tokens, col).where(F.col("doc_freq") >= min_df).withColumn("idf", F.log((F.lit(m) + 1.0) / (F.col("doc_freq") + 1.0)))
+
+
+def tf_idf_rows(tokens: DataFrame, id_col: str, col: str = "filtered", min_df: int = 1) -> DataFrame:
+    """``(id, term, tfidf double)``: term counts times IDF, joined on the term."""
+    counts = term_count_rows(tokens, id_col, col)
+    idf = idf_rows(tokens, col, min_df)
+    return counts.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
+
+
+def counted_words(tokens: DataFrame, col: str = "filtered", min_count: int = 2) -> DataFrame:
+    """``(word, n)`` of the words with ``min_count`` occurrences at least: those
+    that get a word vector."""
+    return (tokens.select(F.explode(col).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") >= min_count))
+
+
+# --- model input ---
+
+
 def fit_term_counts(df: DataFrame, input_col: str = "filtered", output_col: str = "rawFeatures",
                     vocab_size: int = DEFAULT_VOCAB_SIZE, min_df: float = 1.0,
                     min_tf: float = 1.0) -> CountVectorizerModel:
-    """Fit the vocabulary: the ``vocab_size`` most frequent terms that occur
-    in at least ``min_df`` documents."""
-    return CountVectorizer(inputCol=input_col, outputCol=output_col, vocabSize=vocab_size,
-                           minDF=min_df, minTF=min_tf).fit(df)
+    """The vocabulary of terms that occur in ``min_df`` documents at least (a
+    share of the documents if below 1), most frequent first, ties by term, so
+    that indexes don't depend on how the data is laid out. The model holds
+    every term; more than ``vocab_size`` are an error (raise it or ``min_df``)."""
+    least = min_df if min_df >= 1 else min_df * df.count()
+    counted = df.select(F.explode(input_col).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    if least > 1:
+        counted = counted.join(doc_freq_rows(df, input_col).where(F.col("doc_freq") >= least), "term")
+    rows = counted.select("term", "n").limit(vocab_size + 1).toPandas()
+    if len(rows) > vocab_size:
+        raise ValueError(f"more than {vocab_size} terms; raise vocab_size or min_df")
+    # by code point, as Spark and SQL compare text
+    order = sorted(zip((-rows["n"]).tolist(), rows["term"].tolist(), strict=True), key=lambda r: (r[0], r[1].encode()))
+    model = CountVectorizerModel.from_vocabulary([t for _, t in order], inputCol=input_col, outputCol=output_col)
+    return model.setMinTF(min_tf)
 
 
 def term_counts(df: DataFrame, input_col: str = "filtered", output_col: str = "rawFeatures",
@@ -66,72 +118,46 @@ def tf_idf(df: DataFrame, input_col: str = "rawFeatures", output_col: str = "fea
     return model, model.transform(df)
 
 
-def _session() -> SparkSession:
-    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-
+def vocabulary_table(model: CountVectorizerModel, df: DataFrame) -> DataFrame:
+    """``(index int, term string)`` of a fitted vocabulary, in the session of ``df``."""
+    import pandas as pd
 
-def vocabulary_table(model: CountVectorizerModel) -> DataFrame:
-    """``(index int, term string)`` of a fitted vocabulary. The vocabulary
-    already lives on the driver inside the model and is bounded by its
-    ``vocabSize``, so the table is safe to broadcast."""
-    spark = _session()
     vocab = model.vocabulary
-    if len(vocab) > model.getVocabSize():
-        raise ValueError("vocabulary larger than its bound")
     pdf = pd.DataFrame({"index": np.arange(len(vocab), dtype="int32"), "term": list(vocab)})
-    return spark.createDataFrame(pdf, "index int, term string")
+    return df.sparkSession.createDataFrame(pdf, "index int, term string")
 
 
 def vector_long_form(df: DataFrame, vector_col: str, id_col: str, vocab: DataFrame,
-                     value_name: str = "value", digits: int | None = None) -> DataFrame:
+                     value_name: str = "value") -> DataFrame:
     """``(id, term, value)`` for every stored entry of a sparse vector."""
     s = df.select(F.col(id_col), vector_struct(vector_col).alias("_v"))
     e = s.select(F.col(id_col), F.explode(struct_entries("_v")).alias("e"))
     e = e.select(id_col, F.col("e.index").alias("index"), F.col("e.value").alias(value_name))
-    out = e.join(F.broadcast(vocab), "index").select(id_col, "term", value_name)
-    if digits is not None:
-        out = out.withColumn(value_name, F.round(value_name, digits))
-    return out
+    return e.join(vocab, "index").select(id_col, "term", value_name)
 
 
-def idf_table(cv_model: CountVectorizerModel, idf_model: IDFModel, digits: int | None = 6) -> DataFrame:
-    """``(term, doc_freq, idf)`` from the fitted models."""
-    spark = _session()
-    pdf = pd.DataFrame({"term": list(cv_model.vocabulary),
-                        "doc_freq": np.asarray(idf_model.docFreq, dtype="int64"),
-                        "idf": idf_model.idf.toArray()})
-    out = spark.createDataFrame(pdf, "term string, doc_freq bigint, idf double")
-    if digits is not None:
-        out = out.withColumn("idf", F.round("idf", digits))
-    return out
-
-
-def word_vectors(df: DataFrame, input_col: str = "filtered", output_col: str = "wordvectors",
+def word_vectors(df: DataFrame, key: str, input_col: str = "filtered", output_col: str = "wordvectors",
                  size: int = 100, min_count: int = 2, seed: int = 42,
-                 partitions: int | None = None, max_iter: int = 1,
+                 partitions: int = W2V_PARTITIONS, max_iter: int = 1,
                  window: int = 5) -> tuple[Word2VecModel, DataFrame]:
     """Word2Vec (skip-gram); a document is the mean of its words' vectors.
 
-    ``partitions`` defaults to one per core: each partition trains on its
-    share and the updates are merged, so the work spreads over the cluster
-    (vectors differ slightly from a one-partition fit, which trains the
-    whole corpus in a single task; pass ``partitions=1`` for that). Every
-    task holds the full model (vocabulary x size floats), so bound the
-    vocabulary with ``min_count`` on large corpora.
+    Documents are dealt to ``partitions`` by ``key`` and sorted by it, so
+    that a fit doesn't depend on the number of cores or on the layout of the
+    input; each partition trains on its share and the updates are merged.
+    Choose more partitions for a larger corpus. With one partition a fit
+    repeats exactly (and trains in one task); with more, Spark itself deals the sentences
+    in the order in which they arrive, and vectors differ a little from run to run. Every task holds the full model (words with
+    ``min_count`` occurrences at least times ``size`` floats).
     """
-    if partitions is None:
-        partitions = df.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=size, minCount=min_count, inputCol=input_col, outputCol=output_col,
                    seed=seed, numPartitions=partitions, maxIter=max_iter, windowSize=window)
-    model = w2v.fit(df)
+    rows = lineage_cut(df.select(key, input_col))  # read by several jobs of the fit
+    model = w2v.fit(rows.repartition(partitions, key).sortWithinPartitions(key, input_col))
+    release(rows)
     return model, model.transform(df)
 
 
-def word_vector_vocab(model: Word2VecModel) -> DataFrame:
-    """Words that received a vector (count >= minCount)."""
-    return model.getVectors().select("word")
-
-
 def assemble(df: DataFrame, cols: list[str], output_col: str = "features",
              handle_invalid: str = "error") -> DataFrame:
     """Concatenate vector / numeric columns into one feature vector."""

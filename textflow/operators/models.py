@@ -9,10 +9,10 @@ from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
                                    MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Defaults of each classifier as configured in the original scripts.
+# Each classifier's settings, to match.
 DEFAULTS = {
     "random_forest": {"numTrees": 10},
     "perceptron": {"maxIter": 1000, "blockSize": 128, "seed": 1234, "hidden": (30, 24)},
@@ -66,6 +66,7 @@ def predict(model, df: DataFrame) -> DataFrame:
 def logistic_grid(est: LogisticRegression):
     """Twelve settings: regParam {0.1, 0.01} x fitIntercept {False, True} x
     elasticNetParam {0.0, 0.5, 1.0}."""
+    # fixed values: the settings to match
     return (ParamGridBuilder().addGrid(est.regParam, [0.1, 0.01])
             .addGrid(est.fitIntercept, [False, True])
             .addGrid(est.elasticNetParam, [0.0, 0.5, 1.0]).build())
@@ -98,6 +99,5 @@ def tune(df: DataFrame, est, grid, train_ratio: float = 0.8, metric: str = "rmse
     for i, (pm, s) in enumerate(zip(grid, scores)):
         desc = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
         rows.append((i, desc, float(s), i == best))
-    spark = (SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
-    table = spark.createDataFrame(rows, "setting int, params string, score double, best boolean")
+    table = df.sparkSession.createDataFrame(rows, "setting int, params string, score double, best boolean")
     return model, table

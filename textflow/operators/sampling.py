@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Hex digits of the MD5 used to order rows in a sample (64 bits).
 _ORDER_HEX = 16
+# Classes of a balanced sample, at most.
+MAX_CLASSES = 1000
 # Hex digits of the MD5 used for splits (32 bits).
 _SPLIT_HEX = 8
 
@@ -41,33 +43,34 @@ def balanced_sample(df: DataFrame, label: str = "target", n: int = 10000,
 
     Rows are taken in MD5-of-key order, a fixed pseudo-random order. A full
     sort per class would send every row of a class through one task, so the
-    operator first counts, in one pass with a tiny partial aggregate, how
-    many rows of each class fall under a ladder of hash cut-offs (halving
-    each step), picks per class the tightest cut-off that still keeps
-    ``n`` rows, and ranks only those rows (about ``2n`` per class). The
-    result is exactly the first ``n`` rows of each class in hash order.
-    ``label`` must have few distinct values (one count row per class
-    reaches the driver).
+    operator first counts each class's rows by the number of zero bits that their hash
+    starts with (a partial aggregate; at most 65 rows per class), picks per
+    class the cut-off that keeps ``n`` rows at least, and ranks only those
+    rows (about ``2n`` per class). The result is exactly the first ``n`` rows
+    of each class in hash order. ``label`` must be a class: more than
+    ``MAX_CLASSES`` distinct values are an error. Rows with a NULL key are
+    left out.
     """
-    h = order_hash(key)
-    d = df.withColumn("_h", h)
-    rungs = [(j, format(1 << (4 * _ORDER_HEX - j), f"0{_ORDER_HEX}x")) for j in range(1, 4 * _ORDER_HEX - 8)]
-    aggs = [F.count(F.lit(1)).alias("c0")]
-    aggs += [F.sum(F.when(F.col("_h") < F.lit(t), 1).otherwise(0)).alias(f"c{j}") for j, t in rungs]
-    cut = {}
-    for row in d.groupBy(label).agg(*aggs).collect():
-        best = None
-        for j, t in rungs:
-            if row[f"c{j}"] >= n:
-                best = t
-            else:
-                break
-        cut[row[label]] = best
+    d = df.where(F.col(key).isNotNull()).withColumn("_h", order_hash(key))
+    number = F.conv("_h", 16, 10).cast("decimal(20,0)")
+    # hashes below 2^j: j = 64 less the zero bits that the hash starts with
+    bits = F.when(number == 0, 0).otherwise(F.length(F.conv("_h", 16, 2)))
+    counts = d.groupBy(label, bits.alias("_bits")).agg(F.count(F.lit(1)).alias("n")).limit(65 * MAX_CLASSES + 1).collect()
+    by_class: dict = {}
+    for row in counts:
+        by_class.setdefault(row[label], {})[row["_bits"]] = row["n"]
+    if len(by_class) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values; it is no class")
     keep = None
-    for cls, t in cut.items():
-        cond = (F.col(label).isNull() if cls is None else F.col(label) == F.lit(cls))
-        if t is not None:
-            cond = cond & (F.col("_h") < F.lit(t))
+    for cls, held in by_class.items():
+        cond = F.col(label).isNull() if cls is None else F.col(label) == F.lit(cls)
+        total = 0
+        for j in sorted(held):
+            total += held[j]
+            if total >= n:
+                if j < 4 * _ORDER_HEX:
+                    cond = cond & (F.col("_h") < F.lit(format(1 << j, f"0{_ORDER_HEX}x")))
+                break
         keep = cond if keep is None else keep | cond
     if keep is None:
         return df.limit(0)

@@ -52,7 +52,7 @@ def oov_by_count(vocab: DataFrame, lexicon: DataFrame, limit: int | None = None)
     """Unknown words, most frequent first; ties by word. With ``limit`` this
     is a top-k (``TakeOrderedAndProject``), else a range-partitioned sort."""
     out = unknown_words(vocab, lexicon).orderBy(F.desc("n"), F.asc("word"))
-    return out.limit(limit) if limit else out
+    return out if limit is None else out.limit(limit)
 
 
 def top_words(vocab: DataFrame, n: int = 5) -> DataFrame:

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import parse_vector, take_items, to_vector, vector_items
 from ..functions.text import to_label
-from ..operators.features import (assemble, fit_idf, fit_term_counts,
-                                  remove_stop_words, tokenize, word_vectors)
+from ..operators.features import (DEFAULT_VOCAB_SIZE, W2V_PARTITIONS, assemble, fit_idf,
+                                  fit_term_counts, remove_stop_words, tokenize, word_vectors)
 from ..operators.filters import has_length, without_value
 from ..operators.metrics import report
 from ..operators.models import predict, train
 from ..operators.sampling import with_split
-from ..operators.topics import fit_topics
+from ..operators.topics import LDA_PARTITIONS, fit_topics
 from ..session import lineage_cut
 from ..sources.corpus import as_labelled
 from .cleaning import clean_corpus
@@ -54,7 +54,7 @@ def question_features(corpus: DataFrame, preset: str = "main", key: str = "qid",
     return tokens.select(key, "filtered", target)
 
 
-def tfidf_features(tokens: DataFrame, input_col: str = "filtered", vocab_size: int = 1 << 18,
+def tfidf_features(tokens: DataFrame, input_col: str = "filtered", vocab_size: int = DEFAULT_VOCAB_SIZE,
                    min_df: float = 1.0, cut: bool = True):
     """Fit term counts and IDF on a token table and add both vectors
     (``rawFeatures``, ``features``). The tokens are cut from their lineage
@@ -70,7 +70,8 @@ def tfidf_features(tokens: DataFrame, input_col: str = "filtered", vocab_size: i
 
 def question_classifier(corpus: DataFrame, preset: str = "main", key: str = "qid",
                         target: str = "target", w2v_size: int = 100, min_count: int = 2,
-                        w2v_partitions: int | None = None, vocab_size: int = 1 << 18, min_df: float = 1.0,
+                        w2v_partitions: int = W2V_PARTITIONS, vocab_size: int = DEFAULT_VOCAB_SIZE,
+                        min_df: float = 1.0, lda_partitions: int = LDA_PARTITIONS,
                         k: int = 8, lda_iter: int = 100, kind: str = "random_forest",
                         weights=(0.6, 0.4), seed: int = 24, fit_on: str = "all",
                         drop_value: float | None = 9, timings: dict | None = None,
@@ -90,14 +91,14 @@ def question_classifier(corpus: DataFrame, preset: str = "main", key: str = "qid
     fit_rows = tokens if fit_on == "all" else tokens.where(F.col("part") == 0)
 
     w2v_model, _ = clock("word2vec", lambda: word_vectors(
-        fit_rows, "filtered", "wordvectors", size=w2v_size, min_count=min_count, seed=seed,
+        fit_rows, key, "filtered", "wordvectors", size=w2v_size, min_count=min_count, seed=seed,
         partitions=w2v_partitions))
     cv_model = clock("term_counts", lambda: fit_term_counts(
         fit_rows, "filtered", "rawFeatures", vocab_size=vocab_size, min_df=min_df))
     counted = cv_model.transform(fit_rows)
     idf_model = clock("idf", lambda: fit_idf(counted, "rawFeatures", "features"))
-    lda_model = clock("lda", lambda: fit_topics(idf_model.transform(counted), k=k, max_iter=lda_iter,
-                                                seed=seed))
+    lda_model = clock("lda", lambda: fit_topics(idf_model.transform(counted), key, k, lda_iter, seed,
+                                                partitions=lda_partitions))
 
     feats = idf_model.transform(cv_model.transform(w2v_model.transform(tokens)))
     feats = lda_model.transform(feats)

@@ -1,17 +1,15 @@
 """Session helpers.
 
 Library code never creates a session; it receives one. ``local_session`` is
-for tests, the bench and the examples. ``lineage_cut`` reads the checkpoint
-folder the cluster names in ``spark.checkpoint.dir`` and only falls back to
-a scratch folder when the caller says it is a local run.
+for tests, the bench and the examples.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,8 +17,7 @@ def local_session(cores: int | str = 8, app: str = "textflow",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
     """A local session configured the way the cluster one should be:
-    AQE on (coalescing, skew join), Arrow on, UI off, and a checkpoint
-    folder set only when none is configured."""
+    AQE on (coalescing, skew join), Arrow on, UI off."""
     parts = shuffle_partitions or (int(cores) if str(cores).isdigit() else 8)
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.ui.enabled", "false")
@@ -36,43 +33,37 @@ def local_session(cores: int | str = 8, app: str = "textflow",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark, allow_local=True)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str | None:
-    """Make ``df.checkpoint()`` usable.
-
-    The folder comes from ``spark.checkpoint.dir`` (a shared file system on a
-    cluster). Only when that is unset *and* ``allow_local`` is given (tests,
-    local bench) a fresh scratch folder is created under ``/tmp``.
-    """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # no SparkContext in this session (e.g. Connect): no checkpoints
-        return None
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    if allow_local:
-        path = tempfile.mkdtemp(prefix="textflow-ckpt-", dir="/tmp")
-        sc.setCheckpointDir(path)
-        return path
-    return None
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the
+    session. Where that is unset a local session (tests, bench) gets a
+    temporary folder; a cluster session is refused, since its executors
+    would not share one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="textflow-scratch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/") + "/textflow"
 
 
 def lineage_cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that feeds many jobs (model fits, sweeps).
+    """Write a table that feeds many jobs (model fits, sweeps, iterations) to
+    the shared folder as Parquet and read it back: the lineage ends there,
+    scans stay pruned and pushed down, and the loss of an executor costs no
+    more than a reread. ``release`` deletes it."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
-    With a checkpoint folder configured the table is written there
-    (reliable ``checkpoint``; survives the loss of executors). Without one
-    the table is persisted to memory and disk: still correct after an
-    executor loss, since Spark recomputes lost blocks from lineage.
-    """
-    if ensure_checkpoint_dir(df.sparkSession) is not None:
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def release(df: DataFrame) -> None:
+    """Delete a table that ``lineage_cut`` wrote and nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        path = sc._jvm.org.apache.hadoop.fs.Path(os.path.dirname(file))
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

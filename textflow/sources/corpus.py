@@ -26,40 +26,20 @@ FEATURES_TEXT = T.StructType([
 
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType = CORPUS,
                 fmt: str = "csv", **options) -> DataFrame:
-    """Read a labelled corpus (``qid, question_text, target``).
+    """Read a labelled corpus (``qid, question_text, target``), columns picked
+    by name.
 
-    CSV is read with a header and the declared schema (multi-line quoted
-    fields allowed, as question text may hold newlines); Parquet/ORC are read
-    and then cast to the schema by name.
+    CSV needs a header; its columns may come in any order and more of them
+    are dropped. Lines are records, so that a file splits into tasks; pass
+    ``multiLine=True`` for quoted fields that hold newlines (one task per
+    file then). A value that isn't of its column's type is NULL.
     """
     if fmt == "csv":
-        reader = (spark.read.schema(schema).option("header", True)
-                  .option("multiLine", options.pop("multiLine", True))
-                  .option("escape", options.pop("escape", '"')))
-        for k, v in options.items():
-            reader = reader.option(k, v)
-        return reader.csv(path)
-    df = spark.read.format(fmt).options(**options).load(path)
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
-def spread(df: DataFrame, key: str | None = None, per_core: int = 2) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has
-    cores (one small file, one row group) before CPU-heavy text work.
-
-    Hash-partitions by ``key`` when given (deterministic under task retries,
-    and a later join or aggregation on that key can reuse it), else
-    round-robin. When the input already has enough partitions -- any large
-    input -- the plan is returned unchanged, so nothing is shuffled.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # no RDD view (e.g. a Connect session): leave the plan as is
-        return df
-    n = cores * per_core
-    return df.repartition(n, key) if key else df.repartition(n)
+        reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').options(**options)
+        df = reader.csv(path)
+    else:
+        df = spark.read.format(fmt).options(**options).load(path)
+    return df.select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def rename_positional(df: DataFrame, *names: str) -> DataFrame:
@@ -91,18 +71,23 @@ def read_features(spark: SparkSession, path: str, vector_col: str = "topics",
 
 
 def read_lexicon(spark: SparkSession, path: str, fmt: str = "parquet",
-                 word_col: str = "word") -> DataFrame:
-    """Read a lexicon of known words (``word`` plus optional vector),
-    one row per word. Text files hold one ``word v1 v2 ...`` per line."""
+                 word_col: str = "word", vectors: bool = True) -> DataFrame:
+    """Read a lexicon of known words: ``word`` and, with ``vectors`` and where
+    there is one, its ``vector``; one row per word. Of a repeated word the
+    smallest vector is kept (arrays compared item by item). Text files hold one ``word v1 v2 ...``
+    per line; a head line of two numbers (``count width``) is skipped, and a
+    value that is no number is NULL. For membership alone pass
+    ``vectors=False``, so that only words are shuffled."""
     if fmt == "text":
-        df = spark.read.text(path).select(F.split(F.col("value"), " ", 2).alias("p"))
-        df = df.select(F.col("p")[0].alias("word"),
-                       F.split(F.col("p")[1], " ").cast("array<float>").alias("vector"))
+        lines = spark.read.text(path).where(~F.col("value").rlike(r"^\d+ \d+\s*$"))
+        p = F.split(F.col("value"), " ", 2)
+        df = lines.select(F.get(p, 0).alias("word"), F.transform(
+            F.split(F.trim(F.get(p, 1)), " "), lambda x: x.try_cast("float")).alias("vector"))
     else:
-        df = spark.read.format(fmt).load(path)
-        if word_col != "word":
-            df = df.withColumnRenamed(word_col, "word")
-    return df.dropDuplicates(["word"])
+        df = spark.read.format(fmt).load(path).withColumnRenamed(word_col, "word")
+    if not vectors or "vector" not in df.columns:
+        return df.select("word").distinct()
+    return df.groupBy("word").agg(F.min("vector").alias("vector"))
 
 
 def lexicon_from_text(df: DataFrame, col: str = "text") -> DataFrame:

@@ -4,8 +4,8 @@
   (``qid = doc_id`` as text, ``question_text = text``, ``target = toxic``);
 * unlabelled text = ``documents``;
 * lexicon = the distinct whitespace words of ``benchmark.text``;
-* feature text = the first 20 items of ``embeddings.embedding`` as
-  ``floor(x * 100)`` integers in brackets, class ``label % 2``.
+* feature text = all items of ``embeddings.embedding`` as ``floor(x * 100)``
+  integers in brackets, class ``label % 2``.
 """
 
 from __future__ import annotations
@@ -13,21 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpus import lexicon_from_text, spread
-
-# Text-heavy tables and their keys: spread when the scan is too narrow.
-_TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+from .corpus import lexicon_from_text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
-    """Scan one table (only ``columns`` when given). Text tables are
-    spread over the cores when the file yields fewer splits than cores."""
+    """Scan one table (only ``columns`` when given). How a scan is split is
+    left to Spark's file settings."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    if name in _TEXT_KEYS:
-        df = spread(df, _TEXT_KEYS[name])
-    return df
+    return df.select(*columns) if columns else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +43,11 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_from_text(table(spark, sf_dir, "benchmark"), "text")
 
 
-def feature_text(spark: SparkSession, sf_dir: str, width: int = 20,
-                 vector_col: str = "topics") -> DataFrame:
+def feature_text(spark: SparkSession, sf_dir: str, vector_col: str = "topics") -> DataFrame:
     """``vec_id bigint, target int, <vector_col> string`` such as
     ``[12, -3, ...]``; the id is kept so results can be checked row by row."""
     emb = table(spark, sf_dir, "embeddings")
-    items = F.transform(F.slice("embedding", 1, width),
+    items = F.transform("embedding",
                         lambda x: F.floor(x.cast("double") * 100).cast("int").cast("string"))
     return emb.select(
         "vec_id",
