@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -123,11 +124,14 @@ class _Encoder:
     def _ids(self, words: list[str]) -> np.ndarray:
         if len(self.known) > MEMORY_ENTRIES:
             self.known = {}
-        fresh = self._learn({w for w in words if w not in self.known})
-        long = {w: fresh.pop(w) for w in [w for w in fresh if len(w) > MEMORY_LENGTH]}
-        self.known |= fresh
-        look = self.known if not long else self.known | long
-        return np.fromiter(chain.from_iterable(map(look.__getitem__, words)), np.int32)
+        known = self.known
+        fresh = self._learn({w for w in words if w not in known})
+        known |= fresh
+        ids = np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
+        for w in fresh:
+            if len(w) > MEMORY_LENGTH:
+                del known[w]
+        return ids
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
@@ -144,12 +148,6 @@ class _Encoder:
         return np.concatenate([*parts, self._ids(words)])
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
-
-
 def encode(text: Column, tokens: list[bytes], pattern: str) -> Column:
     """``array<int>``: the ids of a text column. ``tokens`` from
     ``read_vocabulary``."""
@@ -159,7 +157,11 @@ def encode(text: Column, tokens: list[bytes], pattern: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _Encoder(model, tokens, pattern)
         for batch in batches:
-            yield _lists([encoder(t) for t in batch.to_pylist()])
+            flat, ends = array("i"), [0]  # one text at a time beside the batch itself
+            for text in batch:
+                flat.frombytes(encoder(text.as_py()).tobytes())
+                ends.append(len(flat))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
 
     return ids.asNondeterministic()(text)  # so that no rule copies the call
 
