@@ -10,9 +10,11 @@ linked pair meets at the home of either one. Fingerprints are compared at
 each anchor over all 64 bits.
 
 Equal fingerprints are folded before they are replicated. An anchor with many
-homes is split into parts (its visitors go to every part), so that the memory
-of a comparison is bounded; of the pairs found, a task returns only a forest
-that connects the same fingerprints.
+homes is split by the anchors of the other blocks in turn: a pair that
+meets there differs in ``bits // (FAMILIES - 1)`` bits at most in one of them. Very
+large ones are split into parts as well, whose homes are divided and whose visitors
+go to every part. Of the pairs found, a task returns only a forest that
+connects the same fingerprints.
 
 Defined cases: a null or empty text, or one without words, has fingerprint
 zero, linked like any other; a text of fewer words than a shingle is one
@@ -33,9 +35,12 @@ from .shared import ASCII_LOWER, as_bytes, cut, gathered, groups
 
 SHINGLE, BITS, SEED = 4, 4, 42
 FAMILIES, BLOCK = 4, 16
-#: Homes of an anchor that one task compares.
+#: Homes of an anchor that isn't split.
 HOMES = 4096
 _SLICE = 1 << 14
+#: Bits of a place that follow the first anchor: the second one's family and anchor, and a part.
+_SALT = 20
+_SECOND = 3 + BLOCK + _SALT
 
 
 def fingerprint_of(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -112,6 +117,13 @@ def _block(prints: np.ndarray, family: int) -> np.ndarray:
     return (prints >> np.uint64(BLOCK * family) & np.uint64((1 << BLOCK) - 1)).astype(np.uint32)
 
 
+def _visitors(prints: np.ndarray, family: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, anchors, and whether the anchor is the row's home."""
+    block = _block(prints, family)
+    row, anchor = visits(block, threshold)
+    return row, anchor, anchor == homes(block)[row]
+
+
 # --- linking ---
 
 
@@ -156,30 +168,39 @@ def links(prints: DataFrame, column: str = "fp", bits: int = BITS, most: int = H
                                           "n": pa.array(list(count.values()), pa.int64())})
 
     # FAMILIES * 4096 anchors at most, whatever the input
-    crowded = {(r.family, r.anchor): -(-r.n // most)
+    crowded = {(r.family, r.anchor): r.n
                for r in prints.mapInArrow(at_home, "family int, anchor int, n bigint")
                .groupBy("family", "anchor").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()}
 
     def replicate(batches):
+        held = np.zeros((FAMILIES, 1 << BLOCK), np.int64)
+        for (family, anchor), n in crowded.items():
+            held[family, anchor] = n
+
+        def rows(place, home, fp):
+            return pa.RecordBatch.from_pydict({"place": place, "home": home, "fp": fp.view(np.int64)})
+
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for i in range(0, len(fp), 1 << 14):
-                part = fp[i:i + (1 << 14)]
+            whole = batch.column(0).to_numpy().view(np.uint64)
+            for start in range(0, len(whole), _SLICE):
+                fp = whole[start:start + _SLICE]
                 for family in range(FAMILIES):
-                    block = _block(part, family)
-                    home = homes(block)
-                    row, anchor = visits(block, threshold)
-                    is_home = anchor == home[row]
-                    parts = np.ones(1 << BLOCK, np.int64)
-                    for (f, a), n in crowded.items():
-                        if f == family:
-                            parts[a] = n
-                    times = parts[anchor]
-                    row, anchor, is_home = (np.repeat(x, times) for x in (row, anchor, is_home))
-                    salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                    own = part[row] % np.maximum(parts[anchor], 1).astype(np.uint64) == salt.astype(np.uint64)
-                    place = (family << BLOCK | anchor.astype(np.int64)) << 32 | salt
-                    yield pa.RecordBatch.from_pydict({"place": place, "home": is_home & own, "fp": part[row].view(np.int64)})
+                    row, anchor, home = _visitors(fp, family, threshold)
+                    first = (family << BLOCK | anchor.astype(np.int64)) << _SECOND
+                    many = held[family, anchor]
+                    yield rows(first[many == 0], home[many == 0], fp[row[many == 0]])
+                    at = np.flatnonzero(many)
+                    for other in range(FAMILIES if at.size else 0):
+                        if other == family:
+                            continue
+                        near, second, home_too = _visitors(fp[row[at]], other, bits // (FAMILIES - 1))
+                        i = at[near]
+                        parts = 1 + many[i] // (most << 6)
+                        salt = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                        j = np.repeat(np.arange(len(i)), parts)
+                        own = fp[row[i[j]]] % parts[j].astype(np.uint64) == salt.astype(np.uint64)
+                        place = first[i[j]] + (((other + 1) << BLOCK | second[j].astype(np.int64)) << _SALT) + salt
+                        yield rows(place, (home[i] & home_too)[j] & own, fp[row[i[j]]])
 
     def compare(batches):
         for table in groups(batches, "place"):
