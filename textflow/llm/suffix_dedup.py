@@ -4,9 +4,9 @@ Every string of ``length`` bytes that starts at more than one place, in one text
 in two, is found, and the bytes that such strings cover are removed. The work
 is split so that equal strings always meet:
 
-1. Each window of ``length`` bytes names an anchor, the gram of ``GRAM`` bytes in it with the
-   smallest hash (the first of equals). Neighbouring windows with the same anchor form a
-   context. Equal windows have equal anchors, so a repeated string lies in
+1. Each window of ``length`` bytes names an anchor, the gram (of 64 bytes, for
+   400) in it with the smallest hash, the first of equals. Neighbouring windows with the same
+   anchor form a context. Equal windows have equal anchors, so a repeated string lies in
    contexts of one anchor gram.
 2. Equal contexts of an anchor gram are folded into one with a count; contexts
    whose gram occurs once are done.
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from .shared import as_bytes, cut, gathered, groups
 
-LENGTH, GRAM = 400, 16
+LENGTH = 400
 #: Different contexts of a gram that go into one bin.
-MOST = 256
+MOST = 2048
 #: Bytes that are sorted at once; a gram's contexts may exceed it.
 BIN = 96 << 10
 ROW = "__row"
@@ -56,11 +56,24 @@ def _words_at(text: np.ndarray, count: int) -> np.ndarray:
     return np.ndarray((count,), "<u8", text, strides=(1,))
 
 
-def _gram_hashes(text: np.ndarray, count: int) -> np.ndarray:
-    w = _words_at(text, count + 8)
-    h = w[:count] * np.uint64(0x9E3779B97F4A7C15) + w[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+def gram_length(length: int) -> int:
+    """Bytes of an anchor gram: a power of two, a sixth of ``length`` or less.
+    Long enough that texts rarely share one by chance, short enough that a window holds
+    many."""
+    gram = 8
+    while 12 * gram <= length:
+        gram *= 2
+    return gram
+
+
+def _gram_hashes(text: np.ndarray, total: int, gram: int) -> np.ndarray:
+    """The hash of each gram of the first ``total`` bytes, by doubling."""
+    h, n = _words_at(text, total - 7) * np.uint64(0x9E3779B97F4A7C15), 8
+    while n < gram:
+        h = h[:-n] * np.uint64(0x9E3779B97F4A7C15) + h[n:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        n *= 2
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(32)
 
 
@@ -81,10 +94,11 @@ def contexts_of(parts: list[bytes], length: int) -> Iterator[tuple[int, int, int
     total = len(text) - 16
     if total < length:
         return
-    hashes = _gram_hashes(text, total - GRAM + 1)
+    gram = gram_length(length)
+    hashes = _gram_hashes(text, total, gram)
     place = np.uint64((1 << _PLACE) - 1)
     keys = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
-    anchor = (_first_smallest(keys, length - GRAM + 1) & place).astype(np.int64)
+    anchor = (_first_smallest(keys, length - gram + 1) & place).astype(np.int64)
     at = 0
     for number, part in enumerate(parts):
         n = len(part) - length + 1
@@ -139,6 +153,18 @@ def _contexts(length: int):
 # --- suffix sorting ---
 
 
+def _sorted_directly(text: bytes, t: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """``starts`` by their suffixes, one bucket of two first bytes after the
+    other, so that only one bucket's prefixes are held at a time."""
+    if not starts.size:
+        return starts
+    two = t[starts].astype(np.int32) << 8 | t[starts + 1]
+    starts = starts[np.argsort(two, kind="stable")]
+    edges = np.flatnonzero(np.diff(np.sort(two))) + 1
+    key = lambda i: text[i + 2:i + depth]
+    return np.concatenate([np.array(sorted(b.tolist(), key=key)) if len(b) > 1 else b for b in np.split(starts, edges)])
+
+
 def suffix_order(text: bytes, depth: int) -> np.ndarray:
     """Starts of the suffixes, sorted by their first ``depth`` bytes at
     least. Stage one sorts the suffixes smaller than their successors; stage
@@ -151,7 +177,7 @@ def suffix_order(text: bytes, depth: int) -> np.ndarray:
     ups[change] = t[change] < t[change + 1]
     ends = np.append(change, n - 1)
     ups = ups[np.repeat(ends, np.diff(ends, prepend=-1))]
-    direct = np.array(sorted(np.flatnonzero(ups).tolist(), key=lambda i: text[i:i + depth]), np.int64)
+    direct = _sorted_directly(text, t, np.flatnonzero(ups), depth)
     first = t[direct]
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[t[-1]].append(np.array([n - 1]))
