@@ -36,7 +36,7 @@ PIVOT_SAMPLE = 1024
 #: Rows of a block of queries and of one of candidates.
 QUERY_BLOCK, BLOCK = 256, 2048
 MAX_COMPONENT = 1 << 20
-_STEP = 64
+_STEP = 256
 
 
 def scaled(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
