@@ -294,6 +294,18 @@ def test_quotes_are_linked_and_removed(spark):
     assert quotes.link(empty).collect() == []
 
 
+def test_quotes_equal_sql(spark, database, tmp_path):
+    rng = random.Random(12)
+    lines = ["Hello there", "my old friend.", "", "> Hello there", "> my old friend.", ">> Hello there", "Ann wrote:", "Fine  THANKS.", "> fine thanks.", ">", "> > my old friend."]
+    more = [(9, t, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for t in range(40)]
+    talk = spark.createDataFrame([(c, t, "user", x) for c, t, x in TALK + more], "conv_id bigint, turn bigint, role string, text string")
+    talk.write.parquet(f"{tmp_path}/conversations.parquet")
+    database.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    found = registry.op2_quotes(spark, str(tmp_path))
+    assert sum(r.n_linked for r in found.collect()) > 20
+    same(found, database, quotes.oracle_sql())
+
+
 def test_op2_whole_table(spark):
     rows = registry.op2_quotes(spark, SF001).collect()
     source = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF001}/conversations.parquet").collect()}

@@ -137,3 +137,37 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
         "thread": F.coalesce("__thread", F.col(turn).cast("bigint")), "clean_text": without_quotes(F.col(text)),
     }).drop("__conv", "__turn", "__quoted", "__linked", "__source", "__thread")
     return done.orderBy(conv, "thread", turn)
+
+
+def oracle_sql() -> str:
+    """The same over ``conversations`` in DuckDB."""
+    white = "[ \\t\\n\\x0B\\f\\r\\x{A0}]+"
+    clean = lambda text: f"lower(trim(regexp_replace({text}, '{white}', ' ', 'g')))"
+    parts = "regexp_split_to_array(text, '\r?\n')"
+    return f"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text FROM conversations),
+l AS (SELECT r, conv_id AS conv, turn, unnest({parts}) AS raw, unnest(range(len({parts}))) AS pos FROM m),
+p AS (SELECT r, conv, turn, pos, len(marks) - len(replace(marks, '>', '')) AS level, regexp_replace(raw, '{MARKS}', '') AS body
+      FROM (SELECT *, regexp_extract(raw, '{MARKS}', 1) AS marks FROM l)),
+b AS (SELECT *, {clean('body')} = '' AS blank FROM p),
+n AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY pos) AS part FROM (SELECT *, CASE WHEN lag(level) OVER o IS NULL OR lag(level) OVER o <> level
+        OR blank OR lag(blank) OVER o THEN 1 ELSE 0 END AS new FROM b WINDOW o AS (PARTITION BY r ORDER BY pos))),
+g AS (SELECT r, conv, turn, part, level, {clean("string_agg(body, ' ' ORDER BY pos)")} AS body FROM n
+      WHERE NOT blank AND conv IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+quoted AS (SELECT DISTINCT conv, turn, part, level, body FROM g WHERE level > 0 AND NOT regexp_matches(body, '{ANNOUNCES}')),
+written AS (SELECT conv, turn, body FROM g WHERE level = 0 UNION SELECT conv, turn, {clean('body')} FROM b WHERE level = 0 AND NOT blank),
+linked AS (SELECT q.conv, q.turn, q.part, q.level, q.body, max(w.turn) AS source FROM quoted q JOIN written w
+           ON q.conv = w.conv AND q.body = w.body AND w.turn < q.turn AND NOT regexp_matches(w.body, '{ANNOUNCES}') GROUP BY ALL),
+votes AS (SELECT conv, turn, level, source, sum(len(string_split(body, ' '))) AS words FROM linked GROUP BY ALL),
+replies AS (SELECT conv, turn, source FROM (SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY level, words DESC, source DESC) AS k FROM votes) WHERE k = 1),
+up(conv, turn, thread) AS (SELECT conv, turn, source FROM replies UNION ALL
+  SELECT up.conv, up.turn, replies.source FROM up JOIN replies ON up.conv = replies.conv AND up.thread = replies.turn),
+heads AS (SELECT conv, turn, min(thread) AS thread FROM up GROUP BY ALL),
+cq AS (SELECT conv, turn, count(*) AS n FROM quoted GROUP BY ALL), cl AS (SELECT conv, turn, count(*) AS n FROM linked GROUP BY ALL),
+kept AS (SELECT r, trim(string_agg(body, chr(10) ORDER BY pos)) AS clean FROM (SELECT *, coalesce(lead(level) OVER (PARTITION BY r ORDER BY pos), 0) AS below FROM b)
+         WHERE level = 0 AND NOT (below > 0 AND regexp_matches(body, '{ANNOUNCES}')) GROUP BY r)
+SELECT m.conv_id, m.turn, m.role, coalesce(cq.n, 0)::BIGINT AS n_quoted, coalesce(cl.n, 0)::BIGINT AS n_linked, replies.source AS reply_to,
+  coalesce(heads.thread, m.turn) AS thread, CASE WHEN contains(text, '>') THEN coalesce(kept.clean, '') ELSE text END AS clean_text
+FROM m LEFT JOIN cq ON m.conv_id = cq.conv AND m.turn = cq.turn LEFT JOIN cl ON m.conv_id = cl.conv AND m.turn = cl.turn
+LEFT JOIN replies ON m.conv_id = replies.conv AND m.turn = replies.turn LEFT JOIN heads ON m.conv_id = heads.conv AND m.turn = heads.turn
+LEFT JOIN kept USING (r)"""

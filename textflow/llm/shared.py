@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..session import lineage_cut as cut  # noqa: F401
+from ..session import release as drop  # noqa: F401
+from ..session import scratch_dir  # noqa: F401
 
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -17,37 +17,6 @@ ASCII_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the
-    session. Where that is unset a local session (tests, bench) gets a
-    temporary folder; a cluster session is refused, since its executors
-    would not share one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="textflow-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends
-    there, and the loss of an executor costs no more than a reread."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/textflow/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``cut`` wrote and nothing reads any more."""
-    sc = df.sparkSession.sparkContext
-    for file in df.inputFiles()[:1]:
-        path = sc._jvm.org.apache.hadoop.fs.Path(os.path.dirname(file))
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column; null stays None."""
     if pa.types.is_large_string(column.type):
@@ -55,20 +24,6 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
-    """Slices of a batch whose texts hold about ``limit`` bytes (one row at
-    least), so that what a task builds from them stays small."""
-    lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
-    start, held = 0, 0
-    for i, n in enumerate(lengths):
-        if i > start and held + (n or 0) > limit:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n or 0
-    if start < len(lengths):
-        yield batch.slice(start)
-
-
 def gathered(df: DataFrame, key: str) -> DataFrame:
     """Rows of a key in one partition and next to each other, for ``groups``."""
     return df.repartition(key).sortWithinPartitions(key)
