@@ -136,3 +136,22 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     of = lambda field: F.array_sort(F.array_distinct(F.concat(*[F.col(f"{n}.{field}") for n in names])))
     return docs.withColumn(out, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"),
                                          *[of(f).alias(f) for f in ("words", "items", "spans")])).drop(*names)
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The digest of op9 over ``documents`` and ``benchmark`` in DuckDB."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH i AS (SELECT item_id, {words} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(w), {window}) AS n, array_to_string(w[k:k + {window} - 1], ' ') AS pattern
+      FROM (SELECT *, unnest(range(1, greatest(len(w) - {window} + 1, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+g AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS pattern
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+h AS (SELECT r, k, n, item_id FROM g JOIN p USING (n, pattern)),
+hit AS (SELECT r, count(DISTINCT at_word) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS at_word FROM h) GROUP BY r),
+f AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN f USING (r)"""

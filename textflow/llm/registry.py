@@ -102,4 +102,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quotes": quotes.oracle_sql(), "op10_exact_topk": exact_topk.oracle_sql(QUERY_EVERY, TOP), "op4_url_filter": url_filter.oracle_sql(), "op8_license_scan": license_scan.oracle_sql()}
+    return {"op2_quotes": quotes.oracle_sql(), "op4_url_filter": url_filter.oracle_sql(),
+            "op8_license_scan": license_scan.oracle_sql(), "op9_decontaminate": decontaminate.oracle_sql(),
+            "op10_exact_topk": exact_topk.oracle_sql(QUERY_EVERY, TOP)}
