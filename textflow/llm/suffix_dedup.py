@@ -278,16 +278,30 @@ def _windows(length: int):
 # --- the whole ---
 
 
+_DATA = "key bigint, context bigint, kinds bigint, data binary"
+
+
 def _cut_out(length: int):
+    """The bytes of the contexts asked for: a text comes once, with all of its own."""
     def bytes_of(batches):
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for start in range(0, len(texts), 256):
-                part = batch.slice(start, 256)
-                data = [t[a:b + length] for t, a, b in zip(texts[start:start + 256], part.column("first").to_pylist(),
-                                                           part.column("last").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("context"), part.column("kinds"), pa.array(data, pa.binary())],
-                                                 ["key", "context", "kinds", "data"])
+            held, size = [], 0
+            for text, asked in zip(batch.column("text"), batch.column("asked"), strict=True):
+                raw = text.as_py().encode()
+                for c in asked.as_py():
+                    held.append((c["key"], c["context"], c["kinds"], raw[c["first"]:c["last"] + length]))
+                    size += len(held[-1][-1])
+                if size > 4 << 20:
+                    yield table(held)
+                    held, size = [], 0
+            yield table(held)
+
+    def table(held):
+        columns = zip(*held, strict=True) if held else [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                          ["key", "context", "kinds", "data"])
+
     return bytes_of
 
 
@@ -300,9 +314,9 @@ def repeats(rows: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFram
     kinds = folded.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     # only contexts that stand alone need a partner; those of their gram are what they are sorted with
     single = folded.where("n = 1").select("key").join(kinds, "key").distinct()
-    sample = folded.join(single, "key").select("key", "context", "kinds", "one.*")
-    data = cut(rows.select(ROW, "text").join(sample, ROW).select("text", "key", "context", "kinds", "first", "last").mapInArrow(
-        _cut_out(length), "key bigint, context bigint, kinds bigint, data binary"))
+    asked = (folded.join(single, "key").select(f"one.{ROW}", F.struct("key", "context", "kinds", "one.first", "one.last").alias("c"))
+             .groupBy(ROW).agg(F.collect_list("c").alias("asked")))
+    data = cut(rows.select(ROW, "text").join(asked, ROW).select("text", "asked").mapInArrow(_cut_out(length), _DATA))
     binned = (gathered(data.where(F.col("kinds") <= most).select("key", "context", "data"), "key")
               .mapInArrow(_sorted_bins(length), f"key bigint, context bigint, runs {_RUNS}"))
     windows = data.where(F.col("kinds") > most).mapInArrow(_windows(length), "key bigint, context bigint, at int, window binary")
