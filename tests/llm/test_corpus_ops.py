@@ -9,7 +9,6 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from textflow.llm import components, exact_topk, license_scan, quotes, registry, simhash, suffix_dedup, url_filter
 
