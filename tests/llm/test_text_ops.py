@@ -172,6 +172,17 @@ def test_copies_in_large_groups_and_common_lines(spark):
     assert by[100].n_removed == 0 and all(by[100 + i].text == "" for i in range(1, 40))
 
 
+def test_long_line_goes_from_every_later_holder(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    _, out = dedup(spark, [(i, f"document {i} opens with this text\n{passage}\nand document {i} closes with that") for i in range(40)])
+    assert {r.doc_id: r.n_removed for r in out} == {i: int(i > 0) for i in range(40)}
+
+
+def test_text_of_one_line_still_pairs_by_that_line(spark):
+    _, out = dedup(spark, [(1, LONG[0]), (2, "own first line\n" + LONG[0])])
+    assert {r.doc_id: r.text for r in out} == {1: LONG[0], 2: "own first line"}
+
+
 def test_line_dedup_edges(spark):
     _, out = dedup(spark, [(1, None), (2, ""), (None, LONG[0]), (7, LONG[0]), (7, LONG[0]), (8, "\n\n"), (8, "\n\n")])
     texts = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in out)

@@ -2,7 +2,8 @@
 
 Every line (without the white space around it) is hashed. A line's owner is
 the first document that holds it. A later document is paired with an owner if
-they share a rare line, two different lines however common, or the whole text. Each pair is
+they share a rare line, a line of ``ENOUGH`` words however common, two different
+lines however common, or the whole text. Each pair is
 aligned by patience diff over all its lines, and the blocks of aligned
 neighbouring lines are deleted from the later document.
 
@@ -32,30 +33,36 @@ from .shared import as_bytes, cut
 
 #: A line with fewer words neither pairs documents nor makes a block.
 MIN_WORDS = 5
-#: A line is rare if no more documents than this hold it.
+#: A line with as many words is an overlap by itself, however many documents hold it.
+ENOUGH = 2 * MIN_WORDS
+#: A shorter line is rare, and then an overlap by itself, if no more documents than this hold it.
 RARE = 10
 ROW, ORDER = "__row", "__order"
 
 
 def _sequences(batches):
-    """Rows (row, order, hashes, solid, whole): the hash of every line, the
-    different hashes of its lines with enough words, and that of all lines."""
+    """Rows (row, order, hashes, solid, strong): the hash of every line, the
+    different hashes of its lines with ``MIN_WORDS`` words, and what is an
+    overlap by itself: its lines with ``ENOUGH`` words and the whole text."""
     from xxhash import xxh3_64_intdigest
 
     signed = lambda hashes: np.array(hashes, np.uint64).view(np.int64)
     for batch in batches:
         for start in range(0, len(batch), 512):
             part = batch.slice(start, 512)
-            hashes, solid, whole = [], [], []
+            hashes, solid, strong = [], [], []
             for text in as_bytes(part.column("text")):
                 lines = [line.strip() for line in text.split(b"\n")] if text else []
                 found = {line: xxh3_64_intdigest(line) for line in lines}
                 hashes.append(signed([found[line] for line in lines]))
-                solid.append(signed([h for line, h in found.items() if len(line.split(None, MIN_WORDS - 1)) >= MIN_WORDS]))
-                whole.append(xxh3_64_intdigest(b"\n".join(lines)))
+                words = {line: len(line.split(None, ENOUGH - 1)) for line in found}
+                solid.append(signed([h for line, h in found.items() if words[line] >= MIN_WORDS]))
+                # seeded, so that a text of one line differs from the line
+                whole = {xxh3_64_intdigest(b"\n".join(lines), 1)} if len(solid[-1]) else set()
+                strong.append(signed(sorted(whole | {h for line, h in found.items() if words[line] >= ENOUGH})))
             yield pa.RecordBatch.from_arrays(
                 [part.column(ROW), part.column(ORDER), pa.array(hashes, pa.list_(pa.int64())),
-                 pa.array(solid, pa.list_(pa.int64())), pa.array(signed(whole))], [ROW, ORDER, "hashes", "solid", "whole"])
+                 pa.array(solid, pa.list_(pa.int64())), pa.array(strong, pa.list_(pa.int64()))], [ROW, ORDER, "hashes", "solid", "strong"])
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -132,16 +139,15 @@ def removals(docs: DataFrame) -> DataFrame:
     documents, unique) and ``text``."""
     kind = docs.schema[ORDER].dataType.simpleString()
     docs = cut(docs.select(ROW, ORDER, "text").where("text <> ''").mapInArrow(
-        _sequences, f"{ROW} bigint, {ORDER} {kind}, hashes array<bigint>, solid array<bigint>, whole bigint"))
-    keys = F.concat(F.transform("solid", lambda h: F.struct(h.alias("h"), F.lit(False).alias("is_whole"))),
-                    F.when(F.size("solid") > 0, F.array(F.struct(F.col("whole").alias("h"), F.lit(True).alias("is_whole"))))
-                    .otherwise(F.array()))
+        _sequences, f"{ROW} bigint, {ORDER} {kind}, hashes array<bigint>, solid array<bigint>, strong array<bigint>"))
+    named = lambda keys, strong: F.transform(keys, lambda h: F.struct(h.alias("h"), F.lit(strong).alias("is_strong")))
+    keys = F.concat(named(F.array_except("solid", "strong"), False), named("strong", True))
     lines = docs.select(ROW, ORDER, F.inline(keys))
     # written, so that the join below gets plain exchanges, of which Spark can split a common line's
-    owners = cut(lines.groupBy("h", "is_whole").agg(F.count("*").alias("df"), F.min(ORDER).alias("first"))
-                 .where("df > 1").select("h", "is_whole", "df", F.col("first.row").alias("owner")))
-    proof = F.when(F.col("is_whole") | (F.col("df") <= RARE), 2).otherwise(1)
-    pairs = (lines.join(owners, ["h", "is_whole"]).where(F.col(ROW) != F.col("owner"))
+    owners = cut(lines.groupBy("h", "is_strong").agg(F.count("*").alias("df"), F.min(ORDER).alias("first"))
+                 .where("df > 1").select("h", "is_strong", "df", F.col("first.row").alias("owner")))
+    proof = F.when(F.col("is_strong") | (F.col("df") <= RARE), 2).otherwise(1)
+    pairs = (lines.join(owners, ["h", "is_strong"]).where(F.col(ROW) != F.col("owner"))
              .groupBy(ROW, "owner").agg(F.sum(proof).alias("proof")).where("proof >= 2").select(ROW, "owner"))
     theirs = docs.select(F.col(ROW).alias("owner"), F.col("hashes").alias("theirs"))
     both = (pairs.join(docs.select(ROW, F.col("hashes").alias("mine"), "solid"), ROW)
