@@ -183,6 +183,41 @@ def test_text_of_one_line_still_pairs_by_that_line(spark):
     assert {r.doc_id: r.text for r in out} == {1: LONG[0], 2: "own first line"}
 
 
+def test_blocks_in_another_order_or_repeated(spark):
+    p, q, x, y = ("\n".join(LONG[i:i + 3]) for i in (0, 3, 6, 9))
+    _, out = dedup(spark, [(1, p + "\n" + q), (2, q + "\n" + p), (3, "own text\n" + q + "\n" + p),
+                           (4, f"a start\n{x}\n{y}\n{x}\n{y}\nan end"), (5, f"other start\n{x}\n{y}\n{x}\n{y}\nother end")])
+    assert {r.doc_id: r.text for r in out if r.doc_id in (2, 3, 5)} == {2: "", 3: "own text", 5: "other start\nother end"}
+
+
+def test_neighbouring_common_lines_with_two_owners(spark):
+    x, y = "six words are in this line", "and six words are in that"
+    docs = [(i, f"own text {i}\n{x if i < 12 else y}\nown end {i}") for i in range(24)]
+    _, out = dedup(spark, [*docs, (30, f"B\n{x}\n{y}\nB."), (31, f"C\n{x}\n{y}\nC.")])
+    assert {r.doc_id: r.n_removed for r in out if r.n_removed} == {31: 2}
+
+
+def test_no_shared_run_of_enough_words_is_left(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RARE", 0)
+    rng = random.Random(4)
+    pool = [" ".join(f"w{k}" for _ in range(k % 7)) for k in range(12)]
+    docs = [[rng.choice(pool) for _ in range(rng.randint(0, 14))] for _ in range(60)]
+    passages = [[rng.choice(pool) for _ in range(6)] for _ in range(4)]
+    docs = [d + rng.choice(passages) + [f"end of {i}"] for i, d in enumerate(docs)]
+    marked = [(i, "\n".join(d)) for i, d in enumerate(docs)]
+    _, out = dedup(spark, marked)
+    kept = {r.doc_id: r.text.split("\n") for r in out}
+    for i, d in enumerate(docs):
+        must, earlier = set(), docs[:i]
+        for a in range(len(d)):
+            for b in range(a + 1, len(d) + 1):
+                if sum(len(x.split()) for x in d[a:b]) >= line_dedup.ENOUGH and any(
+                        d[a:b] == e[k:k + b - a] for e in earlier for k in range(len(e))):
+                    must.update(range(a, b))
+        rest = iter([x for k, x in enumerate(d) if k not in must])
+        assert all(line in rest for line in kept[i] if line)  # what is kept is a part of what no earlier document holds
+
+
 def test_line_dedup_edges(spark):
     _, out = dedup(spark, [(1, None), (2, ""), (None, LONG[0]), (7, LONG[0]), (7, LONG[0]), (8, "\n\n"), (8, "\n\n")])
     texts = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in out)

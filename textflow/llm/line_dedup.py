@@ -1,16 +1,22 @@
 """Line dedup by pairwise alignment.
 
 Every line (without the white space around it) is hashed. A line's owner is
-the first document that holds it. A later document is paired with an owner if
-they share a rare line, a line of ``ENOUGH`` words however common, two different
-lines however common, or the whole text. Each pair is
-aligned by patience diff over all its lines, and the blocks of aligned
-neighbouring lines are deleted from the later document.
+the first document that holds it; so is that of a run of neighbouring lines. A
+later document is paired with an owner if they share a rare line, a line or a
+run of lines of ``ENOUGH`` words however common, two different lines however
+common, or the whole text. Each pair is aligned by patience diff over all its
+lines, and the blocks of aligned neighbouring lines are deleted from the later
+document. What the alignment leaves, as it stands in another order or is repeated,
+is matched run by run: any run of lines of the later document that its owner
+holds is a block as well.
 
-A document is paired with the owners of its lines, not with every other
+A document is paired with the owners of its lines and runs, not with every other
 holder: pairs grow with the lines, and a line in a third of all documents
-costs a row for each of them. A block counts if one of its lines has
-``MIN_WORDS`` words at least; only such lines pair documents.
+costs a row for each of them. From each line two runs start, the shortest ones
+of ``ENOUGH`` words that begin and that end with it. Neighbouring lines of
+``ENOUGH`` words that stand in any earlier document are made of such runs, and
+of each the owner is at least as early, so all of them are deleted. A block counts if one of its
+lines has ``MIN_WORDS`` words at least, or all of them ``ENOUGH``.
 
 Defined cases: a null text stays null and an empty one empty; blank lines are
 aligned like others but make no block; documents are ordered by id, null ids
@@ -31,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .shared import as_bytes, cut
 
-#: A line with fewer words neither pairs documents nor makes a block.
+#: A line with fewer words neither pairs documents nor makes a block by itself.
 MIN_WORDS = 5
-#: A line with as many words is an overlap by itself, however many documents hold it.
+#: A line or a run of lines with as many words is an overlap by itself, however many documents hold it.
 ENOUGH = 2 * MIN_WORDS
 #: A shorter line is rare, and then an overlap by itself, if no more documents than this hold it.
 RARE = 10
@@ -41,28 +47,70 @@ ROW, ORDER = "__row", "__order"
 
 
 def _sequences(batches):
-    """Rows (row, order, hashes, solid, strong): the hash of every line, the
-    different hashes of its lines with ``MIN_WORDS`` words, and what is an
-    overlap by itself: its lines with ``ENOUGH`` words and the whole text."""
+    """Rows (row, order, hashes, weights, solid, strong): the hash and the words
+    (``ENOUGH`` at most) of every line, the different hashes of its lines with
+    ``MIN_WORDS`` words and fewer than ``ENOUGH``, and what is an overlap by
+    itself: its longer lines, runs of lines, and the whole text."""
     from xxhash import xxh3_64_intdigest
 
     signed = lambda hashes: np.array(hashes, np.uint64).view(np.int64)
     for batch in batches:
         for start in range(0, len(batch), 512):
             part = batch.slice(start, 512)
-            hashes, solid, strong = [], [], []
+            hashes, weights, solid, strong = [], [], [], []
             for text in as_bytes(part.column("text")):
                 lines = [line.strip() for line in text.split(b"\n")] if text else []
-                found = {line: xxh3_64_intdigest(line) for line in lines}
-                hashes.append(signed([found[line] for line in lines]))
-                words = {line: len(line.split(None, ENOUGH - 1)) for line in found}
-                solid.append(signed([h for line, h in found.items() if words[line] >= MIN_WORDS]))
-                # seeded, so that a text of one line differs from the line
-                whole = {xxh3_64_intdigest(b"\n".join(lines), 1)} if len(solid[-1]) else set()
-                strong.append(signed(sorted(whole | {h for line, h in found.items() if words[line] >= ENOUGH})))
+                found = {line: (xxh3_64_intdigest(line), weight(line)) for line in lines}
+                own = signed([found[line][0] for line in lines])
+                size = [found[line][1] for line in lines]
+                raw = own.tobytes()
+                hashes.append(own)
+                weights.append(np.array(size, np.int8))
+                solid.append(signed([h for h, w in found.values() if MIN_WORDS <= w < ENOUGH]))
+                # seeded, so that a text or a run of one line differs from the line
+                keys = {h for h, w in found.values() if w >= ENOUGH}
+                keys.update(xxh3_64_intdigest(raw[8 * p:8 * q], 2) for p, q in windows(size))
+                if max(size, default=0) >= MIN_WORDS:
+                    keys.add(xxh3_64_intdigest(b"\n".join(lines), 1))
+                strong.append(signed(list(keys)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(ROW), part.column(ORDER), pa.array(hashes, pa.list_(pa.int64())),
-                 pa.array(solid, pa.list_(pa.int64())), pa.array(strong, pa.list_(pa.int64()))], [ROW, ORDER, "hashes", "solid", "strong"])
+                [part.column(ROW), part.column(ORDER), pa.array(hashes, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int8())),
+                 pa.array(solid, pa.list_(pa.int64())), pa.array(strong, pa.list_(pa.int64()))],
+                [ROW, ORDER, "hashes", "weights", "solid", "strong"])
+
+
+def weight(line: bytes) -> int:
+    """The words of a line, ``ENOUGH`` at most."""
+    return min(ENOUGH, len(line.split(None, ENOUGH - 1)))
+
+
+def windows(weights: list[int]) -> set[tuple[int, int]]:
+    """Runs (first, end) of lines: for every line that isn't blank and has
+    fewer than ``ENOUGH`` words, the shortest run of ``ENOUGH`` words that
+    begins with it and the shortest one that ends with it."""
+    found, n = set(), len(weights)
+    end = total = 0
+    for p, w in enumerate(weights):
+        while end < n and total < ENOUGH:
+            total += weights[end]
+            end += 1
+        if total < ENOUGH:
+            break
+        if 0 < w < ENOUGH:
+            found.add((p, end))
+        total -= w
+    first, total = n, 0
+    for q in range(n, 0, -1):
+        while first > 0 and total < ENOUGH:
+            first -= 1
+            total += weights[first]
+        if total < ENOUGH:
+            break
+        w = weights[q - 1]
+        if 0 < w < ENOUGH:
+            found.add((first, q))
+        total -= w
+    return found
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -109,16 +157,75 @@ def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def blocks(mine: list[int], theirs: list[int], solid: set[int]) -> list[tuple[int, int]]:
-    """Line numbers (first, last) in ``mine`` of the aligned blocks that hold
-    a line of ``solid``."""
+def equal_runs(mine: list, theirs: list) -> list[tuple[int, int]]:
+    """Line numbers (first, last) in ``mine`` of the longest runs of
+    neighbouring lines that stand somewhere in ``theirs``, by a suffix
+    automaton of ``theirs``: linear in both."""
+    step, link, size, last = [{}], [-1], [0], 0
+    for x in theirs:
+        new = len(step)
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        p, last = last, new
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p < 0:
+            continue
+        q = step[p][x]
+        if size[q] > size[p] + 1:
+            copy = len(step)
+            step.append(dict(step[q]))
+            link.append(link[q])
+            size.append(size[p] + 1)
+            while p >= 0 and step[p].get(x) == q:
+                step[p][x] = copy
+                p = link[p]
+            link[q] = q = copy
+        link[new] = q
+    found, at, n = [], 0, 0
+    for k, x in enumerate(mine):
+        before = n
+        while at and x not in step[at]:
+            at = link[at]
+            n = size[at]
+        if x in step[at]:
+            at, n = step[at][x], n + 1
+        if before and n != before + 1:
+            found.append((k - before, k - 1))
+    if n:
+        found.append((len(mine) - n, len(mine) - 1))
+    return found
+
+
+def blocks(mine: list[int], theirs: list[int], weights: list[int]) -> list[tuple[int, int]]:
+    """Line numbers (first, last) in ``mine`` of the blocks: aligned ones,
+    and what else is left of runs that ``theirs`` holds. ``weights`` are the words of ``mine``."""
+    counts = lambda a, b: max(weights[a:b + 1]) >= MIN_WORDS or sum(weights[a:b + 1]) >= ENOUGH
     found, run = [], []
     for i, j in [*patience(mine, theirs), (-1, -1)]:
         if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
-            if any(mine[k] in solid for k, _ in run):
+            if counts(run[0][0], run[-1][0]):
                 found.append((run[0][0], run[-1][0]))
             run = []
         run.append((i, j))
+    left = [True] * len(mine)
+    for a, b in found:
+        left[a:b + 1] = [False] * (b + 1 - a)
+    held = set(theirs)
+    if any(w and x and h in held for w, x, h in zip(weights, left, mine, strict=True)):
+        for a, b in equal_runs(mine, theirs):
+            if not counts(a, b):
+                continue
+            while a <= b:
+                end = a
+                while end <= b and left[end]:
+                    end += 1
+                if any(weights[a:end]):
+                    found.append((a, end - 1))
+                    left[a:end] = [False] * (end - a)
+                a = end + 1
     return found
 
 
@@ -128,8 +235,8 @@ def _aligned(batches):
     for batch in batches:
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
-            columns = [part.column(c).to_pylist() for c in ("mine", "theirs", "solid")]
-            found = [[{"first": a, "last": b} for a, b in blocks(m, t, set(s))] for m, t, s in zip(*columns, strict=True)]
+            columns = [part.column(c).to_pylist() for c in ("mine", "theirs", "weights")]
+            found = [[{"first": a, "last": b} for a, b in blocks(m, t, w)] for m, t, w in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(ROW), pa.array(found, kind)], [ROW, "runs"])
 
 
@@ -139,9 +246,10 @@ def removals(docs: DataFrame) -> DataFrame:
     documents, unique) and ``text``."""
     kind = docs.schema[ORDER].dataType.simpleString()
     docs = cut(docs.select(ROW, ORDER, "text").where("text <> ''").mapInArrow(
-        _sequences, f"{ROW} bigint, {ORDER} {kind}, hashes array<bigint>, solid array<bigint>, strong array<bigint>"))
+        _sequences, f"{ROW} bigint, {ORDER} {kind}, hashes array<bigint>, weights array<tinyint>, "
+        "solid array<bigint>, strong array<bigint>"))
     named = lambda keys, strong: F.transform(keys, lambda h: F.struct(h.alias("h"), F.lit(strong).alias("is_strong")))
-    keys = F.concat(named(F.array_except("solid", "strong"), False), named("strong", True))
+    keys = F.concat(named("solid", False), named("strong", True))
     lines = docs.select(ROW, ORDER, F.inline(keys))
     # written, so that the join below gets plain exchanges, of which Spark can split a common line's
     owners = cut(lines.groupBy("h", "is_strong").agg(F.count("*").alias("df"), F.min(ORDER).alias("first"))
@@ -150,8 +258,8 @@ def removals(docs: DataFrame) -> DataFrame:
     pairs = (lines.join(owners, ["h", "is_strong"]).where(F.col(ROW) != F.col("owner"))
              .groupBy(ROW, "owner").agg(F.sum(proof).alias("proof")).where("proof >= 2").select(ROW, "owner"))
     theirs = docs.select(F.col(ROW).alias("owner"), F.col("hashes").alias("theirs"))
-    both = (pairs.join(docs.select(ROW, F.col("hashes").alias("mine"), "solid"), ROW)
-            .join(theirs, "owner").select(ROW, "mine", "theirs", "solid"))
+    both = (pairs.join(docs.select(ROW, F.col("hashes").alias("mine"), "weights"), ROW)
+            .join(theirs, "owner").select(ROW, "mine", "theirs", "weights"))
     found = both.mapInArrow(_aligned, f"{ROW} bigint, runs array<struct<first:int,last:int>>").where(F.size("runs") > 0)
     return found.groupBy(ROW).agg(F.flatten(F.collect_list("runs")).alias("runs"), F.count("*").cast("int").alias("n_partners"))
 
