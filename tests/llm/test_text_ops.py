@@ -197,6 +197,16 @@ def test_neighbouring_common_lines_with_two_owners(spark):
     assert {r.doc_id: r.n_removed for r in out if r.n_removed} == {31: 2}
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    menu = "\n".join(f"item {k}" for k in range(8))
+    chinese, thai = "每个文档都有同样的一段文字" * 4, "ข้อความเดียวกันในทุกเอกสาร" * 3
+    docs = [(1, "ok"), (2, "ok"), (3, menu), (4, menu), (5, "own\n" + menu + "\nown end"), (6, chinese + "\n甲"), (7, chinese + "\n乙"),
+            (8, "a\n" + thai), (9, "b\n" + thai), (10, "x" * 200 + "\na"), (11, "x" * 200 + "\nb"), (12, "item 1\nitem 2"), (13, " \n"), (14, " \n")]
+    _, out = dedup(spark, docs)
+    gone = {r.doc_id: r.text for r in out if r.n_removed}
+    assert gone == {2: "", 4: "", 5: "own\nown end", 7: "乙", 9: "b", 11: "b"}
+
+
 def test_no_shared_run_of_enough_words_is_left(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "RARE", 0)
     rng = random.Random(4)

@@ -16,7 +16,8 @@ costs a row for each of them. From each line two runs start, the shortest ones
 of ``ENOUGH`` words that begin and that end with it. Neighbouring lines of
 ``ENOUGH`` words that stand in any earlier document are made of such runs, and
 of each the owner is at least as early, so all of them are deleted. A block counts if one of its
-lines has ``MIN_WORDS`` words at least, or all of them ``ENOUGH``.
+lines has ``MIN_WORDS`` words at least, or all of them ``ENOUGH``, or if it is
+the whole text. What counts as a word in scripts without spaces: see ``weight``.
 
 Defined cases: a null text stays null and an empty one empty; blank lines are
 aligned like others but make no block; documents are ordered by id, null ids
@@ -27,6 +28,7 @@ table; further columns are kept, and columns of the names added are replaced.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 
@@ -43,6 +45,8 @@ MIN_WORDS = 5
 ENOUGH = 2 * MIN_WORDS
 #: A shorter line is rare, and then an overlap by itself, if no more documents than this hold it.
 RARE = 10
+#: First bytes of characters of scripts without spaces: Thai, Lao, Burmese, Khmer, Kana, Han.
+UNSPACED = re.compile(rb"\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f]|\xe2[\xba-\xbf]|[\xe3-\xe9]|\xef[\xa4-\xab]|\xf0[\xa0-\xbf]")
 ROW, ORDER = "__row", "__order"
 
 
@@ -70,7 +74,7 @@ def _sequences(batches):
                 # seeded, so that a text or a run of one line differs from the line
                 keys = {h for h, w in found.values() if w >= ENOUGH}
                 keys.update(xxh3_64_intdigest(raw[8 * p:8 * q], 2) for p, q in windows(size))
-                if max(size, default=0) >= MIN_WORDS:
+                if any(size):
                     keys.add(xxh3_64_intdigest(b"\n".join(lines), 1))
                 strong.append(signed(list(keys)))
             yield pa.RecordBatch.from_arrays(
@@ -80,8 +84,14 @@ def _sequences(batches):
 
 
 def weight(line: bytes) -> int:
-    """The words of a line, ``ENOUGH`` at most."""
-    return min(ENOUGH, len(line.split(None, ENOUGH - 1)))
+    """The words of a line, ``ENOUGH`` at most. In scripts without spaces two
+    characters are a word; whatever the script, 16 characters are one at least."""
+    words = len(line.split(None, ENOUGH - 1))
+    if words < ENOUGH and not line.isascii():
+        words += len(UNSPACED.findall(line)) // 2
+    if words < ENOUGH and len(line) >= 32:
+        words = max(words, len(line.decode("utf-8", "replace")) // 16)
+    return min(ENOUGH, words)
 
 
 def windows(weights: list[int]) -> set[tuple[int, int]]:
@@ -202,6 +212,8 @@ def equal_runs(mine: list, theirs: list) -> list[tuple[int, int]]:
 def blocks(mine: list[int], theirs: list[int], weights: list[int]) -> list[tuple[int, int]]:
     """Line numbers (first, last) in ``mine`` of the blocks: aligned ones,
     and what else is left of runs that ``theirs`` holds. ``weights`` are the words of ``mine``."""
+    if mine == theirs and any(weights):
+        return [(0, len(mine) - 1)]
     counts = lambda a, b: max(weights[a:b + 1]) >= MIN_WORDS or sum(weights[a:b + 1]) >= ENOUGH
     found, run = [], []
     for i, j in [*patience(mine, theirs), (-1, -1)]:
