@@ -291,6 +291,19 @@ def test_language_id_edges(spark):
     assert {r.p.lang for r in docs.select(language_id.predict(F.col("text"), untrained).alias("p")).collect()} == {"und"}
 
 
+def test_language_of_copies_is_learned(spark):
+    german = F.concat(F.lit("der hund und die katze sind im haus nummer "), (F.col("id") % 5).cast("string"), F.lit(" geblieben"))
+    english = F.concat(F.lit("the cat and the dog are in house number "), F.col("id").cast("string"))
+    docs = spark.range(60000).select(german.alias("text"), F.lit("de").alias("lang")).unionByName(
+        spark.range(500).select(english.alias("text"), F.lit("en").alias("lang")))
+    drawn = language_id._sampled(docs.select(F.col("text").alias("_text"), F.col("lang").alias("_lang")), 400)
+    n = {r["_lang"]: r["count"] for r in drawn.groupBy("_lang").count().collect()}
+    assert n["de"] == 5 and 300 < n["en"] < 500
+    few = language_id._sampled(docs.select(F.col("text").alias("_text"), F.col("lang").alias("_lang")), 0)
+    assert {r["_lang"] for r in few.collect()} == {"de", "en"}
+    assert set(language_id.fit(docs).languages) == {"de", "en"}
+
+
 def test_rejects_what_is_far_from_every_language(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     model = language_id.fit(docs)

@@ -6,7 +6,7 @@ by (1 + log count) times the inverse document frequency and scaled to length
 one. Each language has several centroids, found by spherical k-means; the nearest
 centroid by cosine gives the language. Document frequencies come from every
 training row; only the clustering is fitted on a bounded sample
-(``SAMPLE`` rows of each language, chosen by a hash of the text).
+(``SAMPLE`` different texts of each language, chosen by a hash of the text).
 
 A text is rejected when its distance (1 - cosine) to the nearest centroid is
 larger than the distance allowed at its length. That distance is measured on
@@ -16,7 +16,8 @@ being short.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and is rejected; training rows with a null text or language are left out; a
 training table without usable rows makes every text ``und``; ties between
-languages go to the first by name. Rows may repeat.
+languages go to the first by name. Rows may repeat; copies of a text count
+once in the sample, so every language with a text is learned.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 #: Buckets of the hashed n-grams and their lengths in bytes.
 BUCKETS, LENGTHS = 4096, (2, 3)
-#: Sampled rows and centroids of each language.
+#: Sampled texts and centroids of each language.
 SAMPLE, CENTROIDS = 400, 4
 #: Languages that can be learned; more are an error, as centroids go to every task.
 MAX_LANGUAGES = 500
@@ -106,15 +107,19 @@ def _document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sampled(train: DataFrame, sample: int) -> DataFrame:
-    """About ``sample`` rows of each language, the same on every run."""
-    sizes = {r["_lang"]: r["count"] for r in train.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    """About ``sample`` different texts of each language, one at least, the
+    same on every run. Copies count once, and go before the texts are shuffled
+    but for one of each task."""
+    drawn = F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) / float(1 << 30)
+    texts = train.select("_lang", F.xxhash64("_text").alias("h"), drawn.alias("drawn")).distinct()
+    sizes = texts.groupBy("_lang").agg(F.count("*").alias("n"), F.min("drawn").alias("low")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return train.limit(0)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    drawn = F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) / float(1 << 30)
-    return train.where(drawn < share[F.col("_lang")])
+    share = F.create_map(*[F.lit(x) for lang, n, _ in sizes for x in (lang, min(1.0, sample / n))])
+    low = F.create_map(*[F.lit(x) for lang, _, first in sizes for x in (lang, first)])
+    return train.where((drawn < share[F.col("_lang")]) | (drawn == low[F.col("_lang")])).select("_lang", "_text").distinct()
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE,
@@ -129,8 +134,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     idf = (np.log((rows + 1) / (df + 1)) + 1).astype(np.float32)
 
     def centers(key, table):
-        # copies count once, and only so many texts whatever the sampling gave
-        held = sorted(set(table.column("_text").to_pylist()))[:4 * sample]
+        # about ``sample`` different texts, and only so many whatever the hashes gave
+        held = sorted(table.column("_text").to_pylist())[:4 * sample]
         vectors = weigh(np.array([counts(t) for t in held]), idf)
         found = cluster(vectors, centroids)
         shares = []
