@@ -199,6 +199,24 @@ def test_topk_equals_brute_force_with_ties_and_bad_vectors(spark, monkeypatch):
     assert exact_topk.search(vectors.limit(0), asked.limit(0), 5).collect() == []
 
 
+def test_topk_keeps_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(exact_topk, "BLOCK", 7)
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-2, 2) for _ in range(4)]) for i in range(30)]
+    rows += [(i, [rng.uniform(-5.8e6, 5.8e6) for _ in range(4)]) for i in range(30, 60)]
+    rows += [(60, [5000.0, 0.1, 0.2, 0.3]), (61, [-1.1e7, 0.0, 0.0, 0.5]), (70, [1.1e7, 0.0, 0.0, 0.5]), (71, [1e9, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = exact_topk.search(vectors, vectors.where("vec_id % 10 = 0"), 5).collect()
+    usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i != 71]  # its own score is beyond a long
+    want = []
+    for q, v in usable:
+        if q % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q)[:5]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # --- native operators against their SQL ---
 
 

@@ -12,8 +12,9 @@ block meets every candidate block once, and a task carries its queries' best sco
 from block to block.
 
 Defined cases: a vector that is null, or holds a null or non-finite component,
-takes no part; nor does one with a component beyond ``MAX_COMPONENT`` once
-scaled, whose scores a long might not hold. Vectors are compared with those of
+takes no part; nor does one whose squared length once scaled is beyond
+``MAX_SQUARED``, as a long, the type of the scores, might not hold its own score.
+The product of two others is at most that of their lengths, so every score is exact. Vectors are compared with those of
 the same length (of length 0 every score is 0). Null ids take no part.
 Rows with a query's id are not its candidates, other repeated ids are separate
 ones; a query row that repeats is one query, two vectors of one id are two; a
@@ -35,16 +36,21 @@ PIVOTS = 32
 PIVOT_SAMPLE = 1024
 #: Rows of a block of queries and of one of candidates.
 QUERY_BLOCK, BLOCK = 256, 2048
+#: Squared length of a scaled vector: below 2^63, with room for rounding.
+MAX_SQUARED = 9.2e18
+#: The SQL leaves out vectors with a component beyond this once scaled; the operator keeps them.
 MAX_COMPONENT = 1 << 20
 _STEP = 256
 
 
 def scaled(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """``(id, v array<int>, dim)`` of the rows that take part."""
+    """``(id, v array<bigint>, dim)`` of the rows that take part."""
     x = lambda c: F.floor(c.cast("double") * SCALE)
-    fits = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * SCALE) <= MAX_COMPONENT))
+    # null or NaN with a component that is; infinite with one that is
+    squared = F.aggregate(vector, F.lit(0.0), lambda total, c: total + F.pow(c.cast("double") * SCALE, 2.0))
+    fits = (squared <= MAX_SQUARED) & ~F.isnan(squared)
     return (vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & fits)
-            .select(F.col(vec_id).alias("id"), F.transform(vector, lambda c: x(c).cast("int")).alias("v"),
+            .select(F.col(vec_id).alias("id"), F.transform(vector, lambda c: x(c).cast("bigint")).alias("v"),
                     F.size(vector).alias("dim")))
 
 
@@ -81,10 +87,11 @@ def _packed(rows: DataFrame, size: int, pivots: dict[int, np.ndarray], name: str
             ids = table.column("id").to_numpy()
             v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
             to = pivots.get(dim, np.zeros((0, dim)))
+            kind = np.int32 if np.abs(v).max(initial=0) < 1 << 31 else np.int64
             far = np.stack([np.sqrt(((v - p) ** 2).sum(axis=1)) for p in to], axis=1) if len(to) else np.zeros((len(ids), 0))
             yield pa.RecordBatch.from_pydict({
                 "dim": pa.array([dim], pa.int32()), name: pa.array([block], pa.int64()),
-                f"{name}_ids": [ids.astype(np.int64).tobytes()], f"{name}_v": [v.astype(np.int32).tobytes()],
+                f"{name}_ids": [ids.astype(np.int64).tobytes()], f"{name}_v": [v.astype(kind).tobytes()],
                 f"{name}_far": [far.astype(np.float64).tobytes()]})
 
     kept = gathered(placed.select("key", "dim", name, F.col("id").cast("long").alias("id"), "v"), "key")
@@ -95,8 +102,8 @@ def _best(query, query_far, candidates, candidate_ids, candidate_far, norms, own
     """``best`` (scores, ids) with the candidates of a block taken in."""
     norm = float(query @ query)
     low = np.abs(candidate_far - query_far).max(axis=1, initial=0.0)
-    # rounding of the distances is far below this slack
-    bound = (norm + norms - np.maximum(low - 1e-6 * (1 + low), 0) ** 2) / 2 + 1
+    # rounding of the distances and norms is far below this slack
+    bound = (norm + norms - np.maximum(low - 1e-6 * (1 + low), 0) ** 2) / 2 + 1 + 1e-9 * (norm + norms)
     order = np.argsort(-bound, kind="stable")
     scores, ids = best
     for i in range(0, len(order), _STEP):
@@ -137,8 +144,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
                     held, best = at, {}
                 matrix = lambda name, kind: np.frombuffer(row[name], kind)  # noqa: E731, B023
                 cid, qid = matrix("c_ids", np.int64), matrix("q_ids", np.int64)
-                cv = matrix("c_v", np.int32).reshape(len(cid), dim).astype(np.int64)
-                qv = matrix("q_v", np.int32).reshape(len(qid), dim).astype(np.int64)
+                whole = lambda name, n: matrix(name, np.int32 if len(row[name]) == 4 * n * dim else np.int64).reshape(n, dim).astype(np.int64)  # noqa: E731, B023
+                cv, qv = whole("c_v", len(cid)), whole("q_v", len(qid))
                 cf, qf = matrix("c_far", np.float64).reshape(len(cid), -1), matrix("q_far", np.float64).reshape(len(qid), -1)
                 norms = (cv * cv).sum(axis=1).astype(np.float64)
                 for i, own in enumerate(qid.tolist()):
