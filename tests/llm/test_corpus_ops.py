@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from textflow.llm import components, exact_topk, license_scan, quotes, registry, simhash, suffix_dedup, url_filter
 
@@ -280,6 +281,28 @@ def test_url_filter_equals_sql(spark, database, tmp_path):
     assert by[7] == by[8] == ("", "", None, "allow") and by[10][3] == by[11][3] == "allow" and by[14] == ("net", "", None, "allow")
 
 
+def test_edges_of_escaped_relative_and_further_targets(spark):
+    link = lambda target: f'<link rel="canonical" href="{target}">'
+    cases = [("http://h/p", link("http://h/q?page=2&amp;ref=x"), ["http://h/q?page=2&ref=x"]),
+             ("http://h/p", link("http:&#47;&#x2F;h/q?a=1&#38;b=&#xe9;&amp;#38;&#38;amp;&#x110000;"), ["http://h/q?a=1&b=é&#38;&amp;&#x110000;"]),
+             ("http://h/a/b?x#y", link("page2"), ["http://h/a/page2"]), ("http://h", link("page2?u=http://z/"), ["http://h/page2?u=http://z/"]),
+             ("http://h/a/b?x", link("?id=5"), ["http://h/a/b?id=5"]), ("http://h/a/b/c", link("../x"), ["http://h/a/x"]),
+             ("http://h/a/b", link("../../../x/./y/.."), ["http://h/x/"]), ("http://h/a", link("#top"), ["http://h/a"]),
+             ("http://h/a", link("//other/x"), ["http://other/x"]), ("http://h/a", link("/b/../c"), ["http://h/c"]),
+             ("http://h/a", '<base href="http://g/k/">' + link("x"), ["http://g/k/x"]),
+             ("http://h/a", link("http://i/1") + link("http://i/2") + "<meta http-equiv=refresh content='0; url=http://i/3'>"
+              "<meta http-equiv=refresh content='0; url=http://i/4'>", [f"http://i/{k}" for k in range(1, 5)]),
+             ("http://h/a", None, []), ("http://h/a", "canonical", [])]
+    pages = spark.createDataFrame([(u, h) for u, h, _ in cases], "url string, html string")
+    got = sorted((r.source, r.target) for r in url_filter.page_edges(pages).collect())
+    assert got == sorted((u, target) for u, _, targets in cases for target in targets)
+    pages = spark.createDataFrame([("http://ok.org/a/1", link("../de/x?p=2&amp;r=1")), ("http://ok.org/de/x?p=2&r=1", link("http://ok.org/z") + link("//bad.net/"))],
+                                  "url string, html string")
+    found = url_filter.filter_urls(pages.select("url"), url_filter.page_edges(pages), url_filter.rule_table(spark, url_filter.RULES))
+    no_python(found)
+    assert {r.verdict for r in found.collect()} == {"block"}
+
+
 def test_url_filter_empty(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, rule string")
     edges = spark.createDataFrame([], "source string, target string")

@@ -29,6 +29,10 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
 
+BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: What follows ``&#`` in a numeric character reference.
+NUMBER = "^([xX][0-9a-fA-F]{1,8}|[0-9]{1,8});?"
+
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     """``(verdict, rule, rule_host, rule_path)``; a rule is ``host/path``."""
@@ -68,15 +72,59 @@ def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
             .select("node", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("own")))
 
 
+def unescaped(text: Column) -> Column:
+    """Character references of an attribute's value decoded, each once:
+    numeric ones and those of ``&``, ``<``, ``>`` and quotes."""
+    named = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(
+        c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')),
+        F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
+
+    def decoded(part: Column) -> Column:
+        code = F.regexp_extract(part, NUMBER, 1)
+        n = F.when(F.lower(code).startswith("x"), F.conv(F.substr(code, F.lit(2)), 16, 10)).otherwise(code).cast("bigint")
+        valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(char, named(F.regexp_replace(part, NUMBER, "")))).otherwise(F.concat(F.lit("&#"), named(part)))
+
+    parts = F.split(text, "&#(?=[xX][0-9a-fA-F]{1,8}|[0-9]{1,8})", -1)
+    whole = F.concat(named(parts[0]), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
+def resolved(df: DataFrame, target: str, base: str) -> DataFrame:
+    """``df`` with ``target`` as the url that it means on a page at ``base``;
+    what names a scheme stays. In steps, as each uses the last one's columns several times."""
+    t, names = F.col(target), df.columns
+    own = F.regexp_extract(t, "^[^?#]*", 0)
+    steps = df.withColumns({"__path": path(F.col(base)), "__site": F.concat(F.lit("http://"), host(F.col(base))), "__own": own})
+    folder = F.regexp_replace(F.when(F.col("__path") == "", "/").otherwise(F.col("__path")), "[^/]*$", "")
+    steps = steps.withColumn("__own", F.when(F.startswith("__own", F.lit("/")), F.col("__own")).otherwise(F.concat(folder, "__own")))
+    # without the segments . and ..
+    none = F.array().cast("array<string>")
+    held = F.aggregate(F.split("__own", "/", -1), none, lambda held, x: F.when(x == ".", held)
+                       .when(x == "..", F.when(F.size(held) > 2, F.slice(held, 1, F.size(held) - 1)).otherwise(F.array(F.lit(""))))
+                       .otherwise(F.concat(held, F.array(x))))
+    end = F.when(F.col("__own").rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(none)
+    steps = steps.withColumn("__own", F.when(F.col("__own").rlike(r"/\.\.?(/|$)"), F.array_join(F.concat(held, end), "/")).otherwise(F.col("__own")))
+    whole = (F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), t)
+             .when(F.startswith(t, F.lit("//")), F.concat(F.lit("http:"), t))
+             .when((t == "") | F.startswith(t, F.lit("#")), F.col(base))
+             .when(F.startswith(t, F.lit("?")), F.concat("__site", "__path", t))
+             .otherwise(F.concat("__site", "__own", F.regexp_extract(t, "^[^?#]*(.*)$", 1))))
+    return steps.withColumn(target, whole).select(*names)
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(source, target)`` urls: canonical links and refreshes of the pages;
-    a target that starts with ``/`` is on the page's host."""
+    """``(source, target)`` urls: all canonical links and refreshes of the pages;
+    a relative target is resolved against the page's ``<base>``, or its url. Written, as they are read more than once."""
     tags = F.when(F.lower(F.col(html)).rlike(r"(?i)canonical|http-equiv"), F.col(html))
-    targets = F.explode(F.array(F.regexp_extract(tags, CANONICAL, 1), F.regexp_extract(tags, REFRESH, 1)))
-    found = pages.select(F.col(url).alias("source"), targets.alias("target")).where("target <> ''")
-    whole = (F.when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), "target"))
-             .when(F.startswith("target", F.lit("/")), F.concat(F.lit("http://"), host(F.col("source")), "target")).otherwise(F.col("target")))
-    return found.select("source", whole.alias("target"))
+    every = lambda pattern: F.regexp_extract_all(tags, F.lit(pattern), F.lit(1))
+    found = pages.select(F.col(url).alias("source"), F.regexp_extract(tags, BASE, 1).alias("base"),
+                         F.explode(F.concat(every(CANONICAL), every(REFRESH))).alias("target"))
+    found = cut(found.where("source is not null and target <> ''"))
+    found = found.select("source", unescaped(F.col("base")).alias("base"), unescaped(F.col("target")).alias("target"))
+    found = cut(resolved(found, "base", "source"))
+    return cut(resolved(found, "target", "base")).select("source", "target")
 
 
 def filter_urls(pages: DataFrame, edges: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
