@@ -6,10 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_topk, language_id, license_scan, line_dedup, quotes, simhash, suffix_dedup, url_filter
+from . import (byte_bpe, decontaminate, exact_topk, language_id, lexical_search, license_scan, line_dedup, mixing, periodic_runs,
+               quotes, simhash, suffix_dedup, url_filter)
 
 #: Queries of op10 and their results.
 QUERY_EVERY, TOP = 50, 5
+#: Results of each query of op12.
+RANKED = 20
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -97,6 +100,47 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), TOP)
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.Mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixing.mix_digest(mix).drop("source")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                 _table(spark, sf_dir, "benchmark", "item_id", "text"), RANKED)
+
+
+def with_planted_run(docs: DataFrame) -> DataFrame:
+    """``docs`` whose texts, where a checksum of the id says so, repeat with period p from word a on."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    # the words are a column of their own, or each would be split out anew
+    marked = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string"))).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    marked = marked.withColumns({"n": F.when(F.size("w") > 0, F.size("w").cast("bigint")), "g": F.floor(F.col("h") / 10)}).withColumn("a", F.col("g") % F.col("n"))
+    marked = marked.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    planted = F.transform("w", lambda w, i: F.when(i >= F.col("a"), at(i)).otherwise(w))
+    return marked.withColumn("text", F.when(F.col("n").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def run_digests(done: DataFrame) -> DataFrame:
+    """Of ``collapse_runs``: the number of runs, the best, and digests. Exponents are compared by
+    cross products, exactly: lengths and periods stay below 2^31."""
+    better = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    # runs come by start, then period, so the first of equal ones stays
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(better(r, best), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+                                                   r["period"].cast("string"), F.lit("\n")))
+    done = done.withColumn("best", best)
+    return done.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+                       F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                       F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return run_digests(periodic_runs.collapse_runs(with_planted_run(docs)))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -104,4 +148,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {"op2_quotes": quotes.oracle_sql(), "op4_url_filter": url_filter.oracle_sql(),
             "op8_license_scan": license_scan.oracle_sql(), "op9_decontaminate": decontaminate.oracle_sql(),
-            "op10_exact_topk": exact_topk.oracle_sql(QUERY_EVERY, TOP)}
+            "op10_exact_topk": exact_topk.oracle_sql(QUERY_EVERY, TOP),
+            "op12_lexical_search": lexical_search.oracle_sql(RANKED)}
