@@ -125,8 +125,8 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     """``docs`` with a struct ``out`` (replacing a column of that name):
     ``n_words``; ``words``, the numbers of the words inside any window;
     ``items``, the ids of the items found; ``spans``, maximal runs of hit words
-    as word numbers and byte offsets (``end`` exclusive). With several
-    automata the spans are those of each, words and items are joined."""
+    as word numbers and byte offsets (``end`` exclusive). What several
+    automata find is joined, and their runs merged, so that the number of automata doesn't show."""
     groups = item_groups(items, item_id, item_text, most)
     found = [_hits(F.col(text), g, window) for g in groups]
     if len(found) == 1:
@@ -134,8 +134,21 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     names = [f"__{out}_{i}" for i in range(len(found))]
     docs = docs.withColumns(dict(zip(names, found, strict=True)))
     of = lambda field: F.array_sort(F.array_distinct(F.concat(*[F.col(f"{n}.{field}") for n in names])))
-    return docs.withColumn(out, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"),
-                                         *[of(f).alias(f) for f in ("words", "items", "spans")])).drop(*names)
+    joined = docs.withColumns({f"__{out}_{field}": of(field) for field in ("words", "items", "spans")})
+    return joined.withColumn(out, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), F.col(f"__{out}_words").alias("words"),
+                                           F.col(f"__{out}_items").alias("items"), _merged(F.col(f"__{out}_spans")).alias("spans"))
+                             ).drop(*names, *[f"__{out}_{field}" for field in ("words", "items", "spans")])
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans, of which those that overlap or touch become one."""
+    last = lambda done: F.element_at(done, -1)
+    both = lambda a, b: F.struct(
+        a["first"].alias("first"), F.greatest(a["last"], b["last"]).alias("last"), a["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end"))
+    joins = lambda done, s: (F.size(done) > 0) & (F.coalesce(F.get(done, F.size(done) - 1)["last"], F.lit(-2)) >= s["first"] - 1)
+    step = lambda done, s: F.when(joins(done, s), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both(last(done), s)))
+                                  ).otherwise(F.concat(done, F.array(s)))
+    return F.aggregate(spans, F.filter(spans, lambda _: F.lit(False)), step)
 
 
 def oracle_sql(window: int = WINDOW) -> str:

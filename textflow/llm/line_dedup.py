@@ -2,19 +2,20 @@
 
 Every line (without the white space around it) is hashed. A line's owner is
 the first document that holds it; so is that of a run of neighbouring lines. A
-later document is paired with an owner if they share a rare line, a line or a
-run of lines of ``ENOUGH`` words however common, two different lines however
-common, or the whole text. Each pair is aligned by patience diff over all its
+later document is paired with an owner if they share a line of ``MIN_WORDS`` words, a
+run of lines of ``ENOUGH`` words, or the whole text, rare or common alike: a
+common line pairs each holder with its owner alone. Each pair is aligned by patience diff over all its
 lines, and the blocks of aligned neighbouring lines are deleted from the later
 document. What the alignment leaves, as it stands in another order or is repeated,
 is matched run by run: any run of lines of the later document that its owner
-holds is a block as well.
+holds is a block as well. (These blocks go beyond the alignment; a copy with its parts
+swapped is a copy too.)
 
 A document is paired with the owners of its lines and runs, not with every other
 holder: pairs grow with the lines, and a line in a third of all documents
-costs a row for each of them. From each line two runs start, the shortest ones
+costs a row for each of them. From each shorter line two runs start, the shortest ones
 of ``ENOUGH`` words that begin and that end with it. Neighbouring lines of
-``ENOUGH`` words that stand in any earlier document are made of such runs, and
+``ENOUGH`` words that stand in any earlier document are made of such runs and of longer lines, and
 of each the owner is at least as early, so all of them are deleted. A block counts if one of its
 lines has ``MIN_WORDS`` words at least, or all of them ``ENOUGH``, or if it is
 the whole text. What counts as a word in scripts without spaces: see ``weight``.
@@ -39,29 +40,26 @@ from pyspark.sql import functions as F
 
 from .shared import as_bytes, cut
 
-#: A line with fewer words neither pairs documents nor makes a block by itself.
+#: A line with as many words is an overlap by itself, however many documents hold it; a shorter one neither pairs documents nor makes a block by itself.
 MIN_WORDS = 5
-#: A line or a run of lines with as many words is an overlap by itself, however many documents hold it.
+#: So is a run of shorter lines with as many words.
 ENOUGH = 2 * MIN_WORDS
-#: A shorter line is rare, and then an overlap by itself, if no more documents than this hold it.
-RARE = 10
 #: First bytes of characters of scripts without spaces: Thai, Lao, Burmese, Khmer, Kana, Han.
 UNSPACED = re.compile(rb"\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f]|\xe2[\xba-\xbf]|[\xe3-\xe9]|\xef[\xa4-\xab]|\xf0[\xa0-\xbf]")
 ROW, ORDER = "__row", "__order"
 
 
 def _sequences(batches):
-    """Rows (row, order, hashes, weights, solid, strong): the hash and the words
-    (``ENOUGH`` at most) of every line, the different hashes of its lines with
-    ``MIN_WORDS`` words and fewer than ``ENOUGH``, and what is an overlap by
-    itself: its longer lines, runs of lines, and the whole text."""
+    """Rows (row, order, hashes, weights, keys): the hash and the words
+    (``ENOUGH`` at most) of every line, and the different hashes of what is an overlap by
+    itself: lines of ``MIN_WORDS`` words, runs of lines, and the whole text."""
     from xxhash import xxh3_64_intdigest
 
     signed = lambda hashes: np.array(hashes, np.uint64).view(np.int64)
     for batch in batches:
         for start in range(0, len(batch), 512):
             part = batch.slice(start, 512)
-            hashes, weights, solid, strong = [], [], [], []
+            hashes, weights, overlaps = [], [], []
             for text in as_bytes(part.column("text")):
                 lines = [line.strip() for line in text.split(b"\n")] if text else []
                 found = {line: (xxh3_64_intdigest(line), weight(line)) for line in lines}
@@ -70,17 +68,16 @@ def _sequences(batches):
                 raw = own.tobytes()
                 hashes.append(own)
                 weights.append(np.array(size, np.int8))
-                solid.append(signed([h for h, w in found.values() if MIN_WORDS <= w < ENOUGH]))
                 # seeded, so that a text or a run of one line differs from the line
-                keys = {h for h, w in found.values() if w >= ENOUGH}
+                keys = {h for h, w in found.values() if w >= MIN_WORDS}
                 keys.update(xxh3_64_intdigest(raw[8 * p:8 * q], 2) for p, q in windows(size))
                 if any(size):
                     keys.add(xxh3_64_intdigest(b"\n".join(lines), 1))
-                strong.append(signed(list(keys)))
+                overlaps.append(signed(list(keys)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(ROW), part.column(ORDER), pa.array(hashes, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int8())),
-                 pa.array(solid, pa.list_(pa.int64())), pa.array(strong, pa.list_(pa.int64()))],
-                [ROW, ORDER, "hashes", "weights", "solid", "strong"])
+                 pa.array(overlaps, pa.list_(pa.int64()))],
+                [ROW, ORDER, "hashes", "weights", "keys"])
 
 
 def weight(line: bytes) -> int:
@@ -96,7 +93,7 @@ def weight(line: bytes) -> int:
 
 def windows(weights: list[int]) -> set[tuple[int, int]]:
     """Runs (first, end) of lines: for every line that isn't blank and has
-    fewer than ``ENOUGH`` words, the shortest run of ``ENOUGH`` words that
+    fewer than ``MIN_WORDS`` words, the shortest run of ``ENOUGH`` words that
     begins with it and the shortest one that ends with it."""
     found, n = set(), len(weights)
     end = total = 0
@@ -106,7 +103,7 @@ def windows(weights: list[int]) -> set[tuple[int, int]]:
             end += 1
         if total < ENOUGH:
             break
-        if 0 < w < ENOUGH:
+        if 0 < w < MIN_WORDS:
             found.add((p, end))
         total -= w
     first, total = n, 0
@@ -117,7 +114,7 @@ def windows(weights: list[int]) -> set[tuple[int, int]]:
         if total < ENOUGH:
             break
         w = weights[q - 1]
-        if 0 < w < ENOUGH:
+        if 0 < w < MIN_WORDS:
             found.add((first, q))
         total -= w
     return found
@@ -258,17 +255,12 @@ def removals(docs: DataFrame) -> DataFrame:
     documents, unique) and ``text``."""
     kind = docs.schema[ORDER].dataType.simpleString()
     docs = cut(docs.select(ROW, ORDER, "text").where("text <> ''").mapInArrow(
-        _sequences, f"{ROW} bigint, {ORDER} {kind}, hashes array<bigint>, weights array<tinyint>, "
-        "solid array<bigint>, strong array<bigint>"))
-    named = lambda keys, strong: F.transform(keys, lambda h: F.struct(h.alias("h"), F.lit(strong).alias("is_strong")))
-    keys = F.concat(named("solid", False), named("strong", True))
-    lines = docs.select(ROW, ORDER, F.inline(keys))
+        _sequences, f"{ROW} bigint, {ORDER} {kind}, hashes array<bigint>, weights array<tinyint>, keys array<bigint>"))
+    lines = docs.select(ROW, ORDER, F.explode("keys").alias("h"))
     # written, so that the join below gets plain exchanges, of which Spark can split a common line's
-    owners = cut(lines.groupBy("h", "is_strong").agg(F.count("*").alias("df"), F.min(ORDER).alias("first"))
-                 .where("df > 1").select("h", "is_strong", "df", F.col("first.row").alias("owner")))
-    proof = F.when(F.col("is_strong") | (F.col("df") <= RARE), 2).otherwise(1)
-    pairs = (lines.join(owners, ["h", "is_strong"]).where(F.col(ROW) != F.col("owner"))
-             .groupBy(ROW, "owner").agg(F.sum(proof).alias("proof")).where("proof >= 2").select(ROW, "owner"))
+    owners = cut(lines.groupBy("h").agg(F.count("*").alias("df"), F.min(ORDER).alias("first"))
+                 .where("df > 1").select("h", F.col("first.row").alias("owner")))
+    pairs = lines.join(owners, "h").where(F.col(ROW) != F.col("owner")).select(ROW, "owner").distinct()
     theirs = docs.select(F.col(ROW).alias("owner"), F.col("hashes").alias("theirs"))
     both = (pairs.join(docs.select(ROW, F.col("hashes").alias("mine"), "weights"), ROW)
             .join(theirs, "owner").select(ROW, "mine", "theirs", "weights"))
