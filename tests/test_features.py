@@ -5,12 +5,12 @@ import sys
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 import pyrules as R
 from textflow.operators import features as FE
+from textflow.operators import term_index as TI
 from textflow.operators.stopwords import ENGLISH_STOP_WORDS
 
 
@@ -48,20 +48,52 @@ def test_term_counts_and_tfidf_rows(spark):
     rows = {(r.id, r.term): round(r.tfidf, 9) for r in FE.tf_idf_rows(df, "id", "f").collect()}
     assert rows == {(i, t): round(n * idf[t], 9) for (i, t), n in want.items()}
     # the vectors that models read hold the same numbers
-    cv, counted = FE.term_counts(df, "f", "tf")
-    _, weighted = FE.tf_idf(counted, "tf", "w")
-    long = FE.vector_long_form(weighted, "w", "id", FE.vocabulary_table(cv, df), "w").collect()
-    assert {(r.id, r.term): round(r.w, 9) for r in long} == rows
+    numbered_rows = TI.numbered(df)
+    index = TI.fit_term_index(numbered_rows, "f")
+    vectors = TI.term_vectors(numbered_rows, index, "f", "tf", "w")
+    assert {(r.id, r.term): round(r.value, 9) for r in TI.vector_rows(vectors, index, "id", "w").collect()} == rows
+    assert {(r.id, r.term): r.value for r in TI.vector_rows(vectors, index, "id", "tf").collect()} == want
+    assert {r.id: r.tf.size for r in vectors.collect()} == dict.fromkeys(range(len(DOCS)), 3)
+    # Spark's own IDF gives the same weights on these vectors
+    _, again = FE.tf_idf(vectors.drop("w"), "tf", "w")
+    assert {r.id: r.w.toArray().round(9).tolist() for r in again.collect()} == {r.id: r.w.toArray().round(9).tolist() for r in vectors.collect()}
     assert {r.word: r.n for r in FE.counted_words(df, "f", 2).collect()} == {"a": 3, "b": 2}
 
 
-def test_vocabulary_order_and_bound(spark):
+def terms(index):
+    return [r.term for r in index.table.orderBy("index").collect()]
+
+
+def test_term_index_order_and_bound(spark):
     df = numbered(spark, [["b", "a", "c", "c"], ["é", "B", "a"], ["a", "b"]])
-    assert FE.fit_term_counts(df, "f").vocabulary == ["a", "b", "c", "B", "é"]
-    assert FE.fit_term_counts(df, "f", min_df=2).vocabulary == ["a", "b"]
-    assert FE.fit_term_counts(df, "f", min_df=0.9).vocabulary == ["a"]
-    with pytest.raises(ValueError):
-        FE.fit_term_counts(df, "f", vocab_size=4)
+    index = TI.fit_term_index(df, "f")
+    assert terms(index) == ["a", "b", "c", "B", "é"] and (index.size, index.documents) == (5, 3)
+    assert [(r["index"], r.n, r.doc_freq) for r in index.table.orderBy("index").collect()] == [(0, 3, 3), (1, 2, 2), (2, 2, 1), (3, 1, 1), (4, 1, 1)]
+    assert terms(TI.fit_term_index(df, "f", min_df=2)) == ["a", "b"]
+    assert terms(TI.fit_term_index(df, "f", min_df=0.9)) == ["a"]
+
+
+def test_term_index_over_many_partitions(spark):
+    words = [[f"w{i}"] * (i % 7 + 1) for i in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = TI.fit_term_index(numbered(spark, words).repartition(5), "f")
+        assert index.table.select("index").distinct().count() == index.size == 3000
+        want = sorted((f"w{i}" for i in range(3000)), key=lambda w: (-(int(w[1:]) % 7 + 1), w))
+        assert terms(index) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_term_vectors_of_rows_with_unknown_terms_and_repeated_ids(spark):
+    index = TI.fit_term_index(numbered(spark, [["a", "b", "a"], ["b"]]), "f")
+    rows = TI.numbered(spark.createDataFrame([(1, ["a", "z", "a"], 5), (1, ["b"], 6), (2, [], 7), (3, None, 8)], "id int, f array<string>, e int"))
+    got = {r.e: r.rawFeatures.toArray().tolist() for r in TI.term_vectors(rows, index, "f").collect()}
+    # a and b both occur twice, so they are numbered by code point
+    assert got == {5: [2.0, 0.0], 6: [0.0, 1.0], 7: [0.0, 0.0], 8: [0.0, 0.0]}
+    assert TI.term_vectors(rows, index, "f", weights=None, min_tf=2).where("e = 6").first().rawFeatures.numNonzeros() == 0
+    none = TI.fit_term_index(numbered(spark, [[]]).limit(0), "f")
+    assert none.size == 0 and TI.term_vectors(rows, none, "f").first().rawFeatures.size == 0
 
 
 def test_word_vectors_are_means(spark):
@@ -80,13 +112,13 @@ def test_word_vectors_are_means(spark):
 FIT = """
 import sys
 from textflow.session import local_session
-from textflow.operators import features as FE, topics as TO
+from textflow.operators import features as FE, term_index as TI, topics as TO
 spark = local_session(sys.argv[1])
 docs = [[f"w{(i * 7 + j * j) % 11}" for j in range(i % 5 + 3)] for i in range(60)]
 df = spark.createDataFrame(list(enumerate(docs)), "id int, f array<string>").repartition(int(sys.argv[1]) + 1)
 model, _ = FE.word_vectors(df, "id", "f", "v", size=4, partitions=1)
-cv, counted = FE.term_counts(df, "f", "tf")
-_, feats = FE.tf_idf(counted, "tf", "features")
+rows = TI.numbered(df)
+feats = TI.term_vectors(rows, TI.fit_term_index(rows, "f"), "f")
 lda = TO.fit_topics(feats, "id", k=3, max_iter=5)
 print("FIT", [(r.word, [round(float(x), 4) for x in r.vector]) for r in model.getVectors().orderBy("word").collect()],
       [round(float(x), 4) for x in lda.topicsMatrix().toArray().ravel()])

@@ -24,6 +24,7 @@ def few_iterations(monkeypatch):
     from pyspark.ml.clustering import LDA
     init = LDA.__init__
     monkeypatch.setattr(LDA, "__init__", lambda self, **kw: init(self, **{**kw, "maxIter": 3}))
+    monkeypatch.setattr(E, "SWEEP_ITER", 3)
 
 
 @pytest.mark.parametrize("key", sorted(E.oracle_sql()))

@@ -2,26 +2,20 @@
 
 Counts are relational: ``term_count_rows``, ``idf_rows``, ``tf_idf_rows`` and
 ``counted_words`` are group-bys and joins over exploded tokens, without a
-vocabulary limit and without a table on the driver. The ML vectors exist as
-input of fitted models only; their vocabulary is held by the driver and by
-every task, so ``vocab_size`` bounds it, and a corpus with more terms is an
-error, never cut short.
+vocabulary limit and without a table on the driver. The vectors that models
+read are assembled in ``term_index``, by joins as well.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.feature import (CountVectorizerModel, IDF, IDFModel,
-                                StopWordsRemover, Tokenizer, VectorAssembler,
-                                Word2Vec, Word2VecModel)
+from pyspark.ml.feature import (IDF, IDFModel, StopWordsRemover, Tokenizer,
+                                VectorAssembler, Word2Vec, Word2VecModel)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import struct_entries, vector_struct
 from ..session import lineage_cut, release
 
-# Most terms of a vocabulary that a model may hold.
-DEFAULT_VOCAB_SIZE = 1 << 22
 # Partitions that Word2Vec trains on, unless given.
 W2V_PARTITIONS = 8
 
@@ -63,7 +57,9 @@ def idf_rows(tokens: DataFrame, col: str = "filtered", min_df: int = 1) -> DataF
 
 
 def tf_idf_rows(tokens: DataFrame, id_col: str, col: str = "filtered", min_df: int = 1) -> DataFrame:
-    """``(id, term, tfidf double)``: term counts times IDF, joined on the term."""
+    """``(id, term, tfidf double)``: term counts times IDF, joined on the term.
+    The tokens are written once, as three jobs read them."""
+    tokens = lineage_cut(tokens.select(id_col, col))
     counts = term_count_rows(tokens, id_col, col)
     idf = idf_rows(tokens, col, min_df)
     return counts.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
@@ -79,33 +75,6 @@ def counted_words(tokens: DataFrame, col: str = "filtered", min_count: int = 2)
 # --- model input ---
 
 
-def fit_term_counts(df: DataFrame, input_col: str = "filtered", output_col: str = "rawFeatures",
-                    vocab_size: int = DEFAULT_VOCAB_SIZE, min_df: float = 1.0,
-                    min_tf: float = 1.0) -> CountVectorizerModel:
-    """The vocabulary of terms that occur in ``min_df`` documents at least (a
-    share of the documents if below 1), most frequent first, ties by term, so
-    that indexes don't depend on how the data is laid out. The model holds
-    every term; more than ``vocab_size`` are an error (raise it or ``min_df``)."""
-    least = min_df if min_df >= 1 else min_df * df.count()
-    counted = df.select(F.explode(input_col).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    if least > 1:
-        counted = counted.join(doc_freq_rows(df, input_col).where(F.col("doc_freq") >= least), "term")
-    rows = counted.select("term", "n").limit(vocab_size + 1).toPandas()
-    if len(rows) > vocab_size:
-        raise ValueError(f"more than {vocab_size} terms; raise vocab_size or min_df")
-    # by code point, as Spark and SQL compare text
-    order = sorted(zip((-rows["n"]).tolist(), rows["term"].tolist(), strict=True), key=lambda r: (r[0], r[1].encode()))
-    model = CountVectorizerModel.from_vocabulary([t for _, t in order], inputCol=input_col, outputCol=output_col)
-    return model.setMinTF(min_tf)
-
-
-def term_counts(df: DataFrame, input_col: str = "filtered", output_col: str = "rawFeatures",
-                **kw) -> tuple[CountVectorizerModel, DataFrame]:
-    """Fit the vocabulary and add the sparse term-count vector."""
-    model = fit_term_counts(df, input_col, output_col, **kw)
-    return model, model.transform(df)
-
-
 def fit_idf(df: DataFrame, input_col: str = "rawFeatures", output_col: str = "features",
             min_doc_freq: int = 0) -> IDFModel:
     """IDF = ln((m + 1) / (df + 1)) over ``m`` documents."""
@@ -118,15 +87,6 @@ def tf_idf(df: DataFrame, input_col: str = "rawFeatures", output_col: str = "fea
     return model, model.transform(df)
 
 
-def vocabulary_table(model: CountVectorizerModel, df: DataFrame) -> DataFrame:
-    """``(index int, term string)`` of a fitted vocabulary, in the session of ``df``."""
-    import pandas as pd
-
-    vocab = model.vocabulary
-    pdf = pd.DataFrame({"index": np.arange(len(vocab), dtype="int32"), "term": list(vocab)})
-    return df.sparkSession.createDataFrame(pdf, "index int, term string")
-
-
 def vector_long_form(df: DataFrame, vector_col: str, id_col: str, vocab: DataFrame,
                      value_name: str = "value") -> DataFrame:
     """``(id, term, value)`` for every stored entry of a sparse vector."""

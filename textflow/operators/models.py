@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier,
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression,
+                                       LogisticRegressionModel, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
                                    MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import lineage_cut
+from .metrics import accuracy
+from .optimality import best_stump, descent
+from .sampling import with_split
+
 # Each classifier's settings, to match.
 DEFAULTS = {
     "random_forest": {"numTrees": 10},
@@ -72,6 +79,20 @@ def logistic_grid(est: LogisticRegression):
             .addGrid(est.elasticNetParam, [0.0, 0.5, 1.0]).build())
 
 
+def learned(model, df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
+    """One row ``(gap double)``: what a fitted classifier falls short by on the rows it was
+    fitted on. For linear models the share of the objective that a step against its subgradient
+    still saves (``optimality.descent``); for others how far the accuracy lies below that of the best threshold on one feature."""
+    if isinstance(model, (LogisticRegressionModel, LinearSVCModel)):
+        logistic = isinstance(model, LogisticRegressionModel)
+        gap = descent(df, "logistic" if logistic else "linear_svm", model.coefficients.toArray(), model.intercept, model.getRegParam(),
+                      model.getElasticNetParam() if logistic else 0.0, model.getFitIntercept(), features, label)
+        return df.sparkSession.createDataFrame([(gap,)], "gap double")
+    own = accuracy(predict(model, df), label=label, digits=None)
+    return own.crossJoin(best_stump(df, features, label).withColumnRenamed("accuracy", "stump")).select(
+        F.greatest(F.lit(0.0), F.col("stump") - F.col("accuracy")).alias("gap"))  # one row each
+
+
 def _evaluator(metric: str, label: str):
     if metric == "rmse":
         return RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
@@ -83,20 +104,27 @@ def _evaluator(metric: str, label: str):
 
 
 def tune(df: DataFrame, est, grid, train_ratio: float = 0.8, metric: str = "rmse",
-         label: str = "label", seed: int = 24, parallelism: int = 4):
-    """One train/validation split, every grid setting fitted (``parallelism``
-    at a time), scored by ``metric``. On a tie the first setting in grid
-    order wins. Returns the best model and a table
+         label: str = "label", key: str = "vec_id", seed: int = 24, parallelism: int = 4):
+    """One train/validation split by a hash of ``key``, shared by all settings
+    (so that it doesn't follow the layout); every grid setting fitted (``parallelism`` at a time) on its part 0
+    and scored by ``metric`` on part 1. On a tie the first setting in grid order wins, and is
+    fitted on all rows. Returns the best model and a table
     ``(setting int, params string, score double, best boolean)``."""
-    tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=grid, evaluator=_evaluator(metric, label),
-                               trainRatio=train_ratio, seed=seed, parallelism=parallelism)
-    model = tvs.fit(df)
-    scores = list(model.validationMetrics)
-    larger = tvs.getEvaluator().isLargerBetter()
-    best = max(range(len(scores)), key=lambda i: (scores[i], -i)) if larger else \
-        min(range(len(scores)), key=lambda i: (scores[i], i))
+    # a hash of its own, or a table that was split by the same key and seed would fall into one part
+    parted = lineage_cut(with_split(df, (train_ratio, 1 - train_ratio), key, f"{seed}:fold", "__fold"))
+    train_rows, held = (parted.where(F.col("__fold") == i).drop("__fold") for i in (0, 1))
+    evaluator = _evaluator(metric, label)
+
+    def score(setting):
+        return float(evaluator.evaluate(est.fit(train_rows, setting).transform(held)))
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        scores = list(pool.map(score, grid))
+    sign = -1 if evaluator.isLargerBetter() else 1
+    best = min(range(len(scores)), key=lambda i: (sign * scores[i], i))
+    model = est.fit(parted.drop("__fold"), grid[best])
     rows = []
-    for i, (pm, s) in enumerate(zip(grid, scores)):
+    for i, (pm, s) in enumerate(zip(grid, scores, strict=True)):
         desc = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
         rows.append((i, desc, float(s), i == best))
     table = df.sparkSession.createDataFrame(rows, "setting int, params string, score double, best boolean")

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import parse_vector, take_items, to_vector, vector_items
 from ..functions.text import to_label
-from ..operators.features import (DEFAULT_VOCAB_SIZE, W2V_PARTITIONS, assemble, fit_idf,
-                                  fit_term_counts, remove_stop_words, tokenize, word_vectors)
+from ..operators.features import W2V_PARTITIONS, assemble, remove_stop_words, tokenize, word_vectors
 from ..operators.filters import has_length, without_value
 from ..operators.metrics import report
 from ..operators.models import predict, train
 from ..operators.sampling import with_split
+from ..operators.term_index import TermIndex, fit_term_index, numbered, term_vectors
 from ..operators.topics import LDA_PARTITIONS, fit_topics
 from ..session import lineage_cut
 from ..sources.corpus import as_labelled
@@ -54,24 +54,18 @@ def question_features(corpus: DataFrame, preset: str = "main", key: str = "qid",
     return tokens.select(key, "filtered", target)
 
 
-def tfidf_features(tokens: DataFrame, input_col: str = "filtered", vocab_size: int = DEFAULT_VOCAB_SIZE,
-                   min_df: float = 1.0, cut: bool = True):
-    """Fit term counts and IDF on a token table and add both vectors
-    (``rawFeatures``, ``features``). The tokens are cut from their lineage
-    once (``cut``), so the two fits and the transform read them instead of
-    re-running the cleaning. Returns ``(count_model, idf_model, table)``."""
-    if cut:
-        tokens = lineage_cut(tokens)
-    cv_model = fit_term_counts(tokens, input_col, "rawFeatures", vocab_size=vocab_size, min_df=min_df)
-    counted = cv_model.transform(tokens)
-    idf_model = fit_idf(counted, "rawFeatures", "features")
-    return cv_model, idf_model, idf_model.transform(counted)
+def tfidf_features(tokens: DataFrame, input_col: str = "filtered", min_df: float = 1.0) -> tuple[TermIndex, DataFrame]:
+    """Number the terms of a token table and add the vectors of counts and of TF-IDF
+    weights (``rawFeatures``, ``features``). The tokens are written once, so that
+    the cleaning isn't run again. Returns ``(index, table)``."""
+    rows = numbered(tokens)
+    index = fit_term_index(rows, input_col, min_df)
+    return index, term_vectors(rows, index, input_col).drop("__row")
 
 
 def question_classifier(corpus: DataFrame, preset: str = "main", key: str = "qid",
                         target: str = "target", w2v_size: int = 100, min_count: int = 2,
-                        w2v_partitions: int = W2V_PARTITIONS, vocab_size: int = DEFAULT_VOCAB_SIZE,
-                        min_df: float = 1.0, lda_partitions: int = LDA_PARTITIONS,
+                        w2v_partitions: int = W2V_PARTITIONS, min_df: float = 1.0, lda_partitions: int = LDA_PARTITIONS,
                         k: int = 8, lda_iter: int = 100, kind: str = "random_forest",
                         weights=(0.6, 0.4), seed: int = 24, fit_on: str = "all",
                         drop_value: float | None = 9, timings: dict | None = None,
@@ -87,21 +81,18 @@ def question_classifier(corpus: DataFrame, preset: str = "main", key: str = "qid
     """
     clock = _Clock(timings)
     tokens = with_split(question_features(corpus, preset, key, target=target), weights, key, seed, "part")
-    tokens = clock("tokens", lambda: lineage_cut(tokens))      # read by four fits
+    tokens = clock("tokens", lambda: numbered(tokens))      # read by four fits
     fit_rows = tokens if fit_on == "all" else tokens.where(F.col("part") == 0)
 
     w2v_model, _ = clock("word2vec", lambda: word_vectors(
         fit_rows, key, "filtered", "wordvectors", size=w2v_size, min_count=min_count, seed=seed,
         partitions=w2v_partitions))
-    cv_model = clock("term_counts", lambda: fit_term_counts(
-        fit_rows, "filtered", "rawFeatures", vocab_size=vocab_size, min_df=min_df))
-    counted = cv_model.transform(fit_rows)
-    idf_model = clock("idf", lambda: fit_idf(counted, "rawFeatures", "features"))
-    lda_model = clock("lda", lambda: fit_topics(idf_model.transform(counted), key, k, lda_iter, seed,
+    index = clock("term_index", lambda: fit_term_index(fit_rows, "filtered", min_df))
+    counted = clock("term_vectors", lambda: term_vectors(tokens, index, "filtered", counts="rawFeatures"))
+    lda_model = clock("lda", lambda: fit_topics(counted if fit_on == "all" else counted.where(F.col("part") == 0), key, k, lda_iter, seed,
                                                 partitions=lda_partitions))
 
-    feats = idf_model.transform(cv_model.transform(w2v_model.transform(tokens)))
-    feats = lda_model.transform(feats)
+    feats = lda_model.transform(w2v_model.transform(counted))
     feats = feats.select(key, "part", "wordvectors",
                          vector_items("topicDistribution").alias("topics"),
                          to_label(F.col(target)).alias("label"))
@@ -115,8 +106,8 @@ def question_classifier(corpus: DataFrame, preset: str = "main", key: str = "qid
     model = clock("classifier", lambda: train(feats.where(F.col("part") == 0), kind, "features", "label",
                                               seed, **model_params))
     pred = predict(model, feats.where(F.col("part") == 1)).select(key, "prediction", "label")
-    return ClassifierRun(pred, {"word2vec": w2v_model, "count": cv_model, "idf": idf_model,
-                                "lda": lda_model, "classifier": model}, feats)
+    return ClassifierRun(pred, {"word2vec": w2v_model, "index": index, "lda": lda_model,
+                                 "classifier": model}, feats)
 
 
 def load_feature_arrays(df: DataFrame, vector_col: str = "topics", label_col: str = "target",

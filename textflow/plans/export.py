@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.features import DEFAULT_VOCAB_SIZE, word_vectors
+from ..operators.features import word_vectors
 from ..operators.sampling import balanced_sample
 from ..operators.topics import topic_sweep, topics_by_class
 from ..session import lineage_cut
@@ -24,8 +24,7 @@ from .classifier import question_features, tfidf_features
 def class_topic_features(corpus: DataFrame, preset: str = "notebook", k: int = 20,
                          max_iter: int = 100, classes=(0, 1), key: str = "qid",
                          target: str = "target", w2v_size: int = 100, min_count: int = 2,
-                         vocab_size: int = DEFAULT_VOCAB_SIZE, min_df: float = 1.0,
-                         seed: int = 24) -> DataFrame:
+                         min_df: float = 1.0, seed: int = 24) -> DataFrame:
     """``key, wordvectors, topic (array of 2k floats), target``.
 
     The non-zero half of ``topic`` is chosen by the true class, so the
@@ -35,7 +34,8 @@ def class_topic_features(corpus: DataFrame, preset: str = "notebook", k: int = 2
     tokens = lineage_cut(question_features(corpus, preset, key, target=target))
     w2v, _ = word_vectors(tokens, key, "filtered", "wordvectors", size=w2v_size, min_count=min_count,
                           seed=seed)
-    _, _, feats = tfidf_features(w2v.transform(tokens), "filtered", vocab_size, min_df, cut=False)
+    _, feats = tfidf_features(tokens, "filtered", min_df)
+    feats = w2v.transform(feats)
     _, out = topics_by_class(feats, key, target, classes, k=k, max_iter=max_iter, seed=seed,
                              output_col="topic")
     return out.select(key, "wordvectors", "topic", F.col(target).alias("target"))
@@ -55,11 +55,10 @@ def export_class_topic_features(corpus: DataFrame, path: str, fmt: str = "parque
 
 def topic_tuning(corpus: DataFrame, n: int = 10000, ks=range(7, 20), max_iter: int = 50,
                  classes=(1, 0), key: str = "qid", target: str = "target",
-                 vocab_size: int = DEFAULT_VOCAB_SIZE, min_df: float = 1.0, seed: int = 24,
-                 parallelism: int = 1) -> DataFrame:
+                 min_df: float = 1.0, seed: int = 24) -> DataFrame:
     """The topic-count sweep as a whole: ``n`` questions per class (hash
     order), the ``tuning`` cleaning chain, tokens without stop words, TF-IDF
-    fitted on the sample, then one LDA per class and ``k`` scored by
+    fitted on the sample, then one topic model per class and ``k``, all fitted together and scored by
     log-likelihood and log-perplexity (``topic_sweep``).
 
     Only the sample pass touches the whole corpus (one scan with a partial
@@ -67,5 +66,5 @@ def topic_tuning(corpus: DataFrame, n: int = 10000, ks=range(7, 20), max_iter: i
     so the sweep's cost does not grow with the corpus."""
     sample = balanced_sample(corpus, target, n, key)
     tokens = question_features(sample, "tuning", key, target=target)
-    _, _, feats = tfidf_features(tokens, "filtered", vocab_size, min_df)
-    return topic_sweep(feats, key, target, sorted(classes), ks, max_iter, seed, parallelism=parallelism)
+    index, feats = tfidf_features(tokens, "filtered", min_df)
+    return topic_sweep(feats, index.size, target, sorted(classes), ks, max_iter, seed)
