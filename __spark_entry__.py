@@ -15,6 +15,7 @@ on its training rows, whether a topic model's scores imply the corpus's weight.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,7 +35,9 @@ from textflow.operators import vocab as VO
 from textflow.plans import classifier as PC
 from textflow.plans import cleaning as PL
 from textflow.sources import corpus as SC
+from textflow.session import scratch_dir
 from textflow.sources import tables as TB
+from textflow.sources import word2vec as W2
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 
@@ -318,6 +321,54 @@ def q_explore_vector_vocab(spark, d):
     return FE.counted_words(FE.tokenize(docs, "text", "words"), "words", 4)
 
 
+# --- sources: what was written is read back ---
+
+
+def _written(spark):
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def q_lexicon_binary(spark, d):
+    """The lexicon with vectors in the binary format, and back: each word with the ends of its vector."""
+    W2.register(spark)
+    path = _written(spark)
+    words = TB.lexicon(spark, d).select("word", F.array(F.length("word").cast("float"), F.lit(0.5).cast("float"), F.lit(-1.25).cast("float")).alias("vector"))
+    words.write.format("word2vec").mode("append").save(path)
+    return SC.read_lexicon(spark, path, fmt="word2vec").select("word", F.col("vector")[0].alias("first"), F.col("vector")[2].alias("last"))
+
+
+def _exported(spark, d, fmt):
+    arrays = TB.feature_text(spark, d).select("vec_id", "target", A.parse_vector("topics", strict=True).alias("topics"))
+    path = _written(spark)
+    SC.export_features(arrays, path, fmt, text_vectors=fmt == "csv")
+    return SC.read_export(spark, path)
+
+
+def q_export_parquet(spark, d):
+    return _long(_exported(spark, d, "parquet"), ["vec_id", "target"], F.col("topics"))
+
+
+def q_export_csv(spark, d):
+    back = _exported(spark, d, "csv")
+    return _long(back.select(F.col("vec_id").cast("long"), F.col("target").cast("int"), A.parse_vector("topics", strict=True).alias("topics")),
+                 ["vec_id", "target"], F.col("topics"))
+
+
+def q_rejected_rows(spark, d):
+    """The labels as lines, some of them spoilt: each with the reason why it is rejected, if it is."""
+    lab = TB.table(spark, d, "labels", ["doc_id", "toxic"])
+    line = F.when(F.col("doc_id") % 11 == 0, F.concat_ws(",", "doc_id", F.lit("some text"))).when(
+        F.col("doc_id") % 7 == 0, F.concat_ws(",", "doc_id", F.lit("text"), F.lit("yes"))).otherwise(
+        F.concat_ws(",", "doc_id", F.lit('"a ""quoted"", text"'), F.col("toxic").cast("string")))
+    path = _written(spark)
+    lab.select(line.alias("value")).write.text(path)
+    good, bad = SC.read_checked(spark, path, columns=["qid", "question_text", "target"])
+    kept = good.select(F.col("qid").cast("long").alias("doc_id"), "question_text", "target", F.lit("").alias("reason"))
+    gone = bad.select(F.split("record", ",")[0].cast("long").alias("doc_id"), F.lit(None).cast("string").alias("question_text"),
+                      F.lit(None).cast("int").alias("target"), "reason")
+    return kept.unionByName(gone)
+
+
 # --- model keys ---------------------------------------------------------------
 
 
@@ -642,6 +693,10 @@ def _lenient(x):
     return f"list_transform(string_split({x}, ','), lambda p: TRY_CAST(p AS FLOAT))"
 
 
+_STRICT = ("list_transform(string_split(regexp_replace(topics, '[\\[\\]]', '', 'g'), ','), "
+           "lambda p: TRY_CAST(p AS FLOAT))")
+
+
 def _take_1_18(arr):
     return f"list_transform(range(1, 19), lambda i: {arr}[i + 1])"
 
@@ -745,6 +800,12 @@ def _oracles() -> dict[str, str]:
                        f"SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS index, n, doc_freq FROM c JOIN dfq USING (term)"),
         "topic_tables": _weights_sql(f"WITH {_main_tokens_cte()}", (0,)).replace(
             "k::INTEGER AS k, ", "(SELECT count(*) FROM dfq)::BIGINT AS terms, ").replace("AS negative", "AS valid"),
+        "lexicon_binary": f"WITH {_LEXICON} SELECT word, length(word)::FLOAT AS first, -1.25::FLOAT AS last FROM lexicon",
+        "export_parquet": _long_sql(_FEATURE_TEXT, ["vec_id", "target"], _STRICT),
+        "export_csv": _long_sql(_FEATURE_TEXT, ["vec_id", "target"], _STRICT),
+        "rejected_rows": ("SELECT doc_id, CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN 'a \"quoted\", text' END AS question_text, "
+                          "CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN toxic::INTEGER END AS target, "
+                          "CASE WHEN doc_id % 11 = 0 THEN 'columns' WHEN doc_id % 7 = 0 THEN 'type of target' ELSE '' END AS reason FROM labels"),
         "word_vector_vocab": (f"WITH {_main_tokens_cte()} SELECT term AS word FROM "
                               f"(SELECT unnest(f) AS term FROM toks) GROUP BY term HAVING count(*) >= 2"),
         "explore_vector_vocab": f"{_explore_tokens_cte()} SELECT word, n FROM counted WHERE n >= 4",

@@ -7,6 +7,7 @@ for tests, the bench and the examples.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -43,7 +44,7 @@ def scratch_dir(spark: SparkSession) -> str:
     would not share one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="textflow-scratch-")
         spark.conf.set("spark.checkpoint.dir", folder)
