@@ -292,53 +292,56 @@ class Mix:
         return shard_table(self._rows.sparkSession, self.plan)
 
 
-def _draws(p: Plan, s: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers, blocks and words of the draws of blocks ``first`` to ``last`` of source ``s``."""
-    blocks, n, total = np.arange(first, last + 1), p.blocks[s], p.draws[s]
-    numbers, taken = [], []
-    for epoch in range(-(-total // n)):
-        number = epoch * n + permuted(blocks, n, _key(p.seed, s, epoch))
-        drawn = number < total
-        numbers.append(number[drawn])
-        taken.append(blocks[drawn])
-    if not numbers:
+def _draws(p: Plan, source: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of blocks (source, number) their draws: which of the blocks, the draws' numbers, and the words taken."""
+    of, numbers, words = [], [], []
+    for s in np.unique(source).tolist():
+        at, n, total = np.flatnonzero(source == s), p.blocks[s], p.draws[s]
+        for epoch in range(-(-total // n)):
+            number = epoch * n + permuted(block[at], n, _key(p.seed, s, epoch))
+            drawn = number < total
+            of.append(at[drawn])
+            numbers.append(number[drawn])
+            words.append(np.where(number[drawn] == total - 1, p.last[s], p.block))
+    if not of:
         return (np.zeros(0, np.int64),) * 3
-    number, block = np.concatenate(numbers), np.concatenate(taken)
-    return number, block, np.where(number == total - 1, p.last[s], p.block)
+    return np.concatenate(of), np.concatenate(numbers), np.concatenate(words)
 
 
 def _drawn(batches, p: Plan):
     for batch in batches:
         for begin in range(0, len(batch), 512):
             part = batch.slice(begin, 512)
-            of, draw, first_word, size, texts = [], [], [], [], []
-            source, start, words = (part.column(c).to_numpy() for c in ("s", "start", "size"))
-            for row, text in enumerate(as_bytes(part.column("text"))):
-                s, at, n = int(source[row]), int(start[row]), int(words[row])
-                number, block, most = _draws(p, s, at // p.block, (at + n - 1) // p.block)
-                low = np.maximum(block * p.block - at, 0)
-                high = np.minimum(block * p.block + most - at, n)
-                some = high > low
-                if not some.any():
-                    continue
+            source, start, size = (part.column(c).to_numpy().astype(np.int64) for c in ("s", "start", "size"))
+            first = start // p.block
+            many = (start + size - 1) // p.block - first + 1
+            row = np.repeat(np.arange(len(part)), many)
+            block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[row]
+            of, draw, most = _draws(p, source[row], block)
+            row, block = row[of], block[of]
+            low = np.maximum(block * p.block - start[row], 0)
+            high = np.minimum(block * p.block + most - start[row], size[row])
+            # by document; a draw that takes part of its block may miss a document
+            at = np.argsort(row, kind="stable")
+            at = at[(high > low)[at]]
+            row, draw, low, high = row[at], draw[at], low[at], high[at]
+            if not len(row):
+                continue
+            texts = as_bytes(part.column("text"))
+            a, b = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+            edges = np.flatnonzero(np.diff(row, prepend=-1, append=-1))
+            for i, j in zip(edges, edges[1:], strict=False):
+                text = texts[row[i]]
                 inside = np.frombuffer(b" " + text.translate(_SPACES) + b" ", np.uint8) != 32
                 edge = np.flatnonzero(inside[1:] != inside[:-1])
-                opens, closes = edge[::2], edge[1::2]
-                low, high = low[some], high[some]
-                of += [row] * len(low)
-                draw.append(number[some])
-                first_word.append(low)
-                size.append(high - low)
-                texts += [text[a:b] for a, b in zip(opens[low].tolist(), closes[high - 1].tolist(), strict=True)]
-            if not of:
-                continue
-            rows, draw = np.array(of), np.concatenate(draw)
-            shard = shards_of(p, source[rows], draw)
-            place = _mixed(_mixed(draw.astype(np.uint64), p.seed + 1) ^ source[rows].astype(np.uint64), p.seed + 2).view(np.int64)
-            taken = part.select(["source", "s", "start", "doc_id"]).take(pa.array(rows))
+                a[i:j], b[i:j] = edge[2 * low[i:j]], edge[2 * high[i:j] - 1]
+            cuts = [texts[r][x:y] for r, x, y in zip(row.tolist(), a.tolist(), b.tolist(), strict=True)]
+            shard = shards_of(p, source[row], draw)
+            place = _mixed(_mixed(draw.astype(np.uint64), p.seed + 1) ^ source[row].astype(np.uint64), p.seed + 2).view(np.int64)
+            taken = part.select(["source", "s", "start", "doc_id"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), pa.array(place), *taken.columns, pa.array(draw), pa.array(np.concatenate(first_word)),
-                 pa.array(np.concatenate(size)), pa.array(texts, pa.binary()).cast(pa.string())],
+                [pa.array(shard), pa.array(place), *taken.columns, pa.array(draw), pa.array(low),
+                 pa.array(high - low), pa.array(cuts, pa.binary()).cast(pa.string())],
                 ["shard", "place", "source", "s", "start", "doc_id", "draw", "first_word", "n_words", "text"])
 
 
