@@ -4,8 +4,9 @@ Every text is cut into rolling grams of ``GRAM`` words. The gram hashes are join
 the places of the same grams in a table of templates; each match votes for a
 diagonal (word number in the text minus word number in the template).
 Neighbouring diagonals, as an inserted or missing word makes them, are merged
-into spans, and a span is verified by the share of the template's words
-that its grams cover in order.
+into spans, and a span is verified: its matches are read in the order of the text, those
+whose template position lies behind all earlier ones count, and the template's words
+that they cover must be enough, within a stretch of text not much longer than the template.
 
 Two kinds of template: phrases must stand word for word (each place counts),
 notices are longer texts of which a span must cover ``COVERAGE``.
@@ -91,8 +92,8 @@ def _votes(docs: DataFrame, doc_id: str, text: str, rows: list[tuple]) -> DataFr
 
 def spans(votes: DataFrame) -> DataFrame:
     """Merged diagonals: ``(row, doc_id, template, label, exact, length, first,
-    places, covered)`` with the first diagonal, the starts of complete ones and
-    the number of the template's words that the span's grams cover; and for each
+    covered, extent, n_words)`` with the first diagonal, the number of the template's words that the span's grams
+    cover in order, and the words of text from the first of these grams to the last; and for each
     text a row with a null template and ``n_words``."""
     diagonals = (votes.groupBy("row", "doc_id", "template", "label", "exact", "length", (F.col("pos") - F.col("at")).alias("diagonal"))
                  .agg(F.collect_set("at").alias("at"), F.max("pos").alias("pos")))
@@ -100,11 +101,17 @@ def spans(votes: DataFrame) -> DataFrame:
     near = F.col("diagonal") - F.lag("diagonal").over(by) <= NEIGHBOURS
     parted = diagonals.withColumn("start", F.when(near & ~F.col("exact"), 0).otherwise(1)).withColumn("span", F.sum("start").over(by))
     merged = parted.groupBy("row", "doc_id", "template", "label", "exact", "length", "span").agg(
-        F.min("diagonal").alias("first"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
+        F.min("diagonal").alias("first"), F.array_sort(F.flatten(F.collect_list(F.transform("at", lambda a: F.struct(
+            (F.col("diagonal") + a).alias("pos"), a.alias("at")))))).alias("places"),
         (F.max("pos") + 1).alias("n_words"))
-    reach = F.flatten(F.transform("at", lambda a: F.sequence(a, a + GRAM - 1)))
+    # left to right, the places behind all template positions so far
+    none = F.filter("places", lambda _: F.lit(False))
+    merged = merged.withColumn("kept", F.aggregate("places", none, lambda kept, p: F.when(
+        (F.size(kept) == 0) | (F.coalesce(F.get(kept, F.size(kept) - 1)["at"], F.lit(-1)) < p["at"]), F.concat(kept, F.array(p))).otherwise(kept)))
+    reach = F.flatten(F.transform("kept", lambda p: F.sequence(p["at"], p["at"] + GRAM - 1)))
     return merged.select("row", "doc_id", "template", "label", "exact", "length", "first",
                          F.size(F.array_distinct(reach)).alias("covered"),
+                         (F.get("kept", F.size("kept") - 1)["pos"] + GRAM - F.get("kept", F.lit(0))["pos"]).alias("extent"),
                          F.when(F.col("template").isNull(), F.col("n_words")).alias("n_words"))
 
 
@@ -118,7 +125,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", phrases: d
     found = spans(_votes(docs, doc_id, text, rows))
     share = F.col("covered") / F.col("length")
     place = F.col("exact") & (F.col("covered") == F.col("length"))
-    label = F.col("exact") & place | ~F.col("exact") & (share >= COVERAGE)
+    label = F.col("exact") & place | ~F.col("exact") & (share >= COVERAGE) & (F.col("extent") * COVERAGE <= F.col("length"))
     joined = lambda flag: F.array_join(F.array_sort(F.collect_set(F.when(flag, F.col("label")))), ",")
     return found.groupBy("row", "doc_id").agg(
         F.max("n_words").cast("long").alias("n_words"), F.count(F.when(place, 1)).alias("n_base"),
@@ -143,12 +150,14 @@ v AS (SELECT r, template, label, exact, length, pos - tpos AS diagonal, tpos FRO
 n AS (SELECT *, CASE WHEN NOT exact AND diagonal - lag(diagonal) OVER o <= {NEIGHBOURS} THEN 0 ELSE 1 END AS opens
       FROM (SELECT r, template, label, exact, length, diagonal FROM v GROUP BY ALL) WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM n),
-c AS (SELECT r, template, label, exact, length, span, min(diagonal) AS first_at, count(DISTINCT reach) AS covered
-      FROM (SELECT s.*, unnest(range(v.tpos, v.tpos + {GRAM})) AS reach FROM s JOIN v USING (r, template, diagonal)) GROUP BY ALL),
+k AS (SELECT s.*, v.tpos, s.diagonal + v.tpos AS at_word, max(v.tpos) OVER (PARTITION BY s.r, s.template, s.span
+        ORDER BY s.diagonal + v.tpos, v.tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s JOIN v USING (r, template, diagonal)),
+c AS (SELECT r, template, label, exact, length, span, min(diagonal) AS first_at, count(DISTINCT reach) AS covered, max(at_word) + {GRAM} - min(at_word) AS extent
+      FROM (SELECT *, unnest(range(tpos, tpos + {GRAM})) AS reach FROM k WHERE top IS NULL OR tpos > top) GROUP BY ALL),
 f AS (SELECT r, count(*) FILTER (exact AND covered = length) AS n_base,
         min(first_at) FILTER (exact AND covered = length) AS first_word, max(first_at) FILTER (exact AND covered = length) AS last_word,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND covered = length) AS base_labels,
-        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN exact THEN covered = length ELSE covered / length >= {COVERAGE} END) AS labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN exact THEN covered = length ELSE covered / length >= {COVERAGE} AND extent * {COVERAGE} <= length END) AS labels,
         max(covered / length) AS score
       FROM (SELECT * REPLACE (covered::DOUBLE AS covered, length::DOUBLE AS length) FROM c) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
