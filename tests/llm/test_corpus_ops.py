@@ -92,6 +92,19 @@ def test_links_equal_brute_force(spark, most):
     assert got == joined(pairs, prints)
 
 
+@pytest.mark.parametrize("most", [4096, 8])
+def test_links_of_a_crowd_at_one_anchor(spark, most):
+    """Many prints with one home, which all visit anchors that are nobody's home."""
+    rng = random.Random(9)
+    crowd = {rng.getrandbits(48) << 16 for _ in range(400)}
+    crowd |= {x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for x in rng.sample(sorted(crowd), 60)}
+    prints = sorted(crowd)
+    pairs = [(a, b) for i, a in enumerate(prints) for b in prints[i:] if (a ^ b).bit_count() <= 4]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    edges = simhash.links(spark.createDataFrame([(signed(x),) for x in prints], "fp bigint"), most=most).collect()
+    assert joined([(r.a % (1 << 64), r.b % (1 << 64)) for r in edges], prints) == joined(pairs, prints)
+
+
 def test_op6_equals_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
     prints = {i: brute_fingerprint(t) for i, t in texts.items()}
@@ -248,7 +261,9 @@ def no_python(df):
 LICENSED = ["Released under the MIT License.", "apache license, VERSION 2; under the mit license under the MIT license", "CC-BY-NC cc by nc", None, "", "two words",
             "Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software", "this work is licensed under a creative commons attribution sharealike",
             "under the mit licenses", "Licensed under the Apache License, Version 2.0 (the License)", "under the mİt license", "cc by nc " * 3000,
-            "permission is hereby granted free of charge but nothing else", "üunder the mit license", "x" * 50000]
+            "permission is hereby granted free of charge but nothing else", "üunder the mit license", "x" * 50000,
+            "creative commons attribution blah commons attribution noncommercial", "creative commons attribution commons attribution noncommercial",
+            "obtaining a copy of this software any person obtaining permission is hereby granted free of charge to any person"]
 
 
 def test_license_scan_equals_sql(spark, database, tmp_path):
@@ -261,6 +276,9 @@ def test_license_scan_equals_sql(spark, database, tmp_path):
     by = {r.doc_id: r for r in found.collect()}
     assert (by[1].n_base, by[1].first_word, by[1].last_word, by[1].base_labels) == (3, 0, 8, "apache-2,mit")
     assert by[6].labels == "mit" and by[6].base_labels == "" and 0.8 <= by[6].score <= 1 and by[7].labels == "cc-by-sa"
+    # words of a notice in another order, or with others between them, are no notice
+    assert (by[15].labels, by[15].score) == ("", 1.0) and by[17].labels == ""
+    assert registry.license_scan.scan(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
     assert by[11].n_base == 3000 and by[10].n_base == 0 and by[13].n_base == 0 and by[3].n_words == 0
 
 

@@ -53,6 +53,15 @@ def test_bpe_round_trip_and_edges(spark, bpe):
         assert bytes(r.b) == (r.text or "").encode()
 
 
+def test_bpe_empty_tables_and_negative_ids(spark, bpe):
+    tokens, pattern, _ = bpe
+    none = frame(spark, [], "text string")
+    assert none.select(byte_bpe.encode(F.col("text"), tokens, pattern).alias("i")).collect() == []
+    assert registry.token_digests(frame(spark, [], "doc_id bigint, text string"), tokens, pattern).collect() == []
+    with pytest.raises(Exception, match="negative"):
+        frame(spark, [([0, -1],)], "ids array<int>").select(byte_bpe.decode(F.col("ids"), tokens)).collect()
+
+
 def test_bpe_long_texts_are_read_in_pieces(bpe, monkeypatch):
     tokens, pattern, reference = bpe
     monkeypatch.setattr(byte_bpe, "LONG_TEXT", 50)

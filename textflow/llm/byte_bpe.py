@@ -174,6 +174,8 @@ def decode(ids: Column, tokens: list[bytes]) -> Column:
     def content(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = [_unmapped(p) for p in written]
         for batch in batches:
+            if len(batch.flatten()) and (batch.flatten().to_numpy(zero_copy_only=False) < 0).any():
+                raise ValueError("a negative id stands for no token")
             yield pa.array([None if row is None else b"".join([table[i] for i in row]) for row in _rows(batch)],
                            pa.binary())
 

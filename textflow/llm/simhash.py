@@ -35,8 +35,10 @@ from .shared import ASCII_LOWER, as_bytes, cut, gathered, groups
 
 SHINGLE, BITS, SEED = 4, 4, 42
 FAMILIES, BLOCK = 4, 16
-#: Homes of an anchor that isn't split.
+#: Homes of an anchor that isn't split; as many visitors as so many homes have split it as well.
 HOMES = 4096
+#: Anchors that a fingerprint visits, about: 137 of 65,536 words are near, 4,096 of which are anchors.
+VISITS = 9
 _SLICE = 1 << 14
 #: Bits of a place that follow the first anchor: the second one's family and anchor, and a part.
 _SALT = 20
@@ -156,26 +158,29 @@ def links(prints: DataFrame, column: str = "fp", bits: int = BITS, most: int = H
     threshold = bits // FAMILIES
     prints = prints.select(F.col(column).alias("fp"))
 
-    def at_home(batches):
-        count: dict[tuple[int, int], int] = {}
+    def counted(batches):
+        at_home, near = (np.zeros((FAMILIES, 1 << BLOCK), np.int64) for _ in range(2))
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for family in range(FAMILIES):
-                for anchor, n in zip(*np.unique(homes(_block(fp, family)), return_counts=True), strict=True):
-                    count[family, int(anchor)] = count.get((family, int(anchor)), 0) + int(n)
-        yield pa.RecordBatch.from_pydict({"family": pa.array([k[0] for k in count], pa.int32()),
-                                          "anchor": pa.array([k[1] for k in count], pa.int32()),
-                                          "n": pa.array(list(count.values()), pa.int64())})
-
-    # FAMILIES * 4096 anchors at most, whatever the input
-    crowded = {(r.family, r.anchor): r.n
-               for r in prints.mapInArrow(at_home, "family int, anchor int, n bigint")
-               .groupBy("family", "anchor").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()}
+            whole = batch.column(0).to_numpy().view(np.uint64)
+            for start in range(0, len(whole), _SLICE):
+                fp = whole[start:start + _SLICE]
+                for family in range(FAMILIES):
+                    _, anchor, home = _visitors(fp, family, threshold)
+                    near[family] += np.bincount(anchor, minlength=1 << BLOCK)
+                    at_home[family] += np.bincount(anchor[home], minlength=1 << BLOCK)
+        family, anchor = np.nonzero(near)
+        yield pa.RecordBatch.from_pydict({"family": pa.array(family, pa.int32()), "anchor": pa.array(anchor, pa.int32()),
+                                          "homes": at_home[family, anchor], "visitors": near[family, anchor]})
+
+    # FAMILIES * 4096 anchors at most, whatever the input; without homes there is nothing to compare at one
+    anchors = {(r.family, r.anchor): max(r.homes, r.visitors // VISITS)
+               for r in prints.mapInArrow(counted, "family int, anchor int, homes bigint, visitors bigint")
+               .groupBy("family", "anchor").agg(F.sum("homes").alias("homes"), F.sum("visitors").alias("visitors")).where(F.col("homes") > 0).collect()}
 
     def replicate(batches):
-        held = np.zeros((FAMILIES, 1 << BLOCK), np.int64)
-        for (family, anchor), n in crowded.items():
-            held[family, anchor] = n
+        held = np.full((FAMILIES, 1 << BLOCK), -1, np.int64)
+        for (family, anchor), n in anchors.items():
+            held[family, anchor] = n if n > most else 0
 
         def rows(place, home, fp):
             return pa.RecordBatch.from_pydict({"place": place, "home": home, "fp": fp.view(np.int64)})
@@ -189,7 +194,7 @@ def links(prints: DataFrame, column: str = "fp", bits: int = BITS, most: int = H
                     first = (family << BLOCK | anchor.astype(np.int64)) << _SECOND
                     many = held[family, anchor]
                     yield rows(first[many == 0], home[many == 0], fp[row[many == 0]])
-                    at = np.flatnonzero(many)
+                    at = np.flatnonzero(many > 0)
                     for other in range(FAMILIES if at.size else 0):
                         if other == family:
                             continue
