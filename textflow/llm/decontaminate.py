@@ -1,9 +1,13 @@
 """Benchmark decontamination by one Aho-Corasick automaton.
 
 Every window of ``window`` consecutive words of a benchmark item is a pattern
-(an item of fewer words, but not none, is one pattern). Texts are lower-cased
-(A-Z), their words joined by single spaces, and scanned once; the places found
-are mapped back to word numbers and byte offsets of the original text.
+(an item of fewer words, but not none, is one pattern). The automaton's letters
+are the benchmark's words, numbered, so it has a state per word of a
+pattern. Texts are lower-cased (A-Z), cut into words and scanned once; the places
+found are word numbers, and are mapped to byte offsets of the original text.
+
+A benchmark too large for one automaton is split by item. Its automata are used in
+jobs of their own, one after the other, so that a worker never holds two.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words has no pattern; repeated items and items that share windows are all
@@ -14,64 +18,61 @@ strings; a null item id takes part under no name (its windows count as hits).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_WORDS, as_bytes
+from .shared import ASCII_WORDS, as_bytes, cut
 
 WINDOW = 10
 #: Text of the items in one automaton, which every task holds. A larger
 #: benchmark is split by item into several automata, and texts are scanned by each.
-MAX_AUTOMATON_BYTES = 8 << 20
+MAX_AUTOMATON_BYTES = 2 << 20
 
+ROW = "__decontaminated_row"
 HITS = "n_words bigint, words array<int>, items array<string>, spans array<struct<first:int,last:int,start:int,end:int>>"
 
 
 def item_groups(items: DataFrame, item_id: str = "item_id", text: str = "text",
-                most: int = MAX_AUTOMATON_BYTES) -> list[list[tuple[str | None, str]]]:
+                most: int = MAX_AUTOMATON_BYTES) -> Iterator[list[tuple[str | None, str]]]:
     """The items in groups of about ``most`` bytes of text, read to the driver
-    group by group (a group is as large as its largest item at least)."""
+    one group at a time (a group is as large as its largest item at least)."""
     rows = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where("text is not null")
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + held // most
     of = F.pmod(F.xxhash64("id", "text"), F.lit(groups))
-    return [[(r.id, r.text) for r in rows.where(of == g).collect()] for g in range(groups)]
+    for g in range(groups):
+        yield [(r.id, r.text) for r in (rows.where(of == g) if groups > 1 else rows).collect()]
 
 
 def _words(text: bytes | None) -> list[bytes]:
     return text.translate(ASCII_WORDS).split() if text else []
 
 
-def windows(items: list[tuple[str | None, str]], window: int) -> dict[str, list[str]]:
-    """Pattern -> ids of the items that hold it. Patterns start and end with a
-    space; bytes are written as Latin-1 characters."""
-    found: dict[str, set[str]] = {}
+def windows(items: list[tuple[str | None, str]], window: int) -> tuple[dict[bytes, int], dict[tuple[int, ...], list[str]]]:
+    """The numbers of the items' words (from 1), and pattern -> ids of the items that hold it."""
+    numbers: dict[bytes, int] = {}
+    found: dict[tuple[int, ...], set[str]] = {}
     for item, text in items:
-        words = _words(text.encode())
+        words = [numbers.setdefault(w, len(numbers) + 1) for w in _words(text.encode())]
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            pattern = b" %s " % b" ".join(words[i:i + window])
-            found.setdefault(pattern.decode("latin-1"), set()).update([item] if item is not None else [])
-    return {p: sorted(ids) for p, ids in found.items()}
+            found.setdefault(tuple(words[i:i + window]), set()).update([item] if item is not None else [])
+    return numbers, {p: sorted(ids) for p, ids in found.items()}
 
 
-def _automaton(patterns: dict[str, list[str]]):
+def _automaton(patterns: dict[tuple[int, ...], list[str]]):
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for p, ids in patterns.items():
         automaton.add_word(p, (len(p), ids))
     automaton.make_automaton()
     return automaton
 
 
-def _starts(words: list[bytes]) -> np.ndarray:
-    """Offsets of the words in their text joined by spaces, one space ahead."""
-    return np.cumsum([1, *map(len, words)], dtype=np.int64) + np.arange(len(words) + 1)
-
-
 def _original(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word as byte offsets of the original text."""
     inside = np.frombuffer(b" " + text.translate(ASCII_WORDS) + b" ", np.uint8) != 32
@@ -79,23 +80,18 @@ def _original(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-def scan(text: bytes | None, automaton) -> dict:
+def scan(text: bytes | None, numbers: dict[bytes, int], automaton) -> dict:
     words = _words(text)
     out = {"n_words": len(words), "words": [], "items": [], "spans": []}
-    if not words or not len(automaton):
+    if not words or not numbers:
         return out
-    line = b" %s " % b" ".join(words)
-    places = {}
-    for end, (length, ids) in automaton.iter(line.decode("latin-1")):
-        places[end - length + 2, end] = ids  # first letter and the space after the last
+    # 0 is any word that the benchmark lacks
+    places = {(last - length + 1, last + 1): ids for last, (length, ids) in automaton.iter(tuple([numbers.get(w, 0) for w in words]))}
     if not places:
         return out
-    starts = _starts(words)
     edges = np.zeros(len(words) + 1, np.int64)
-    first = np.searchsorted(starts, [s for s, _ in places])
-    last = np.searchsorted(starts, [e for _, e in places])  # the word after the last
-    np.add.at(edges, first, 1)
-    np.add.at(edges, last, -1)
+    np.add.at(edges, [first for first, _ in places], 1)
+    np.add.at(edges, [after for _, after in places], -1)
     hit = np.flatnonzero(np.cumsum(edges[:-1]))
     runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
     begin, stop = _original(text)
@@ -107,15 +103,14 @@ def scan(text: bytes | None, automaton) -> dict:
 
 
 def _hits(text: Column, items: list[tuple[str | None, str]], window: int) -> Column:
-    patterns = windows(items, window)
-
     @F.arrow_udf(HITS)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        numbers, patterns = windows(items, window)
         automaton = _automaton(patterns)
         kind = pa.struct([("n_words", pa.int64()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string())),
                           ("spans", pa.list_(pa.struct([(k, pa.int32()) for k in ("first", "last", "start", "end")])))])
         for batch in batches:
-            yield pa.array([scan(t, automaton) for t in as_bytes(batch)], kind)
+            yield pa.array([scan(t, numbers, automaton) for t in as_bytes(batch)], kind)
 
     return hits.asNondeterministic()(text)
 
@@ -125,19 +120,24 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     """``docs`` with a struct ``out`` (replacing a column of that name):
     ``n_words``; ``words``, the numbers of the words inside any window;
     ``items``, the ids of the items found; ``spans``, maximal runs of hit words
-    as word numbers and byte offsets (``end`` exclusive). What several
-    automata find is joined, and their runs merged, so that the number of automata doesn't show."""
+    as word numbers and byte offsets (``end`` exclusive). With several automata,
+    ``docs`` and what each finds are written to the shared folder; finds are joined by row and
+    their runs merged, so that the number of automata doesn't show."""
     groups = item_groups(items, item_id, item_text, most)
-    found = [_hits(F.col(text), g, window) for g in groups]
-    if len(found) == 1:
-        return docs.withColumn(out, found[0])
-    names = [f"__{out}_{i}" for i in range(len(found))]
-    docs = docs.withColumns(dict(zip(names, found, strict=True)))
-    of = lambda field: F.array_sort(F.array_distinct(F.concat(*[F.col(f"{n}.{field}") for n in names])))
-    joined = docs.withColumns({f"__{out}_{field}": of(field) for field in ("words", "items", "spans")})
-    return joined.withColumn(out, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), F.col(f"__{out}_words").alias("words"),
-                                           F.col(f"__{out}_items").alias("items"), _merged(F.col(f"__{out}_spans")).alias("spans"))
-                             ).drop(*names, *[f"__{out}_{field}" for field in ("words", "items", "spans")])
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        return docs.withColumn(out, _hits(F.col(text), first, window))
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    found = None
+    for items_of in chain([first, second], groups):
+        part = rows.select(ROW, _hits(F.col(text), items_of, window).alias("h")).select(ROW, "h.*")
+        # the first part has every row, for its number of words
+        part = cut(part if found is None else part.where(F.size("words") > 0))
+        found = part if found is None else found.unionByName(part)
+    all_of = lambda field: F.array_sort(F.array_distinct(F.flatten(F.collect_list(field)))).alias(field)
+    joined = found.groupBy(ROW).agg(F.max("n_words").alias("n_words"), *[all_of(f) for f in ("words", "items", "spans")]).select(
+        ROW, F.struct("n_words", "words", "items", _merged(F.col("spans")).alias("spans")).alias(out))
+    return rows.drop(out).join(joined, ROW).drop(ROW)
 
 
 def _merged(spans: Column) -> Column:
