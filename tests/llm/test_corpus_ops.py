@@ -335,7 +335,9 @@ def test_url_filter_empty(spark):
 TALK = [(1, 0, "Hello there\nmy old friend.\n\nHow are you?"), (1, 1, "Ann wrote:\n> Hello there\n> my old friend.\nFine thanks."), (1, 2, "Something else."),
         (1, 3, "Bob wrote:\n> Ann wrote:\n> > Hello there my old\n> > friend.\n> Fine thanks.\nGlad to hear."), (1, 4, "> How are you?\nGood."), (1, 5, "> unknown\nhm"),
         (1, 5000, ">  FINE   thanks.\nyes"), (2, 0, "> Hello there\nx"), (2, 1, "later\n\nwords"), (2, 2, "words"), (2, 3, "> words\nsame"), (None, 1, "> a"), (3, None, "> b"), (4, 1, None),
-        (4, 2, ""), (4, 3, "a > b"), (4, 3, "a > b"), (5, 1, "> " * 500 + "deep\n" + "x\n" * 3000)]
+        (4, 2, ""), (4, 3, "a > b"), (4, 3, "a > b"), (5, 1, "> " * 500 + "deep\n" + "x\n" * 3000),
+        (6, 0, "alpha beta\ngamma delta\nepsilon zeta\n\nsecond part"), (6, 1, "> alpha beta\n> Gamma  delta\nyes"), (6, 2, "> epsilon zeta\n> second part\nno"),
+        (6, 3, "> alpha beta\n> of other words\nhm"), (6, 4, "Gamma delta\nmore"), (6, 5, "> beta\n> gamma delta\nok")]
 
 
 def test_quotes_are_linked_and_removed(spark):
@@ -349,6 +351,8 @@ def test_quotes_are_linked_and_removed(spark):
     assert by[1, 5000] == (1, 1, 1, 0, "yes") and by[1, 5] == (1, 0, None, 5, "hm") and by[1, 2] == (0, 0, None, 2, "Something else.")
     assert by[2, 0][2] is None and by[2, 3][2] == 2  # never from another conversation, the latest of equals
     assert by[None, 1][3] == 1 and by[3, None][3] is None and by[4, 1][4] is None and by[4, 3][4] == "a > b" and by[5, 1][0] == 1
+    # a trimmed quote, two paragraphs in one, and quotes of which half of the words or less, and more than half, are found
+    assert [by[6, t][:4] for t in (1, 2, 3, 5)] == [(1, 1, 0, 0), (1, 1, 0, 0), (1, 0, None, 3), (1, 1, 4, 4)]
     order = [(r.thread, r.turn) for r in rows if r.conv_id == 1]
     assert order == sorted(order)
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, text string")
@@ -357,7 +361,7 @@ def test_quotes_are_linked_and_removed(spark):
 
 def test_quotes_equal_sql(spark, database, tmp_path):
     rng = random.Random(12)
-    lines = ["Hello there", "my old friend.", "", "> Hello there", "> my old friend.", ">> Hello there", "Ann wrote:", "Fine  THANKS.", "> fine thanks.", ">", "> > my old friend."]
+    lines = ["Hello there", "my old friend.", "", "> Hello there", "> my old friend.", ">> Hello there", "Ann wrote:", "Fine  THANKS.", "> fine thanks.", ">", "> > my old friend.", "a third line", "> a third line"]
     more = [(9, t, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for t in range(40)]
     talk = spark.createDataFrame([(c, t, "user", x) for c, t, x in TALK + more], "conv_id bigint, turn bigint, role string, text string")
     talk.write.parquet(f"{tmp_path}/conversations.parquet")

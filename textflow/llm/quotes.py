@@ -4,7 +4,10 @@ A line's quote level is the number of ``>`` marks it starts with. Neighbouring
 lines of one level make a passage (a blank line ends it); passages are
 normalised (lower case, white space as one space) and hashed. A quoted passage
 is linked to the latest earlier message of its conversation that wrote the
-same passage, or a line that is the passage, itself. The message that most of a message's
+same passage, or a line that is the passage, itself. A passage of several lines
+that nothing earlier equals (a trimmed quote, or paragraphs quoted without the blank line between) is
+linked by its lines: to the message that the latest earlier writers of its lines name
+for more than half of its words. The message that most of a message's
 directly quoted words lead to is the one it replies to. Threads
 follow the replies to their first message; a conversation is ordered by
 thread and then by turn, so that a reply comes after what it answers, and its
@@ -49,9 +52,9 @@ def lines(text: Column) -> Column:
 
 
 def quoted_passages(messages: DataFrame) -> DataFrame:
-    """``(conv, turn, at, level, body)`` of the quoted passages of messages
+    """``(conv, turn, at, level, body, lines)`` of the quoted passages of messages
     ``(conv, turn, text)``: runs of lines of one level, ``at`` numbering the
-    runs of a message. Lines are numbered within their own message only."""
+    runs of a message and ``lines`` holding the run's normalised lines. Lines are numbered within their own message only."""
     rows = messages.where(F.col("text").contains(">")).withColumn("row", F.monotonically_increasing_id())
     split = rows.select("row", "conv", "turn", F.posexplode(lines(F.col("text"))).alias("pos", "line")).select(
         "row", "conv", "turn", "pos", "line.*")
@@ -59,7 +62,8 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
     new = F.lag("level").over(by).isNull() | (F.lag("level").over(by) != F.col("level")) | F.col("blank") | F.lag("blank").over(by)
     runs = split.withColumn("new", new.cast("int")).withColumn("at", F.sum("new").over(by)).where("level > 0 and not blank")
     bodies = F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"])
-    return (runs.groupBy("row", "conv", "turn", "at", "level").agg(normalised(F.array_join(bodies, " ")).alias("body"))
+    return (runs.groupBy("row", "conv", "turn", "at", "level").agg(
+                normalised(F.array_join(bodies, " ")).alias("body"), F.filter(F.transform(bodies, normalised), lambda x: x != "").alias("lines"))
             .where((F.col("body") != "") & ~F.col("body").rlike(ANNOUNCES)).drop("row"))
 
 
@@ -97,6 +101,21 @@ def _latest_writer(quoted: DataFrame, written: DataFrame) -> DataFrame:
     return found.select(*keys, "turn", F.coalesce("near", "carried").alias("source")).where("source is not null")
 
 
+def _by_lines(passages: DataFrame, written: DataFrame) -> DataFrame:
+    """``passages`` of two lines or more with ``source``, the message that most of their
+    words lead to line by line (the latest of equals), if that is more than half of the words."""
+    keys = ["conv", "turn", "at", "level", "body", "hash"]
+    split = passages.where(F.size("lines") > 1).select(*keys, F.explode("lines").alias("line")).withColumnRenamed("hash", "whole")
+    split = cut(split.withColumn("hash", F.sha2("line", 256)))
+    keys[-1] = "whole"
+    words = lambda text: F.size(F.split(text, " "))
+    named = split.join(_latest_writer(split.select("conv", "turn", "hash"), written), ["conv", "turn", "hash"])
+    best = (named.groupBy(*keys, "source").agg(F.sum(words("line")).alias("words"))
+            .groupBy(*keys).agg(F.max(F.struct("words", "source")).alias("best")))
+    return best.where(2 * F.col("best.words") > words("body")).select(
+        *keys[:-1], F.col("whole").alias("hash"), F.col("best.source").alias("source"))
+
+
 def _threads(replies: DataFrame) -> DataFrame:
     """``(conv, turn, thread)``: the first message that the replies ``(conv,
     turn, source)`` lead back to, by pointer jumping."""
@@ -118,10 +137,12 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     conversation, thread and turn; columns of these names are replaced."""
     base = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("turn"), F.col(text).alias("text")).where(
         "conv is not null and turn is not null and text <> ''")
-    quoted = cut(quoted_passages(base).withColumn("hash", F.sha2("body", 256)).distinct())
+    once = quoted_passages(base).groupBy("conv", "turn", "at", "level", "body").agg(F.max("lines").alias("lines"))
+    quoted = cut(once.withColumn("hash", F.sha2("body", 256)))
     asked = base.join(quoted.select("conv").distinct(), "conv", "left_semi")
     written = written_passages(asked).select("conv", "turn", F.sha2("body", 256).alias("hash"))
-    linked = cut(quoted.join(_latest_writer(quoted.select("conv", "turn", "hash"), written), ["conv", "turn", "hash"]))
+    found = cut(quoted.join(_latest_writer(quoted.select("conv", "turn", "hash"), written), ["conv", "turn", "hash"], "left"))
+    linked = cut(found.where("source is not null").drop("lines").unionByName(_by_lines(found.where("source is null"), written)))
     # a message's own quotes are its lowest level; deeper ones were quoted by others
     votes = (linked.groupBy("conv", "turn", "level", "source").agg(F.sum(F.size(F.split("body", " "))).alias("words"))
              .groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "words", "source")).alias("best")))
@@ -152,12 +173,18 @@ p AS (SELECT r, conv, turn, pos, len(marks) - len(replace(marks, '>', '')) AS le
 b AS (SELECT *, {clean('body')} = '' AS blank FROM p),
 n AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY pos) AS part FROM (SELECT *, CASE WHEN lag(level) OVER o IS NULL OR lag(level) OVER o <> level
         OR blank OR lag(blank) OVER o THEN 1 ELSE 0 END AS new FROM b WINDOW o AS (PARTITION BY r ORDER BY pos))),
-g AS (SELECT r, conv, turn, part, level, {clean("string_agg(body, ' ' ORDER BY pos)")} AS body FROM n
+g AS (SELECT r, conv, turn, part, level, {clean("string_agg(body, ' ' ORDER BY pos)")} AS body, list({clean('body')} ORDER BY pos) AS lines FROM n
       WHERE NOT blank AND conv IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-quoted AS (SELECT DISTINCT conv, turn, part, level, body FROM g WHERE level > 0 AND NOT regexp_matches(body, '{ANNOUNCES}')),
+quoted AS (SELECT conv, turn, part, level, body, max(lines) AS lines FROM g WHERE level > 0 AND NOT regexp_matches(body, '{ANNOUNCES}') GROUP BY ALL),
 written AS (SELECT conv, turn, body FROM g WHERE level = 0 UNION SELECT conv, turn, {clean('body')} FROM b WHERE level = 0 AND NOT blank),
-linked AS (SELECT q.conv, q.turn, q.part, q.level, q.body, max(w.turn) AS source FROM quoted q JOIN written w
-           ON q.conv = w.conv AND q.body = w.body AND w.turn < q.turn AND NOT regexp_matches(w.body, '{ANNOUNCES}') GROUP BY ALL),
+whole AS (SELECT q.conv, q.turn, q.part, q.level, q.body, max(w.turn) AS source FROM quoted q JOIN written w
+          ON q.conv = w.conv AND q.body = w.body AND w.turn < q.turn AND NOT regexp_matches(w.body, '{ANNOUNCES}') GROUP BY ALL),
+split AS (SELECT *, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM quoted ANTI JOIN whole USING (conv, turn, part, level, body) WHERE len(lines) > 1),
+named AS (SELECT s.conv, s.turn, s.part, s.level, s.body, s.pos, s.line, max(w.turn) AS source FROM split s JOIN written w
+          ON s.conv = w.conv AND s.line = w.body AND w.turn < s.turn AND NOT regexp_matches(w.body, '{ANNOUNCES}') GROUP BY ALL),
+sums AS (SELECT conv, turn, part, level, body, source, sum(len(string_split(line, ' '))) AS words FROM named GROUP BY ALL),
+linked AS (FROM whole UNION ALL SELECT conv, turn, part, level, body, source FROM sums
+  QUALIFY row_number() OVER (PARTITION BY conv, turn, part, level, body ORDER BY words DESC, source DESC) = 1 AND 2 * words > len(string_split(body, ' '))),
 votes AS (SELECT conv, turn, level, source, sum(len(string_split(body, ' '))) AS words FROM linked GROUP BY ALL),
 replies AS (SELECT conv, turn, source FROM (SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY level, words DESC, source DESC) AS k FROM votes) WHERE k = 1),
 up(conv, turn, thread) AS (SELECT conv, turn, source FROM replies UNION ALL
