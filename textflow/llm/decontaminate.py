@@ -1,10 +1,9 @@
 """Benchmark decontamination by one Aho-Corasick automaton.
 
 Every window of ``window`` consecutive words of a benchmark item is a pattern
-(an item of fewer words, but not none, is one pattern). The automaton's letters
-are the benchmark's words, numbered, so it has a state per word of a
-pattern. Texts are lower-cased (A-Z), cut into words and scanned once; the places
-found are word numbers, and are mapped to byte offsets of the original text.
+(an item of fewer words, but not none, is one pattern). Texts are lower-cased
+(A-Z), their words joined by single spaces, and scanned once; the places found
+are mapped back to word numbers and byte offsets of the original text.
 
 A benchmark too large for one automaton is split by item. Its automata are used in
 jobs of their own, one after the other, so that a worker never holds two.
@@ -28,9 +27,10 @@ from pyspark.sql import functions as F
 from .shared import ASCII_WORDS, as_bytes, cut
 
 WINDOW = 10
-#: Text of the items in one automaton, which every task holds. A larger
+#: Text of the items in one automaton, which every task holds: a window starts at each
+#: word, so an automaton takes about 400 bytes for a byte of text. A larger
 #: benchmark is split by item into several automata, and texts are scanned by each.
-MAX_AUTOMATON_BYTES = 2 << 20
+MAX_AUTOMATON_BYTES = 512 << 10
 
 ROW = "__decontaminated_row"
 HITS = "n_words bigint, words array<int>, items array<string>, spans array<struct<first:int,last:int,start:int,end:int>>"
@@ -52,27 +52,33 @@ def _words(text: bytes | None) -> list[bytes]:
     return text.translate(ASCII_WORDS).split() if text else []
 
 
-def windows(items: list[tuple[str | None, str]], window: int) -> tuple[dict[bytes, int], dict[tuple[int, ...], list[str]]]:
-    """The numbers of the items' words (from 1), and pattern -> ids of the items that hold it."""
-    numbers: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[str]] = {}
+def windows(items: list[tuple[str | None, str]], window: int) -> dict[str, list[str]]:
+    """Pattern -> ids of the items that hold it. Patterns start and end with a
+    space; bytes are written as Latin-1 characters."""
+    found: dict[str, set[str]] = {}
     for item, text in items:
-        words = [numbers.setdefault(w, len(numbers) + 1) for w in _words(text.encode())]
+        words = _words(text.encode())
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(tuple(words[i:i + window]), set()).update([item] if item is not None else [])
-    return numbers, {p: sorted(ids) for p, ids in found.items()}
+            pattern = b" %s " % b" ".join(words[i:i + window])
+            found.setdefault(pattern.decode("latin-1"), set()).update([item] if item is not None else [])
+    return {p: sorted(ids) for p, ids in found.items()}
 
 
-def _automaton(patterns: dict[tuple[int, ...], list[str]]):
+def _automaton(patterns: dict[str, list[str]]):
     import ahocorasick
 
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    automaton = ahocorasick.Automaton()
     for p, ids in patterns.items():
         automaton.add_word(p, (len(p), ids))
     automaton.make_automaton()
     return automaton
 
 
+def _starts(words: list[bytes]) -> np.ndarray:
+    """Offsets of the words in their text joined by spaces, one space ahead."""
+    return np.cumsum([1, *map(len, words)], dtype=np.int64) + np.arange(len(words) + 1)
+
+
 def _original(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word as byte offsets of the original text."""
     inside = np.frombuffer(b" " + text.translate(ASCII_WORDS) + b" ", np.uint8) != 32
@@ -80,18 +86,23 @@ def _original(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-def scan(text: bytes | None, numbers: dict[bytes, int], automaton) -> dict:
+def scan(text: bytes | None, automaton) -> dict:
     words = _words(text)
     out = {"n_words": len(words), "words": [], "items": [], "spans": []}
-    if not words or not numbers:
+    if not words or not len(automaton):
         return out
-    # 0 is any word that the benchmark lacks
-    places = {(last - length + 1, last + 1): ids for last, (length, ids) in automaton.iter(tuple([numbers.get(w, 0) for w in words]))}
+    line = b" %s " % b" ".join(words)
+    places = {}
+    for end, (length, ids) in automaton.iter(line.decode("latin-1")):
+        places[end - length + 2, end] = ids  # first letter and the space after the last
     if not places:
         return out
+    starts = _starts(words)
     edges = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edges, [first for first, _ in places], 1)
-    np.add.at(edges, [after for _, after in places], -1)
+    first = np.searchsorted(starts, [s for s, _ in places])
+    last = np.searchsorted(starts, [e for _, e in places])  # the word after the last
+    np.add.at(edges, first, 1)
+    np.add.at(edges, last, -1)
     hit = np.flatnonzero(np.cumsum(edges[:-1]))
     runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
     begin, stop = _original(text)
@@ -105,12 +116,11 @@ def scan(text: bytes | None, numbers: dict[bytes, int], automaton) -> dict:
 def _hits(text: Column, items: list[tuple[str | None, str]], window: int) -> Column:
     @F.arrow_udf(HITS)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        numbers, patterns = windows(items, window)
-        automaton = _automaton(patterns)
+        automaton = _automaton(windows(items, window))
         kind = pa.struct([("n_words", pa.int64()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string())),
                           ("spans", pa.list_(pa.struct([(k, pa.int32()) for k in ("first", "last", "start", "end")])))])
         for batch in batches:
-            yield pa.array([scan(t, numbers, automaton) for t in as_bytes(batch)], kind)
+            yield pa.array([scan(t, automaton) for t in as_bytes(batch)], kind)
 
     return hits.asNondeterministic()(text)
 
