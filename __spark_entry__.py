@@ -30,6 +30,7 @@ from textflow.operators import models as MO
 from textflow.operators import sampling as SA
 from textflow.operators import term_index as TI
 from textflow.operators import topic_tables as TT
+from textflow.operators import word_tables as WT
 from textflow.operators import topics as TO
 from textflow.operators import vocab as VO
 from textflow.plans import classifier as PC
@@ -315,6 +316,18 @@ def q_word_vector_vocab(spark, d):
     return FE.counted_words(_main_tokens(spark, d)).select("word")
 
 
+def q_word_vector_tables(spark, d):
+    """Vectors by tables, with the weight of each word's neighbours (times the window of 5)."""
+    toks = _main_tokens(spark, d)
+    words = WT.fit_word_tables(toks)
+    rows = TI.numbered(toks.select("filtered"))
+    pairs = WT.neighbour_pairs(rows, words.withColumn("index", F.col("term")), "filtered", 5)
+    near = pairs.groupBy(F.col("a").alias("term")).agg(F.round(F.sum(F.col("weight").cast("double")) * 5).cast("long").alias("near"))
+    finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    return words.join(near, "term", "left").select(F.col("term").alias("word"), "n", F.coalesce("near", F.lit(0)).cast("long").alias("near"),
+                                                   F.size("vector").cast("long").alias("width"), finite.alias("is_finite"))
+
+
 def q_explore_vector_vocab(spark, d):
     """Words with a vector in the exploration: count 4 at least, stop words kept."""
     docs = PL.clean_corpus(_docs(spark, d), "explore", "text")
@@ -808,6 +821,13 @@ def _oracles() -> dict[str, str]:
                           "CASE WHEN doc_id % 11 = 0 THEN 'columns' WHEN doc_id % 7 = 0 THEN 'type of target' ELSE '' END AS reason FROM labels"),
         "word_vector_vocab": (f"WITH {_main_tokens_cte()} SELECT term AS word FROM "
                               f"(SELECT unnest(f) AS term FROM toks) GROUP BY term HAVING count(*) >= 2"),
+        "word_vector_tables": (f"WITH {_main_tokens_cte()}, u AS (SELECT qid, unnest(f) AS term, unnest(range(len(f))) AS i FROM toks), "
+                               f"c AS (SELECT term, count(*) AS n FROM u GROUP BY term HAVING count(*) >= 2), "
+                               f"k AS (SELECT term, n, row_number() OVER (PARTITION BY qid ORDER BY i) AS p, count(*) OVER (PARTITION BY qid) AS l "
+                               f"FROM u JOIN c USING (term)), "
+                               f"d AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS d FROM k) "
+                               f"SELECT term AS word, n, sum((6 - d) * ((p > d)::INT + (p + d <= l)::INT))::BIGINT AS near, "
+                               f"100::BIGINT AS width, true AS is_finite FROM d GROUP BY term, n"),
         "explore_vector_vocab": f"{_explore_tokens_cte()} SELECT word, n FROM counted WHERE n >= 4",
         # --- model outputs ---
         "word_vectors": (f"WITH {_main_tokens_cte()}, w AS (SELECT qid, unnest(f) AS word FROM toks), "
