@@ -353,12 +353,28 @@ def test_quotes_are_linked_and_removed(spark):
     assert by[None, 1][3] == 1 and by[3, None][3] is None and by[4, 1][4] is None and by[4, 3][4] == "a > b" and by[5, 1][0] == 1
     # a trimmed quote, two paragraphs in one, and quotes of which half of the words or less, and more than half, are found
     assert [by[6, t][:4] for t in (1, 2, 3, 5)] == [(1, 1, 0, 0), (1, 1, 0, 0), (1, 0, None, 3), (1, 1, 4, 4)]
-    order = [(r.thread, r.turn) for r in rows if r.conv_id == 1]
-    assert order == sorted(order)
+    order = [(r.thread, r.position, r.turn) for r in rows if r.conv_id == 1]
+    assert order == [(0, 0, 0), (0, 1, 1), (0, 2, 3), (0, 3, 5000), (0, 4, 4), (2, 0, 2), (5, 0, 5)]  # along the replies, not by turn
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, text string")
     assert quotes.link(empty).collect() == []
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_replies_are_walked_in_order(spark, block, monkeypatch):
+    monkeypatch.setattr(quotes, "BLOCK", block)
+    rng = random.Random(4)
+    replies = {(1, t): rng.randrange(max(0, t - 6), t) for t in range(1, 60) if t % 9}
+    replies |= {(2, t): t - 1 for t in range(1, 120)} | {(3, t): 0 for t in range(1, 60)} | {(2, 500): 400}
+
+    def walk(conv, turn):
+        return [turn] + [t for (c, kid), to in sorted(replies.items()) if (c, to) == (conv, turn) for t in walk(conv, kid)]
+
+    starts = sorted({(c, to) for (c, _), to in replies.items()} - set(replies))
+    expected = {(c, t): (start, i) for c, start in starts for i, t in enumerate(walk(c, start))}
+    rows = quotes._walked(spark.createDataFrame([(*k, v) for k, v in replies.items()], "conv bigint, turn bigint, source bigint")).collect()
+    assert len(rows) == len(expected) and {(r.conv, r.turn): (r.thread, r.position) for r in rows} == expected
+
+
 def test_quotes_equal_sql(spark, database, tmp_path):
     rng = random.Random(12)
     lines = ["Hello there", "my old friend.", "", "> Hello there", "> my old friend.", ">> Hello there", "Ann wrote:", "Fine  THANKS.", "> fine thanks.", ">", "> > my old friend.", "a third line", "> a third line"]

@@ -10,16 +10,16 @@ linked by its lines: to the message that the latest earlier writers of its lines
 for more than half of its words. The message that most of a message's
 directly quoted words lead to is the one it replies to. Threads
 follow the replies to their first message; a conversation is ordered by
-thread and then by turn, so that a reply comes after what it answers, and its
-messages are given without quotes and without the line that announces one.
+thread and within it along the replies: a message, then each reply to it with all that follows
+from it, by turn. Its messages are given without quotes and without the line that announces one.
 
 Messages are never gathered by conversation: the latest earlier writer is found in
 two steps, within blocks of ``BLOCK`` turns and over the blocks, so that one
 conversation may hold any share of the rows.
 
 Defined cases: a null or empty text has no passages and stays as it is; a null
-conversation or turn is never linked and is a thread of its own; of repeated
-rows each is kept and linked alike; a passage that quotes nothing earlier has
+conversation or turn is never linked and is a thread of its own, at position 0; of repeated
+rows each is kept and linked alike, at one position; a passage that quotes nothing earlier has
 no link; ties between messages replied to go to the latest.
 """
 
@@ -116,25 +116,46 @@ def _by_lines(passages: DataFrame, written: DataFrame) -> DataFrame:
         *keys[:-1], F.col("whole").alias("hash"), F.col("best.source").alias("source"))
 
 
-def _threads(replies: DataFrame) -> DataFrame:
-    """``(conv, turn, thread)``: the first message that the replies ``(conv,
-    turn, source)`` lead back to, by pointer jumping."""
-    heads = cut(replies.select("conv", "turn", F.col("source").alias("thread")))
-    while True:
-        up = heads.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("thread").alias("up"))
-        moved = cut(heads.join(up, (F.col("conv") == F.col("c")) & (F.col("thread") == F.col("t")), "left")
-                    .select("conv", "turn", F.coalesce("up", "thread").alias("thread"), F.col("up").isNotNull().alias("moved")))
-        drop(heads)
-        heads = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return heads
+def _walked(replies: DataFrame) -> DataFrame:
+    """``(conv, turn, thread, position)`` of the messages in ``replies`` (conv, turn,
+    source): the first message that the replies lead back to, and the number of the thread's messages
+    before this one, where a message comes before its replies and these come by turn.
+
+    A walk through a thread goes into a message, through its replies, and out of it. Its steps are a list,
+    each with the step before it, and are ranked by pointer jumping: no two steps of a round look up the same step,
+    and no path is held, whatever the depth of a thread or the number of replies to a message."""
+    kids = replies.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    near = F.lag("turn").over(Window.partitionBy("conv", "source", "block").orderBy("turn"))
+    over = Window.partitionBy("conv", "source").orderBy("block")
+    blocks = kids.groupBy("conv", "source", "block").agg(F.max("turn").alias("last")).withColumn("carried", F.lag("last").over(over))
+    before = kids.withColumn("near", near).join(blocks, ["conv", "source", "block"]).select(
+        "conv", "turn", "source", F.coalesce("near", "carried").alias("sibling"))
+    last = replies.groupBy("conv", "source").agg(F.max("turn").alias("last")).withColumnRenamed("source", "turn")
+    tree = cut(before.join(last, ["conv", "turn"], "full"))
+    step = lambda out, to, to_out: tree.select("conv", "turn", F.lit(out).alias("out"), to.alias("to"), to_out.alias("to_out"))
+    steps = step(False, F.coalesce("sibling", "source"), F.col("sibling").isNotNull()).unionByName(
+        step(True, F.coalesce("last", "turn"), F.col("last").isNotNull()))
+    # a step into a message counts for those behind it; a thread's first step has none before it
+    steps = cut(steps.select("*", F.when(F.col("to").isNotNull() & ~F.col("to_out"), 1).otherwise(0).cast("bigint").alias("position"),
+                             F.when(F.col("to").isNull(), F.col("turn")).alias("thread")))
+    drop(tree)
+    while not steps.where("to is not null").isEmpty():
+        ahead = steps.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("out").alias("o"), F.col("to").alias("further"),
+                             F.col("to_out").alias("further_out"), F.col("position").alias("more"), F.col("thread").alias("first"))
+        jumped = steps.where("to is not null").join(ahead, (F.col("conv") == F.col("c")) & (F.col("to") == F.col("t")) & (F.col("to_out") == F.col("o"))).select(
+            "conv", "turn", "out", F.col("further").alias("to"), F.col("further_out").alias("to_out"),
+            (F.col("position") + F.col("more")).alias("position"), F.col("first").alias("thread"))
+        moved = cut(jumped.unionByName(steps.where("to is null")))
+        drop(steps)
+        steps = moved
+    return steps.where("not out").select("conv", "turn", "thread", "position")
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """``messages`` with ``n_quoted`` (quoted passages), ``n_linked`` (those
     found in an earlier message), ``reply_to`` (turn replied to, else null),
-    ``thread`` (turn of the thread's first message) and ``clean_text``, ordered by
-    conversation, thread and turn; columns of these names are replaced."""
+    ``thread`` (turn of the thread's first message), ``position`` (its place in the thread, from 0)
+    and ``clean_text``, ordered by conversation, thread and position; columns of these names are replaced."""
     base = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("turn"), F.col(text).alias("text")).where(
         "conv is not null and turn is not null and text <> ''")
     once = quoted_passages(base).groupBy("conv", "turn", "at", "level", "body").agg(F.max("lines").alias("lines"))
@@ -149,15 +170,15 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     replies = cut(votes.select("conv", "turn", F.col("best.source").alias("source")))
     counts = (quoted.groupBy("conv", "turn").agg(F.count("*").alias("n_quoted"))
               .join(linked.groupBy("conv", "turn").agg(F.count("*").alias("n_linked")), ["conv", "turn"], "left"))
-    facts = counts.join(replies, ["conv", "turn"], "left").join(_threads(replies), ["conv", "turn"], "left").select(
+    facts = counts.join(replies, ["conv", "turn"], "left").join(_walked(replies), ["conv", "turn"], "left").select(
         F.col("conv").alias("__conv"), F.col("turn").alias("__turn"), F.col("n_quoted").alias("__quoted"),
-        F.col("n_linked").alias("__linked"), F.col("source").alias("__source"), F.col("thread").alias("__thread"))
+        F.col("n_linked").alias("__linked"), F.col("source").alias("__source"), F.col("thread").alias("__thread"), F.col("position").alias("__position"))
     out = messages.join(facts, (messages[conv] == facts["__conv"]) & (messages[turn] == facts["__turn"]), "left")
     done = out.withColumns({
         "n_quoted": F.coalesce("__quoted", F.lit(0)), "n_linked": F.coalesce("__linked", F.lit(0)), "reply_to": F.col("__source"),
-        "thread": F.coalesce("__thread", F.col(turn).cast("bigint")), "clean_text": without_quotes(F.col(text)),
-    }).drop("__conv", "__turn", "__quoted", "__linked", "__source", "__thread")
-    return done.orderBy(conv, "thread", turn)
+        "thread": F.coalesce("__thread", F.col(turn).cast("bigint")), "position": F.coalesce("__position", F.lit(0).cast("bigint")), "clean_text": without_quotes(F.col(text)),
+    }).drop("__conv", "__turn", "__quoted", "__linked", "__source", "__thread", "__position")
+    return done.orderBy(conv, "thread", "position", turn)
 
 
 def oracle_sql() -> str:
@@ -187,14 +208,14 @@ linked AS (FROM whole UNION ALL SELECT conv, turn, part, level, body, source FRO
   QUALIFY row_number() OVER (PARTITION BY conv, turn, part, level, body ORDER BY words DESC, source DESC) = 1 AND 2 * words > len(string_split(body, ' '))),
 votes AS (SELECT conv, turn, level, source, sum(len(string_split(body, ' '))) AS words FROM linked GROUP BY ALL),
 replies AS (SELECT conv, turn, source FROM (SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY level, words DESC, source DESC) AS k FROM votes) WHERE k = 1),
-up(conv, turn, thread) AS (SELECT conv, turn, source FROM replies UNION ALL
-  SELECT up.conv, up.turn, replies.source FROM up JOIN replies ON up.conv = replies.conv AND up.thread = replies.turn),
-heads AS (SELECT conv, turn, min(thread) AS thread FROM up GROUP BY ALL),
+walk(conv, turn, path) AS (SELECT DISTINCT conv, source, [source] FROM replies s WHERE NOT EXISTS (FROM replies r WHERE r.conv = s.conv AND r.turn = s.source)
+  UNION ALL SELECT r.conv, r.turn, list_append(walk.path, r.turn) FROM walk JOIN replies r ON r.conv = walk.conv AND r.source = walk.turn),
+heads AS (SELECT conv, turn, path[1] AS thread, row_number() OVER (PARTITION BY conv, path[1] ORDER BY path) - 1 AS position FROM walk),
 cq AS (SELECT conv, turn, count(*) AS n FROM quoted GROUP BY ALL), cl AS (SELECT conv, turn, count(*) AS n FROM linked GROUP BY ALL),
 kept AS (SELECT r, trim(string_agg(body, chr(10) ORDER BY pos)) AS clean FROM (SELECT *, coalesce(lead(level) OVER (PARTITION BY r ORDER BY pos), 0) AS below FROM b)
          WHERE level = 0 AND NOT (below > 0 AND regexp_matches(body, '{ANNOUNCES}')) GROUP BY r)
 SELECT m.conv_id, m.turn, m.role, coalesce(cq.n, 0)::BIGINT AS n_quoted, coalesce(cl.n, 0)::BIGINT AS n_linked, replies.source AS reply_to,
-  coalesce(heads.thread, m.turn) AS thread, CASE WHEN contains(text, '>') THEN coalesce(kept.clean, '') ELSE text END AS clean_text
+  coalesce(heads.thread, m.turn) AS thread, coalesce(heads.position, 0)::BIGINT AS position, CASE WHEN contains(text, '>') THEN coalesce(kept.clean, '') ELSE text END AS clean_text
 FROM m LEFT JOIN cq ON m.conv_id = cq.conv AND m.turn = cq.turn LEFT JOIN cl ON m.conv_id = cl.conv AND m.turn = cl.turn
 LEFT JOIN replies ON m.conv_id = replies.conv AND m.turn = replies.turn LEFT JOIN heads ON m.conv_id = heads.conv AND m.turn = heads.turn
 LEFT JOIN kept USING (r)"""

@@ -33,7 +33,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")).select(
-        "conv_id", "turn", "role", "n_quoted", "n_linked", "reply_to", "thread", "clean_text")
+        "conv_id", "turn", "role", "n_quoted", "n_linked", "reply_to", "thread", "position", "clean_text")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
