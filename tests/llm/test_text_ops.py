@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,8 +59,11 @@ def test_bpe_empty_tables_and_negative_ids(spark, bpe):
     none = frame(spark, [], "text string")
     assert none.select(byte_bpe.encode(F.col("text"), tokens, pattern).alias("i")).collect() == []
     assert registry.token_digests(frame(spark, [], "doc_id bigint, text string"), tokens, pattern).collect() == []
-    with pytest.raises(Exception, match="negative"):
-        frame(spark, [([0, -1],)], "ids array<int>").select(byte_bpe.decode(F.col("ids"), tokens)).collect()
+    for bad in ([0, -1], [len(tokens)], [1, None]):
+        with pytest.raises(Exception, match="negative"):
+            frame(spark, [(bad,)], "ids array<int>").select(byte_bpe.decode(F.col("ids"), tokens)).collect()
+    rows = frame(spark, [(None,), ([],), ([300, 5],), (None,), ([7],)], "ids array<int>").coalesce(1).select(byte_bpe.decode(F.col("ids"), tokens).alias("b")).collect()
+    assert [r.b and bytes(r.b) for r in rows] == [None, b"", tokens[300] + tokens[5], None, tokens[7]]
 
 
 def test_bpe_long_texts_are_read_in_pieces(bpe, monkeypatch):
@@ -69,6 +73,9 @@ def test_bpe_long_texts_are_read_in_pieces(bpe, monkeypatch):
     encoder = byte_bpe._Encoder(byte_bpe.model_bytes(tokens), tokens, pattern)
     text = "some longer text, with " * 40
     assert encoder(text).tolist() == reference.encode_ordinary(text)
+    texts = ["some", None, text, "", "with more words in it", text, "x" * 70, "end"]
+    found = [np.frombuffer(ids, np.int32).tolist() for ids in encoder.each(texts)]
+    assert found == [reference.encode_ordinary(t or "") for t in texts]
 
 
 def test_op7_whole_table(spark, bpe):

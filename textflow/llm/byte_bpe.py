@@ -8,7 +8,8 @@ rank. Texts are split by a pattern into pre-tokens, each encoded by itself; ids
 are decoded by the inverse of the byte mapping.
 
 Defined cases: a null text counts as empty and has no ids; ids outside the
-vocabulary raise an error in ``decode``; special tokens are ordinary text.
+vocabulary and null ids within an array raise an error in ``decode``; special tokens are ordinary text;
+repeated rows are encoded one by one, a pre-token that repeats only once while a task remembers it.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from __future__ import annotations
 import base64
 import struct
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ MAX_VOCABULARY_BYTES = 32 << 20
 #: Byte b is written as this code point plus b: no white space, no mark of sentencepiece's own.
 FIRST_CHARACTER = 0x100
 #: Entries of a task's memory of encoded pre-tokens, and the longest pre-token it holds.
-MEMORY_ENTRIES, MEMORY_LENGTH = 1 << 17, 64
-#: Texts beyond this many characters are split by the pattern piece after piece.
+MEMORY_ENTRIES, MEMORY_LENGTH = 1 << 18, 64
+#: Texts are split and learned together up to this many characters; a text beyond it is split piece after piece.
 LONG_TEXT = 1 << 20
 
 _TO_CHARACTERS = {b: chr(FIRST_CHARACTER + b) for b in range(256)}
@@ -104,48 +106,67 @@ class _Encoder:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.whole = {t: (i,) for i, t in enumerate(tokens)}  # a pre-token that is a token needs no merges
+        self.whole = {t: array("i", [i]).tobytes() for i, t in enumerate(tokens)}  # a pre-token that is a token needs no merges
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        found, rest = {}, []
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        found, rest, ends, raws = {}, [], [0], bytearray()
         for w in words:
             raw = w.encode()
             ids = self.whole.get(raw)
             if ids is None:
-                rest.append((w, _mapped(raw)))
+                rest.append(w)
+                raws += raw
+                ends.append(len(raws))
             else:
                 found[w] = ids
-        for (w, _), ids in zip(rest, self.model.encode([m for _, m in rest], num_threads=1), strict=True):
-            found[w] = tuple(ids)
+        mapped = (np.frombuffer(raws, np.uint8).astype("<u2") + FIRST_CHARACTER).tobytes().decode("utf-16-le")  # all at once
+        encoded = self.model.encode([mapped[i:j] for i, j in pairwise(ends)], num_threads=1)
+        for w, ids in zip(rest, encoded, strict=True):
+            found[w] = array("i", ids).tobytes()
         return found
 
-    def _ids(self, words: list[str]) -> np.ndarray:
+    def _ids(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pre-tokens, as the bytes of int32. What is new in any of them is encoded at once."""
         if len(self.known) > MEMORY_ENTRIES:
             self.known = {}
         known = self.known
-        fresh = self._learn({w for w in words if w not in known})
+        fresh = self._learn(set(chain.from_iterable(texts)).difference(known))
         known |= fresh
-        ids = np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
+        ids = [b"".join(map(known.__getitem__, words)) for words in texts]
         for w in fresh:
             if len(w) > MEMORY_LENGTH:
                 del known[w]
         return ids
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        if len(text) <= LONG_TEXT:
-            return self._ids(self.pattern.findall(text))
+    def _long(self, text: str) -> bytes:
         parts, words, held = [], [], 0
         for m in self.pattern.finditer(text):
             words.append(m.group())
             held += len(words[-1])
             if held > LONG_TEXT:
-                parts.append(self._ids(words))
+                parts += self._ids([words])
                 words, held = [], 0
-        return np.concatenate([*parts, self._ids(words)])
+        return b"".join([*parts, *self._ids([words])])
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, as the bytes of int32; texts of ``LONG_TEXT`` characters together are held at most."""
+        held, size = [], 0
+        for text in texts:
+            text = text or ""
+            if held and size + len(text) > LONG_TEXT:
+                yield from self._ids(held)
+                held, size = [], 0
+            if len(text) > LONG_TEXT:
+                yield self._long(text)
+            else:
+                held.append(self.pattern.findall(text))
+                size += len(text)
+        yield from self._ids(held)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(next(self.each([text])), np.int32)
 
 
 def encode(text: Column, tokens: list[bytes], pattern: str) -> Column:
@@ -157,32 +178,37 @@ def encode(text: Column, tokens: list[bytes], pattern: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _Encoder(model, tokens, pattern)
         for batch in batches:
-            flat, ends = array("i"), [0]  # one text at a time beside the batch itself
-            for text in batch:
-                flat.frombytes(encoder(text.as_py()).tobytes())
-                ends.append(len(flat))
+            flat, ends = bytearray(), [0]
+            for found in encoder.each(text.as_py() for text in batch):
+                flat += found
+                ends.append(len(flat) // 4)
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
 
     return ids.asNondeterministic()(text)  # so that no rule copies the call
 
 
 def decode(ids: Column, tokens: list[bytes]) -> Column:
-    """``binary``: the bytes that ids stand for; null ids give null."""
+    """``binary``: the bytes that ids stand for; null ids give null. An array
+    with a null item or an id that stands for no token is an error."""
     written = [_mapped(t) for t in tokens]
 
     @F.arrow_udf("binary")
     def content(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = [_unmapped(p) for p in written]
+        table = pa.array(map(_unmapped, written), pa.binary())
         for batch in batches:
-            if len(batch.flatten()) and (batch.flatten().to_numpy(zero_copy_only=False) < 0).any():
-                raise ValueError("a negative id stands for no token")
-            yield pa.array([None if row is None else b"".join([table[i] for i in row]) for row in _rows(batch)],
-                           pa.binary())
+            flat = batch.flatten()
+            if flat.null_count or (len(flat) and (pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(table))):
+                raise ValueError("a null, a negative id or one beyond the vocabulary stands for no token")
+            # tokens taken one after the other are the bytes; a row ends where its last token does
+            taken = table.take(flat)
+            if isinstance(taken, pa.ChunkedArray):
+                raise ValueError("a batch beyond 2 GB of bytes; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+            _, ends, held = taken.buffers()
+            ends = np.frombuffer(ends, np.int32, len(taken) + 1) if len(taken) else np.zeros(1, np.int32)
+            of_rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy())])
+            valid = pc.is_valid(batch).cast(pa.uint8()).to_numpy()
+            yield pa.Array.from_buffers(pa.binary(), len(batch), [
+                pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), pa.py_buffer(ends[of_rows].tobytes()),
+                held if held is not None else pa.py_buffer(b"")])
 
     return content.asNondeterministic()(ids)
-
-
-def _rows(lists: pa.ListArray) -> Iterator[list[int] | None]:
-    for i in range(len(lists)):
-        row = lists[i]
-        yield row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else None
