@@ -173,6 +173,7 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     facts = counts.join(replies, ["conv", "turn"], "left").join(_walked(replies), ["conv", "turn"], "left").select(
         F.col("conv").alias("__conv"), F.col("turn").alias("__turn"), F.col("n_quoted").alias("__quoted"),
         F.col("n_linked").alias("__linked"), F.col("source").alias("__source"), F.col("thread").alias("__thread"), F.col("position").alias("__position"))
+    facts = cut(facts)  # its size is known then, and a small one spares the messages a shuffle
     out = messages.join(facts, (messages[conv] == facts["__conv"]) & (messages[turn] == facts["__turn"]), "left")
     done = out.withColumns({
         "n_quoted": F.coalesce("__quoted", F.lit(0)), "n_linked": F.coalesce("__linked", F.lit(0)), "reply_to": F.col("__source"),
