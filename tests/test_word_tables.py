@@ -64,3 +64,19 @@ def test_nearest_words_agree_with_spark(toy):
 def test_no_words(spark):
     none = spark.createDataFrame([], "filtered array<string>")
     assert fit_word_tables(none, size=4, blocks=2).collect() == []
+
+
+def test_document_means_come_from_a_table_by_blocks(spark, toy, monkeypatch):
+    """Vectors are a table, more blocks are taken for more tokens, and every row stays, also those without words."""
+    from textflow.operators import word_tables as WT
+
+    monkeypatch.setattr(WT, "BLOCK_TOKENS", 500)
+    assert WT.block_count(toy, "filtered", 2) == 8  # 3,601 tokens
+    model, out = word_vectors(toy, "id", size=6, partitions=2)
+    assert sorted(model.table.columns) == ["n", "term", "vector"]
+    words = {r.word: r.vector.toArray() for r in model.getVectors().collect()}
+    rows = out.collect()
+    assert sorted(r.id for r in rows) == [*range(300), 900, 901, 902]
+    for r in rows:
+        want = sum((words[w] for w in r.filtered or [] if w in words), np.zeros(6)) / max(len(r.filtered or []), 1)
+        assert np.allclose(r.wordvectors.toArray(), want, atol=1e-6)
