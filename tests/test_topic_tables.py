@@ -117,3 +117,15 @@ def test_no_documents(docs):
     none = docs.limit(0)
     tables = TT.fit_topic_tables(none, WIDTH, (2,), max_iter=2)
     assert TT.likelihood(TT.term_rows(none, "features"), tables).collect() == []
+
+
+def test_a_step_reads_the_rows_of_its_batch_only(docs, monkeypatch):
+    """Blocks of few values give the same model, and rows asked for without a weight start as drawn."""
+    want = TT.fit_topic_tables(docs, WIDTH, (2, 3), "target", max_iter=4, subsampling=0.5)
+    monkeypatch.setattr(TT, "BLOCK_VALUES", 2000)
+    assert TT._block_count(240 * 20, 5) == 12
+    got = TT.fit_topic_tables(docs, WIDTH, (2, 3), "target", max_iter=4, subsampling=0.5)
+    of = lambda t: np.array([r.w for r in t.rows.orderBy("grp", "index").collect()])
+    assert of(got).shape == (2 * WIDTH, 5) and np.allclose(of(got), of(want), rtol=1e-9)
+    drawn = TT._drawn(np.zeros(20000, np.int32), np.arange(20000), 24, np.array([0.5, 0.5])) + 0.5
+    assert abs(drawn.mean() - 1) < 0.005 and abs(drawn.std() - 0.1) < 0.005 and drawn.min() > 0
