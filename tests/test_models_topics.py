@@ -7,6 +7,7 @@ from textflow.operators import metrics as ME
 from textflow.operators import models as MO
 from textflow.operators import optimality as OP
 from textflow.operators import term_index as TI
+from textflow.operators import topic_tables as TT
 from textflow.operators import topics as TO
 
 
@@ -123,3 +124,24 @@ def test_report_reads_accuracy_against_balance(spark):
                                  "prediction double, label int")
     r = ME.report(pred).first()
     assert (r.accuracy, r.rows, r.positives, r.majority_share) == (0.8, 5, 2, 0.6)
+
+
+def test_a_large_model_has_its_topics_as_a_table(spark, monkeypatch):
+    """Beyond MATRIX_ENTRIES nothing of the model's size is on the driver; mixtures, terms and classes are alike."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(TO, "MATRIX_ENTRIES", 3)
+    rows = [(i, i % 2, Vectors.sparse(6, {2 * (i % 3): 4.0, 2 * (i % 3) + 1: 3.0})) for i in range(60)] + [(90, 0, Vectors.sparse(6, {}))]
+    df = spark.createDataFrame(rows, ["id", "target", "features"])
+    model = TO.topic_model(df, "id", k=3, max_iter=4)
+    assert isinstance(model, TT.TopicTables) and TT.of_model(model) is model
+    mixed = TO.topic_mixture(model, df)
+    sums = {r.id: float(r.topicDistribution.toArray().sum()) for r in mixed.collect()}
+    assert len(sums) == 61 and sums.pop(90) == 0.0 and all(abs(v - 1) < 1e-9 for v in sums.values())
+    assert all(r.residual is None if r.id == 90 else r.residual < 2 * TT.CLOSE for r in TT.residual(mixed, "id", model).collect())
+    vocabulary = spark.range(6).select(F.col("id").alias("index"), F.concat(F.lit("t"), "id").alias("term"))
+    assert len(TO.topic_terms(model, vocabulary, 2).collect()) == 6
+    models, out = TO.topics_by_class(df, "id", "target", (0, 1), k=3, max_iter=3)
+    assert all(isinstance(m, TT.TopicTables) for m in models)
+    for r in out.collect():
+        assert len(r.topic) == 6 and all(x == 0 for x in (r.topic[3:] if r.target == 0 else r.topic[:3]))
