@@ -149,3 +149,11 @@ def test_tokenizer_and_words_match_python_rules(spark):
             assert r.s == values[r.i].split()
 
     check()
+
+
+def test_term_counts_read_written_tokens(spark):
+    """The tokens are made once, not again in the filter that Spark adds for empty lists."""
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a"), (2, ""), (3, None), (None, "b b")], "id int, t string").where(F.col("t").isNotNull())
+    counts = FE.term_count_rows(FE.remove_stop_words(FE.tokenize(docs, "t", "w"), "w", "filtered", ["zz"]), "id")
+    assert "UDF" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(((r.id or 0, r.term), r.tf) for r in counts.collect()) == [((0, "b"), 2), ((1, "a"), 3), ((1, "b"), 1), ((2, ""), 1)]
