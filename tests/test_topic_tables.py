@@ -129,3 +129,15 @@ def test_a_step_reads_the_rows_of_its_batch_only(docs, monkeypatch):
     assert of(got).shape == (2 * WIDTH, 5) and np.allclose(of(got), of(want), rtol=1e-9)
     drawn = TT._drawn(np.zeros(20000, np.int32), np.arange(20000), 24, np.array([0.5, 0.5])) + 0.5
     assert abs(drawn.mean() - 1) < 0.005 and abs(drawn.std() - 0.1) < 0.005 and drawn.min() > 0
+
+
+def test_steps_leave_nothing_behind(spark, docs, monkeypatch):
+    """Rows are deleted when later steps have them, and the model's table alone is left."""
+    from textflow.session import release
+
+    monkeypatch.setattr(TT, "FOLD", 2)
+    gone = []
+    monkeypatch.setattr(TT, "release", lambda df: (gone.extend({f.rsplit("/", 2)[1] for f in df.inputFiles()}), release(df)))
+    tables = TT.fit_topic_tables(docs, WIDTH, (2,), max_iter=4, subsampling=1.0)
+    assert {"batches", *(f"step-{t}" for t in range(4))} <= set(gone)
+    assert tables.rows.count() == WIDTH and np.isclose(sum(r.w[0] for r in tables.rows.collect()), tables.sums[0][0])
