@@ -80,3 +80,25 @@ def test_document_means_come_from_a_table_by_blocks(spark, toy, monkeypatch):
     for r in rows:
         want = sum((words[w] for w in r.filtered or [] if w in words), np.zeros(6)) / max(len(r.filtered or []), 1)
         assert np.allclose(r.wordvectors.toArray(), want, atol=1e-6)
+
+
+def test_pairs_are_added_up_in_blocks(spark, monkeypatch):
+    """Blocks add up their own pairs, some tokens at a time, before anything is shuffled by pair; no row for each token and distance."""
+    from textflow.operators import word_tables as WT
+
+    monkeypatch.setattr(WT, "PAIR_TOKENS", 7)
+    rng = random.Random(8)
+    docs = [[rng.choice("abcdefz") for _ in range(rng.randrange(30))] for _ in range(25)]
+    rows = numbered(spark.createDataFrame([(d,) for d in docs], "filtered array<string>"))
+    words = spark.createDataFrame([(t, 90 - i) for i, t in enumerate("abcdef")], "term string, index bigint")
+    want = {}
+    for d in docs:
+        kept = [90 - "abcdef".index(t) for t in d if t != "z"]
+        for i, a in enumerate(kept):
+            for j, b in enumerate(kept):
+                if 0 < abs(i - j) <= 3:
+                    want[a, b] = want.get((a, b), 0) + (4 - abs(i - j)) / 3
+    pairs = neighbour_pairs(rows, words, "filtered", 3, blocks=3)
+    assert {(r.a, r.b): r.weight for r in pairs.collect()} == pytest.approx(want)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
