@@ -84,3 +84,12 @@ def test_parse_and_take_match_python(spark):
             assert r.t == [want[j] if j < len(want) else None for j in range(1, 19)]
 
     check()
+
+
+def test_take_items_makes_its_array_once(spark):
+    """The array is one input of the expression, not of each position; missing arrays and places are NULL."""
+    df = spark.createDataFrame([(1, "a,b,c,d"), (2, "a,b"), (3, None)], "id int, t string")
+    got = {r.id: r.v for r in df.select("id", A.take_items(F.split("t", ","), 1, 4).alias("v")).collect()}
+    assert got == {1: ["b", "c", "d"], 2: ["b", None, None], 3: [None, None, None]}
+    plan = df.select(A.take_items(F.split("t", ","), 1, 4).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(split(" in plan and "lambdafunction(split" not in plan

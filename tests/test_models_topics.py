@@ -145,3 +145,18 @@ def test_a_large_model_has_its_topics_as_a_table(spark, monkeypatch):
     assert all(isinstance(m, TT.TopicTables) for m in models)
     for r in out.collect():
         assert len(r.topic) == 6 and all(x == 0 for x in (r.topic[3:] if r.target == 0 else r.topic[:3]))
+
+
+def test_rows_of_a_long_fit_are_dealt_out_evenly(spark, monkeypatch):
+    from textflow.operators import models as M
+
+    rows = spark.range(2500).repartition(3).withColumn("x", F.col("id") * 2)
+    assert M.spread(rows.limit(2000)).rdd.getNumPartitions() == 1  # not worth more
+    monkeypatch.setattr(M, "LEAST_ROWS", 1000)
+    parts = M.spread(rows.coalesce(1))
+    assert parts.rdd.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism)
+    sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) - min(sizes) <= 2 and parts.exceptAll(rows).count() == 0 and sum(sizes) == 2500
+    monkeypatch.setattr(M, "MOST_ROWS", 100)
+    assert M.spread(rows).rdd.getNumPartitions() == 25
+    assert M.spread(rows.limit(0)).count() == 0

@@ -28,6 +28,17 @@ DEFAULTS = {
 }
 
 
+# Rows that are worth a part of their own in a fit of many iterations, and those that a part holds at most.
+LEAST_ROWS, MOST_ROWS = 1 << 11, 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in equal parts for a fit of many iterations, which waits for its largest part in each:
+    as many as the session has cores, fewer for few rows, more for very many. Files as they were written may be unequal."""
+    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, -(-rows // LEAST_ROWS)), -(-rows // MOST_ROWS)))
+
+
 def feature_width(df: DataFrame, features: str = "features") -> int:
     """Width of a vector column: from ML attribute metadata when present,
     else from one row."""
@@ -59,8 +70,9 @@ def estimator(kind: str, features: str = "features", label: str = "label", seed:
 def train(df: DataFrame, kind: str = "random_forest", features: str = "features",
           label: str = "label", seed: int = 24, **params):
     """Fit one classifier. For the perceptron the first layer is the
-    feature width of the data."""
+    feature width of the data, which is dealt out evenly, as each of its iterations passes over all rows."""
     n = feature_width(df, features) if kind == "perceptron" and "layers" not in params else None
+    df = spread(df.select(features, label)) if kind == "perceptron" else df
     return estimator(kind, features, label, seed, n_features=n, **params).fit(df)
 
 
