@@ -141,3 +141,51 @@ def test_steps_leave_nothing_behind(spark, docs, monkeypatch):
     tables = TT.fit_topic_tables(docs, WIDTH, (2,), max_iter=4, subsampling=1.0)
     assert {"batches", *(f"step-{t}" for t in range(4))} <= set(gone)
     assert tables.rows.count() == WIDTH and np.isclose(sum(r.w[0] for r in tables.rows.collect()), tables.sums[0][0])
+
+
+def test_documents_inferred_together_are_those_inferred_alone():
+    """A document's weights depend neither on the others of a chunk nor on what fills it up."""
+    rng = np.random.default_rng(3)
+    alpha = np.array([0.2, 0.5, 0.1])
+    lengths = [1, 4, 9, 9, 2, 7, 9, 3]
+    x, beta = np.zeros((8, 9)), rng.random((8, 9, 3))
+    for d, n in enumerate(lengths):
+        x[d, :n] = rng.integers(1, 5, n) * 1.5
+    got = TT.infer(x, beta, alpha)
+    for d, n in enumerate(lengths):
+        gamma = np.ones(3)
+        while True:
+            theta = np.exp(special.digamma(gamma) - special.digamma(gamma.sum()))
+            new = theta * ((x[d, :n] / (beta[d, :n] @ theta)) @ beta[d, :n]) + alpha
+            moved, gamma = np.abs(new - gamma).mean(), new
+            if moved <= TT.CLOSE:
+                break
+        assert np.allclose(got[d], gamma, rtol=1e-9)
+
+
+def test_lists_that_go_to_python_are_not_null(spark, docs):
+    """Null lists cost Spark the square of a batch's rows."""
+    weights = spark.createDataFrame([(0, 7, bytearray(8), 0)], "grp int, index bigint, w binary, block int")
+    rows = TT.term_rows(docs, "features").withColumn("block", F.lit(0))
+    for table in (TT._in_blocks(rows, weights, 1), TT._by_term(weights.drop("w").withColumn("blocks", F.lit(bytes(4))), weights)):
+        lists = [f.name for f in table.schema if f.dataType.typeName() in ("array", "binary")]
+        assert len(lists) >= 2 and not table.where(" or ".join(f"{c} is null" for c in lists)).count()
+
+
+def test_steps_of_terms_are_planned(spark, docs, monkeypatch):
+    """Each term's steps with their blocks and the next step, counted some documents at a time."""
+    monkeypatch.setattr(TT, "USES", 50)
+    rng = random.Random(2)
+    rows = [(rng.randrange(2), sorted(rng.sample(range(30), rng.randint(1, 12))), rng.randrange(3), sorted(rng.sample(range(5), rng.randint(1, 5)))) for _ in range(60)]
+    want: dict = {}
+    for g, i, block, steps in rows:
+        for t in i:
+            for s in steps:
+                want.setdefault((g, t), {}).setdefault(s, set()).add(block)
+    uses = spark.createDataFrame(rows, "grp int, i array<bigint>, block int, steps array<int>").mapInArrow(TT._uses(3, 5), "grp int, index bigint, codes binary")
+    plan = uses.repartition(2, "grp", "index").sortWithinPartitions("grp", "index").mapInArrow(TT._plan(3, 5), "grp int, index bigint, step int, next int, blocks binary").collect()
+    got: dict = {}
+    for r in plan:
+        got.setdefault((r.grp, r["index"]), {})[r.step] = (r.next, set(np.frombuffer(r.blocks, np.int32).tolist()))
+    after = lambda of, s: min((x for x in of if x > s), default=5)
+    assert got == {k: {s: (after(of, s), b) for s, b in of.items()} for k, of in want.items()} and len(plan) == sum(map(len, want.values()))
