@@ -189,3 +189,18 @@ def test_steps_of_terms_are_planned(spark, docs, monkeypatch):
         got.setdefault((r.grp, r["index"]), {})[r.step] = (r.next, set(np.frombuffer(r.blocks, np.int32).tolist()))
     after = lambda of, s: min((x for x in of if x > s), default=5)
     assert got == {k: {s: (after(of, s), b) for s, b in of.items()} for k, of in want.items()} and len(plan) == sum(map(len, want.values()))
+
+
+def test_classes_share_the_steps_of_a_fit(docs, monkeypatch):
+    """One fit for all classes, and each document has the mixture of its own class's model."""
+    monkeypatch.setattr(TO, "MATRIX_ENTRIES", 0)
+    calls = []
+    monkeypatch.setattr(TO, "fit_topic_tables", lambda *a, **b: calls.append(1) or TT.fit_topic_tables(*a, **b))
+    models, out = TO.topics_by_class(docs, "id", "target", (1, 0), k=2, max_iter=3)
+    assert len(calls) == 1 and [sorted(m.sums) for m in models] == [[0], [0]]
+    rows = out.collect()
+    assert len(rows) == 241
+    for m, slot, cls in zip(models, (0, 1), (1, 0), strict=True):
+        assert m.rows.count() == WIDTH
+        for r in (r for r in rows if r.target == cls and r.id != 999):
+            assert abs(sum(r.topic[2 * slot:2 * slot + 2]) - 1) < 1e-6 and not any(r.topic[2 - 2 * slot:4 - 2 * slot])
