@@ -102,3 +102,29 @@ def test_pairs_are_added_up_in_blocks(spark, monkeypatch):
     assert {(r.a, r.b): r.weight for r in pairs.collect()} == pytest.approx(want)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan
+
+
+def test_blocks_pass_in_rounds(spark, toy, monkeypatch):
+    """Some blocks at a time give the same words, means and neighbours, and nothing but the result is left on disk."""
+    from textflow.operators import word_tables as WT
+
+    whole = {r.term: r.vector for r in fit_word_tables(toy, size=12, blocks=5, epochs=8).collect()}
+    monkeypatch.setattr(WT, "ROUND", 2)
+    held = []
+    monkeypatch.setattr(WT, "in_blocks", lambda rows, col, block, blocks, *a, f=WT.in_blocks: held.append(blocks) or f(rows, col, block, blocks, *a))
+    some = {r.term: r.vector for r in fit_word_tables(toy, size=12, blocks=5, epochs=8).collect()}
+    assert held == [2, 2, 1] * 8 and set(some) == set(whole)
+    assert nearest(some) == nearest(whole)
+    assert all(np.allclose(some[w], whole[w], rtol=0.05, atol=0.05) for w in whole)
+    written = []
+    monkeypatch.setattr(WT, "lineage_cut", lambda df, f=WT.lineage_cut: written.append(f(df)) or written[-1])
+    model, out = word_vectors(toy, "id", size=6, partitions=5)
+    rows = out.collect()
+    words = {r.word: r.vector.toArray() for r in model.getVectors().collect()}
+    assert sorted(r.id for r in rows) == [*range(300), 900, 901, 902]
+    for r in rows:
+        want = sum((words[w] for w in r.filtered or [] if w in words), np.zeros(6)) / max(len(r.filtered or []), 1)
+        assert np.allclose(r.wordvectors.toArray(), want, atol=1e-6)
+    import os
+    left = [f for df in written for f in df.inputFiles() if os.path.exists(f.removeprefix("file://"))]
+    assert len({os.path.dirname(f) for f in left}) == 2  # the words with their counts and their vectors
